@@ -82,7 +82,7 @@ def parse_subjects(actions: DataFrame) -> DataFrame:
     """One row per recognised clause (one NULL-typed row when nothing is recognised), with status
     parsed / ambiguous / unparsed for the whole subject. No shuffle and no Python: clauses live in
     an array until the final explode."""
-    texts = F.filter(F.transform(F.split(F.lower(F.trim("subject")), r"\s+and\s+|\s*&\s*"), F.trim), lambda c: c != "")
+    texts = F.filter(F.transform(F.split(F.lower(F.trim("subject")), r"\s+and\s+|\s*&\s*"), lambda c: F.trim(c)), lambda c: c != "")
     ruled = F.transform(F.col("_texts"), lambda c, i: F.struct(c.alias("c"), _first_rule(c).alias("r"), (i + 1).alias("i")))
     fields = F.transform(F.col("_ruled"), lambda x: _clause_fields(x["c"], x["r"], x["i"]))
     known = F.exists("_f", lambda f: f["kind"].isNotNull())
@@ -224,3 +224,9 @@ def reparse(stored: DataFrame, actions: DataFrame, version: int) -> DataFrame:
             .groupBy("old_status", "new_status")
             .agg(F.count("*").alias("n_actions"), F.countDistinct("ex_date").alias("n_ex_dates"))
             .withColumn("parser_version", F.lit(version)))
+
+
+def rebuild_adjusted(bars: DataFrame, actions: DataFrame, securities: DataFrame, precedence: list[str]) -> DataFrame:
+    """Subjects -> factors -> timeline -> adjusted bars, as one plan."""
+    factored = apply_rights(parse_subjects(actions), bars, securities, precedence)
+    return adjust_bars(bars, factor_timeline(dedupe_actions(factored)))
