@@ -1,9 +1,9 @@
 """Recursive exponential means with window functions only.
 
-``e[t] = a * x[t] + (1 - a) * e[t-1]`` with ``e[0] = x[0]`` is cut into blocks of 256 rows. Inside a
-block the recursion is a running sum of ``x / q**pos`` (q = 1 - a, scaled back by ``q**pos``); across
-blocks it is a fold over the few earlier block ends. Linear in the rows, no Python worker, and the
-same exchange on the symbol as every other feature.
+``e[t] = a * x[t] + (1 - a) * e[t-1]`` with ``e[first] = x[first]`` is cut into blocks of 256 rows.
+Inside a block the recursion is a running sum of ``x / q**pos`` (q = 1 - a, scaled back by ``q**pos``);
+across blocks it is a fold over the few earlier block ends. Linear in the rows, no Python worker, and
+the same exchange on the symbol as every other feature.
 """
 
 from __future__ import annotations
@@ -14,35 +14,28 @@ from pyspark.sql import functions as F
 BLOCK = 256
 
 
-def ewm(df: DataFrame, specs: dict[str, tuple[Column, float, int]], key: str = "symbol", order: str = "date",
-        skip: int = 0) -> DataFrame:
-    """Add one column per spec ``name: (value, alpha, min_rows)``; NULL before ``min_rows`` rows.
-
-    ``skip`` leading rows of each key do not take part (a change needs a previous row).
-    """
+def ewm(df: DataFrame, specs: dict[str, tuple[Column, float, int, int]], key: str = "symbol", order: str = "date") -> DataFrame:
+    """Add one column per spec ``name: (value, alpha, min_rows, skip)``; NULL before ``min_rows`` rows.
+    ``skip`` leading rows of a key do not take part (a change needs a previous row)."""
     w = Window.partitionBy(key).orderBy(order)
-    cols = df.columns
     names = list(specs)
-    base = df.select("*", *[v.cast("double").alias(f"_x_{n}") for n, (v, _, _) in specs.items()],
-                     (F.row_number().over(w) - 1 - skip).alias("_n"))
-    base = base.withColumn("_b", F.floor(F.greatest(F.col("_n"), F.lit(0)) / BLOCK)).withColumn(
-        "_p", F.pmod(F.greatest(F.col("_n"), F.lit(0)), F.lit(BLOCK)))
+    base = df.select("*", *[v.cast("double").alias(f"_x_{n}") for n, (v, _, _, _) in specs.items()],
+                     (F.row_number().over(w) - 1).alias("_n"))
+    base = base.withColumn("_b", F.shiftright("_n", 8)).withColumn("_p", F.col("_n").bitwiseAND(BLOCK - 1))
     wb = Window.partitionBy(key, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
 
-    def local(n, a):
+    def local(n, a, skip):
         q = 1.0 - a
-        x = F.when(F.col("_n") == 0, F.col(f"_x_{n}")).when(F.col("_n") > 0, F.col(f"_x_{n}") * a)
-        return F.sum(x / F.pow(F.lit(q), F.col("_p"))).over(wb) * F.pow(F.lit(q), F.col("_p"))
+        x = F.when(F.col("_n") == skip, F.col(f"_x_{n}")).when(F.col("_n") > skip, F.col(f"_x_{n}") * a)
+        return F.coalesce(F.sum(x / F.pow(F.lit(q), F.col("_p"))).over(wb), F.lit(0.0)) * F.pow(F.lit(q), F.col("_p"))
 
-    loc = base.select("*", *[local(n, a).alias(f"_l_{n}") for n, (_, a, _) in specs.items()])
-    # Values at the ends of all earlier blocks; every block but the last is full.
-    ends = F.collect_list(F.when((F.col("_n") >= 0) & (F.col("_p") == BLOCK - 1), F.struct(*[F.col(f"_l_{n}") for n in names])))
-    loc = loc.withColumn("_ends", ends.over(Window.partitionBy(key).orderBy("_b").rangeBetween(Window.unboundedPreceding, -1)))
+    loc = base.select("*", *[local(n, a, skip).alias(f"_l_{n}") for n, (_, a, _, skip) in specs.items()])
+    last = F.col("_p") == BLOCK - 1
+    ends = F.collect_list(F.when(last, F.struct(*[F.col(f"_l_{n}") for n in names]))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    loc = loc.withColumn("_ends", ends).withColumn("_ends", F.when(last, F.slice("_ends", 1, F.size("_ends") - 1)).otherwise(F.col("_ends")))
 
-    def full(n, a, rows):
+    def full(n, a, rows, skip):
         q = 1.0 - a
         carry = F.aggregate("_ends", F.lit(0.0), lambda acc, e: acc * (q ** BLOCK) + e[f"_l_{n}"])
-        value = F.col(f"_l_{n}") + carry * F.pow(F.lit(q), F.col("_p") + 1)
-        return F.when(F.col("_n") + 1 >= rows, value)
-
-    return loc.select(*cols, *[full(n, a, rows).alias(n) for n, (_, a, rows) in specs.items()])
+        return F.when(F.col("_n") - skip + 1 >= rows, F.col(f"_l_{n}") + carry * F.pow(F.lit(q), F.col("_p") + 1))
+    return loc.select(*df.columns, *[full(n, a, rows, skip).alias(n) for n, (_, a, rows, skip) in specs.items()])

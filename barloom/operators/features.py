@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.ewm import ewm
 from barloom.functions.joins import asof_join
+from barloom.functions.rolling import rolling
 from barloom.functions.windows import median, safe_div, symbol_window, trailing
 
 SMA = (20, 50, 100, 200)
@@ -20,11 +21,11 @@ def _w():
 
 
 def sma(panel: DataFrame, spans=SMA) -> DataFrame:
-    return panel.select("*", *[trailing(F.avg, "close", n, _w()).alias(f"sma{n}") for n in spans])
+    return rolling(panel, _w(), {f"sma{n}": ("avg", "close", n, False) for n in spans})
 
 
 def ema(panel: DataFrame, spans=EMA) -> DataFrame:
-    return ewm(panel, {f"ema{n}": (F.col("close"), 2.0 / (n + 1), n) for n in spans})
+    return ewm(panel, {f"ema{n}": (F.col("close"), 2.0 / (n + 1), n, 0) for n in spans})
 
 
 def rsi(panel: DataFrame, spans=(2, 14)) -> DataFrame:
@@ -33,9 +34,9 @@ def rsi(panel: DataFrame, spans=(2, 14)) -> DataFrame:
     up, down = F.greatest(F.col("_d"), F.lit(0.0)), F.greatest(-F.col("_d"), F.lit(0.0))
     specs = {}
     for n in spans:
-        specs[f"_up{n}"] = (up, 1.0 / n, n)
-        specs[f"_dn{n}"] = (down, 1.0 / n, n)
-    e = ewm(d, specs, skip=1)
+        specs[f"_up{n}"] = (up, 1.0 / n, n, 1)
+        specs[f"_dn{n}"] = (down, 1.0 / n, n, 1)
+    e = ewm(d, specs)
     return e.select(*panel.columns, *[
         F.when(F.col(f"_dn{n}") == 0, 100.0).otherwise(100.0 - 100.0 / (1.0 + F.col(f"_up{n}") / F.when(F.col(f"_dn{n}") != 0, F.col(f"_dn{n}"))))
         .alias(f"rsi{n}") for n in spans])
@@ -45,7 +46,7 @@ def atr(panel: DataFrame, n: int = 14) -> DataFrame:
     """Wilder's average true range; the first row has no true range."""
     t = panel.withColumn("_pc", F.lag("close").over(_w()))
     tr = F.when(F.col("_pc").isNotNull(), F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("_pc")), F.abs(F.col("low") - F.col("_pc"))))
-    e = ewm(t, {f"atr{n}": (tr, 1.0 / n, n)}, skip=1)
+    e = ewm(t, {f"atr{n}": (tr, 1.0 / n, n, 1)})
     return e.select(*panel.columns, f"atr{n}", safe_div(F.col(f"atr{n}"), F.col("close")).alias(f"atr_pct{n}"))
 
 
@@ -58,18 +59,18 @@ def momentum_12_1(panel: DataFrame) -> DataFrame:
 
 
 def prior_extremes(panel: DataFrame, highs=(20, 55, 252), lows=(20, 60, 252)) -> DataFrame:
-    return panel.select("*", *[trailing(F.max, "high", n, _w(), prior=True).alias(f"high_prior{n}") for n in highs],
-                        *[trailing(F.min, "low", n, _w(), prior=True).alias(f"low_prior{n}") for n in lows])
+    return rolling(panel, _w(), {**{f"high_prior{n}": ("max", "high", n, True) for n in highs}, **{f"low_prior{n}": ("min", "low", n, True) for n in lows}})
 
 
 def prior_range(panel: DataFrame, spans=(10, 20)) -> DataFrame:
+    r = rolling(panel, _w(), {**{f"_h{n}": ("max", "high", n, True) for n in spans}, **{f"_l{n}": ("min", "low", n, True) for n in spans}})
     pc = F.lag("close").over(_w())
-    return panel.select("*", *[safe_div(trailing(F.max, "high", n, _w(), prior=True) - trailing(F.min, "low", n, _w(), prior=True), pc)
-                               .alias(f"range_pct_prior{n}") for n in spans])
+    return r.select(*panel.columns, *[safe_div(F.col(f"_h{n}") - F.col(f"_l{n}"), pc).alias(f"range_pct_prior{n}") for n in spans])
 
 
 def high_proximity(panel: DataFrame, n: int = 252) -> DataFrame:
-    return panel.withColumn(f"high_{n}_prox", safe_div(F.col("close"), trailing(F.max, "high", n, _w())))
+    r = rolling(panel, _w(), {"_h": ("max", "high", n, False)})
+    return r.select(*panel.columns, safe_div(F.col("close"), F.col("_h")).alias(f"high_{n}_prox"))
 
 
 def volume_ratio(panel: DataFrame, n: int = 20) -> DataFrame:
@@ -120,7 +121,8 @@ def relative_strength(panel: DataFrame, index: DataFrame, spans=RS) -> DataFrame
 
 
 def prev_columns(df: DataFrame, cols: list[str]) -> DataFrame:
-    return df.select("*", *[F.lag(c).over(_w()).alias(f"prev_{c}") for c in cols])
+    kept = [c for c in df.columns if c not in {f"prev_{x}" for x in cols}]
+    return df.select(*kept, *[F.lag(c).over(_w()).alias(f"prev_{c}") for c in cols])
 
 
 def features(panel: DataFrame, index: DataFrame | None = None) -> DataFrame:
@@ -132,30 +134,28 @@ def features(panel: DataFrame, index: DataFrame | None = None) -> DataFrame:
     tr = F.when(F.col("prev_close").isNotNull(), F.greatest(
         F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("prev_close")), F.abs(F.col("low") - F.col("prev_close"))))
     up, down = F.greatest(F.col("_d"), F.lit(0.0)), F.greatest(-F.col("_d"), F.lit(0.0))
-    e = ewm(p, {f"ema{n}": (F.col("close"), 2.0 / (n + 1), n) for n in EMA})
-    e = ewm(e, {"_up2": (up, 0.5, 2), "_dn2": (down, 0.5, 2), "_up14": (up, 1.0 / 14, 14), "_dn14": (down, 1.0 / 14, 14), "atr14": (tr, 1.0 / 14, 14)}, skip=1)
+    e = ewm(p, {**{f"ema{n}": (F.col("close"), 2.0 / (n + 1), n, 0) for n in EMA}, "_up2": (up, 0.5, 2, 1), "_dn2": (down, 0.5, 2, 1),
+                "_up14": (up, 1.0 / 14, 14, 1), "_dn14": (down, 1.0 / 14, 14, 1), "atr14": (tr, 1.0 / 14, 14, 1)})
+    e = rolling(e, w, {
+        **{f"sma{n}": ("avg", "close", n, False) for n in SMA}, **{f"high_prior{n}": ("max", "high", n, True) for n in (20, 55, 252)},
+        **{f"low_prior{n}": ("min", "low", n, True) for n in (20, 60, 252)}, "_h10": ("max", "high", 10, True), "_l10": ("min", "low", 10, True),
+        "_h252": ("max", "high", 252, False), "_v20": ("avg", "volume", 20, True), "adv_turnover": ("avg", "turnover", 20, True, 1),
+        "delivery_pct_sma20": ("avg", "delivery_pct", 20, True, 10)}, nullable=("delivery_pct",))
 
     def r(n):
         return F.when(F.col(f"_dn{n}") == 0, 100.0).otherwise(100.0 - 100.0 / (1.0 + F.col(f"_up{n}") / F.when(F.col(f"_dn{n}") != 0, F.col(f"_dn{n}"))))
     lagged = [(safe_div(F.col("close"), F.lag("close", n).over(w)) - 1).alias(f"ret{n}") for n in RETURNS]
     strength = [(safe_div(F.col("close"), F.lag("close", n).over(w)) - 1).alias(f"_r{n}") for n in RS]
-    hi = {n: trailing(F.max, "high", n, w, prior=True) for n in (10, 20, 55, 252)}
-    lo = {n: trailing(F.min, "low", n, w, prior=True) for n in (10, 20, 60, 252)}
     out = e.select(
         *[c for c in e.columns if not c.startswith("_")],
-        *[trailing(F.avg, "close", n, w).alias(f"sma{n}") for n in SMA],
         r(2).alias("rsi2"), r(14).alias("rsi14"), safe_div(F.col("atr14"), F.col("close")).alias("atr_pct14"), *lagged, *strength,
         (safe_div(F.lag("close", 21).over(w), F.lag("close", 252).over(w)) - 1).alias("mom_12_1"),
-        *[hi[n].alias(f"high_prior{n}") for n in (20, 55, 252)], *[lo[n].alias(f"low_prior{n}") for n in (20, 60, 252)],
-        *[safe_div(hi[n] - lo[n], F.col("prev_close")).alias(f"range_pct_prior{n}") for n in (10, 20)],
-        safe_div(F.col("close"), trailing(F.max, "high", 252, w)).alias("high_252_prox"),
-        safe_div(F.col("volume"), trailing(F.avg, "volume", 20, w, prior=True)).alias("vol_ratio20"),
+        safe_div(F.col("_h10") - F.col("_l10"), F.col("prev_close")).alias("range_pct_prior10"),
+        safe_div(F.col("high_prior20") - F.col("low_prior20"), F.col("prev_close")).alias("range_pct_prior20"),
+        safe_div(F.col("close"), F.col("_h252")).alias("high_252_prox"), safe_div(F.col("volume"), F.col("_v20")).alias("vol_ratio20"),
         ((safe_div(F.col("open"), F.col("prev_close")) - 1) * 100).alias("gap_pct"),
         safe_div(F.col("close") - F.col("low"), F.col("high") - F.col("low")).alias("close_location"),
-        trailing(median, "turnover", 20, w, prior=True).alias("turnover_med20"),
-        trailing(F.avg, "turnover", 20, w, prior=True, min_rows=1).alias("adv_turnover"),
-        F.row_number().over(w).alias("bar_count"),
-        trailing(F.avg, "delivery_pct", 20, w, prior=True, min_rows=10).alias("delivery_pct_sma20"),
+        trailing(median, "turnover", 20, w, prior=True).alias("turnover_med20"), F.row_number().over(w).alias("bar_count"),
         safe_div(F.col("close"), F.col("cumulative_price_factor")).alias("close_raw"))
     if index is None:
         return out.select(*[c for c in out.columns if not c.startswith("_r")], *[F.lit(None).cast("double").alias(f"rs{n}") for n in RS])

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from barloom.operators import features as ft
+from barloom.operators import lake
 from barloom.plans.registry import query
 
 PW = "WINDOW w AS (PARTITION BY symbol ORDER BY date)"
@@ -48,7 +49,7 @@ def rsi_sql(n):
 feature("f1_sma", ft.sma, {f"sma{n}": tr("avg", "close", n) for n in ft.SMA})
 query("f2_ema", EMA_CTE + f" SELECT symbol, date, {EMAS} FROM r", " ".join(f"ema{n}" for n in ft.EMA), 3)(
     lambda wb: ft.ema(wb.panel).select("symbol", "date", *[f"ema{n}" for n in ft.EMA]))
-query("f3_rsi", RSI_ATR + f" SELECT p.symbol, p.date, {rsi_sql(2)} AS rsi2, {rsi_sql(14)} AS rsi14 FROM (SELECT symbol, date FROM p) p LEFT JOIN r USING (symbol, date)", "rsi2 rsi14", 4)(
+query("f3_rsi", RSI_ATR + f" SELECT p.symbol, p.date, {rsi_sql(2)} AS rsi2, {rsi_sql(14)} AS rsi14 FROM (SELECT symbol, date FROM p) p LEFT JOIN r USING (symbol, date)", "rsi2 rsi14", 5)(
     lambda wb: ft.rsi(wb.panel).select("symbol", "date", "rsi2", "rsi14"))
 query("f4_atr", RSI_ATR + " SELECT p.symbol, p.date, CASE WHEN n > 14 THEN atr END AS atr14, CASE WHEN n > 14 THEN atr / close END AS atr_pct14 FROM (SELECT symbol, date FROM p) p LEFT JOIN r USING (symbol, date)", "atr14 atr_pct14", 3)(
     lambda wb: ft.atr(wb.panel).select("symbol", "date", "atr14", "atr_pct14"))
@@ -60,12 +61,12 @@ feature("f8_prior_range", ft.prior_range, {f"range_pct_prior{n}": f"({tr('max',
 feature("f9_high_proximity", ft.high_proximity, {"high_252_prox": f"close / ({tr('max', 'high', 252)})"})
 feature("f10_volume_ratio", ft.volume_ratio, {"vol_ratio20": f"volume / ({tr('avg', 'volume', 20, 1)})"})
 feature("f11_gap_and_location", ft.gap_and_location, {"gap_pct": "(open / lag(close) OVER w - 1) * 100", "close_location": "(close - low) / nullif(high - low, 0)"})
-feature("f12_turnover_history", ft.turnover_history, {"turnover_med20": tr("median", "turnover", 20, 1), "adv_turnover": tr("avg", "turnover", 20, 1, 1)}, 2)
+feature("f12_turnover_history", ft.turnover_history, {"turnover_med20": tr("median", "turnover", 20, 1), "adv_turnover": tr("avg", "turnover", 20, 1, 1)}, 8)
 feature("f13_bar_count", ft.bar_count, {"bar_count": "row_number() OVER w"}, rounded=[])
 feature("f14_delivery_average", ft.delivery_average, {"delivery_pct_sma20": tr("avg", "delivery_pct", 20, 1, 10)})
 query("f15_raw_and_previous_close", """SELECT symbol, date, close / cumulative_price_factor AS close_raw, lag(close) OVER (PARTITION BY symbol ORDER BY date) AS prev_close
 FROM (SELECT *, row_number() OVER (PARTITION BY symbol, date ORDER BY CASE series WHEN 'EQ' THEN 1 WHEN 'BE' THEN 2 ELSE 3 END) AS rn FROM adj WHERE exchange = 'NSE') WHERE rn = 1""",
-      "close_raw prev_close", 4)(lambda wb: ft.raw_and_previous_close(__import__("barloom.operators.lake", fromlist=["panel"]).panel(wb.adj.filter("exchange = 'NSE'")))
+      "close_raw prev_close", 4)(lambda wb: ft.raw_and_previous_close(lake.panel(wb.adj.filter("exchange = 'NSE'")))
                                  .select("symbol", "date", "close_raw", "prev_close"))
 IDXR = """
 i AS (SELECT date, """ + ", ".join(f"close / lag(close, {n}) OVER (ORDER BY date) - 1 AS i{n}" for n in ft.RS) + """ FROM idx WHERE index_code = 'BROAD_500'),
@@ -85,6 +86,7 @@ def _diff(wb):
 query("f18_look_ahead_diff", "SELECT symbol, date, close AS sma20, close AS ema20, close AS rsi14, close AS atr_pct14, close AS ret20, close AS high_prior20, close AS low_prior20, close AS vol_ratio20, close AS turnover_med20 FROM panel WHERE 1 = 0")(_diff)
 ALL = ["sma20", "sma200", "ema20", "ema200", "rsi2", "rsi14", "atr14", "atr_pct14", "ret1", "ret250", "mom_12_1", "high_prior20", "high_prior252", "low_prior60", "range_pct_prior20", "high_252_prox",
        "vol_ratio20", "gap_pct", "close_location", "turnover_med20", "adv_turnover", "bar_count", "delivery_pct_sma20", "close_raw", "prev_close", "rs63", "rs126", "rs252"]
+DIGITS = {"sma20": ":6", "sma200": ":6", "ema20": ":3", "ema200": ":3", "atr14": ":3", "vol_ratio20": ":6", "adv_turnover": ":8"}
 F0_SQL = RSI_ATR.replace("r AS (", "rr AS (").replace("FROM r JOIN x ON x.symbol = r.symbol AND x.n = r.n + 1", "FROM rr r JOIN x ON x.symbol = r.symbol AND x.n = r.n + 1") + ", " + IDXR + ", " + EMA_CTE.split("WITH RECURSIVE ")[1].replace("p AS (", "q AS (").replace("FROM p WHERE", "FROM q p WHERE").replace("JOIN p ON", "JOIN q p ON") + f"""
 SELECT symbol, date, {tr('avg', 'close', 20)} AS sma20, {tr('avg', 'close', 200)} AS sma200, e.ema20, e.ema200, k.rsi2, k.rsi14, k.atr14, k.atr14 / close AS atr_pct14,
  close / lag(close, 1) OVER w - 1 AS ret1, close / lag(close, 250) OVER w - 1 AS ret250, lag(close, 21) OVER w / lag(close, 252) OVER w - 1 AS mom_12_1,
@@ -97,5 +99,5 @@ SELECT symbol, date, {tr('avg', 'close', 20)} AS sma20, {tr('avg', 'close', 200)
 FROM panel JOIN d USING (date)
 LEFT JOIN (SELECT symbol, date, {EMAS} FROM r) e USING (symbol, date)
 LEFT JOIN (SELECT symbol, date, {rsi_sql(2)} AS rsi2, {rsi_sql(14)} AS rsi14, CASE WHEN n > 14 THEN atr END AS atr14 FROM rr) k USING (symbol, date) {PW}"""
-query("f0_features", F0_SQL, " ".join(c for c in ALL if c != "bar_count"), 2)(
+query("f0_features", F0_SQL, " ".join(c + DIGITS.get(c, "") for c in ALL if c != "bar_count"), 4)(
     lambda wb: ft.features(wb.panel, wb.idx.filter("index_code = 'BROAD_500'")).select("symbol", "date", *ALL))

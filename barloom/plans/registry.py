@@ -17,38 +17,43 @@ class Query:
     name: str
     build: Callable[[Workbench], DataFrame]
     sql: str | None
-    rounded: tuple[str, ...]
-    digits: int
+    rounded: dict[str, int]
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         df = self.build(Workbench(spark, sf_dir))
         if not self.rounded:
             return df
-        m = float(10 ** self.digits)
-        return df.select(*[(F.floor(F.col(c).cast("double") * m + 0.5) / m).alias(c)
-                           if c in self.rounded else F.col(c) for c in df.columns])
+        return df.select(*[_quantised(c, self.rounded[c]) if c in self.rounded else F.col(c) for c in df.columns])
 
     def oracle(self) -> str | None:
         if self.sql is None:
             return None
         body = self.sql.strip().rstrip(";")
         if self.rounded:
-            reps = ", ".join(f"floor(CAST({c} AS DOUBLE) * 1e{self.digits} + 0.5) / 1e{self.digits} AS {c}"
-                             for c in self.rounded)
+            reps = ", ".join(f"floor(CAST({c} AS DOUBLE) * 1e{d} + 0.5) / 1e{d} AS {c}"
+                             for c, d in self.rounded.items())
             body = f"SELECT * REPLACE ({reps}) FROM (\n{body}\n)"
         else:
             body = f"SELECT * FROM (\n{body}\n)"
         return with_tables(body)
 
 
+def _quantised(c: str, digits: int):
+    """Half-up rounding by the same floating-point steps on both engines."""
+    m = float(10 ** digits)
+    return (F.floor(F.col(c).cast("double") * m + 0.5) / m).alias(c)
+
+
 QUERIES: dict[str, Query] = {}
 
 
+# ``rounded``: blank-separated columns, each optionally "column:digits".
 def query(name: str, sql: str | None = None, rounded: str = "", digits: int = 6):
     def register(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = Query(name, fn, sql, tuple(rounded.split()), digits)
+        pairs = (c.partition(":") for c in rounded.split())
+        QUERIES[name] = Query(name, fn, sql, {c: int(d or digits) for c, _, d in pairs})
         return fn
     return register
 

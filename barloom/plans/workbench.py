@@ -476,3 +476,26 @@ class Workbench:
             F.lit("target").alias("type"), F.lit("sell").alias("side"), F.lit(None).cast("double").alias("limit_price"),
             F.round(p * 1.5, 2).alias("trigger_price"), "qty", F.col("event_id").alias("oco_group"), F.lit("open").alias("status"))
         return base.unionByName(twin)
+
+    @cached_property
+    def feat(self) -> DataFrame:
+        from barloom.operators import features as ft
+        from barloom.operators.screening import symbol_window
+        f = ft.features(self.panel, self.idx.filter("index_code = 'BROAD_500'"))
+        return f.withColumn("prev_rsi14", F.lag("rsi14").over(symbol_window("symbol")))
+
+    @cached_property
+    def metrics(self) -> DataFrame:
+        from barloom.operators import fundamentals as fd
+        return fd.derive_metrics(fd.preferred_basis(self.filings))
+
+    @cached_property
+    def fpanel(self) -> DataFrame:
+        from barloom.operators import fundamentals as fd
+        return fd.attach_fundamentals(self.feat, self.metrics)
+
+    @cached_property
+    def picks(self) -> DataFrame:
+        from barloom.operators import screening as sc
+        from barloom.plans.screen_queries import workbench_rules
+        return sc.scan(self.fpanel, sc.variants_of(list(workbench_rules().values())))
