@@ -113,3 +113,37 @@ WHERE rk <= {k} AND stop_pct IS NOT NULL{" AND target_pct IS NOT NULL" if "atr"
 
 
 TABLE_SQL["picks"] = "\nUNION ALL".join(pick_sql(s) for s in RULE_SQL)
+
+FROZEN = "open = high AND high = low AND low = close"
+TABLE_SQL["numbered"] = f"""
+SELECT *, CASE WHEN {FROZEN} AND (abs(abs(mv) - 2) <= 0.35 OR abs(abs(mv) - 5) <= 0.35 OR abs(abs(mv) - 10) <= 0.35 OR abs(abs(mv) - 20) <= 0.35)
+            THEN CASE WHEN mv > 0 THEN 'upper' ELSE 'lower' END ELSE 'none' END AS lock
+FROM (SELECT symbol, date, open, high, low, close, volume, (close / lag(close) OVER w - 1) * 100 AS mv, row_number() OVER w AS r, dense_rank() OVER (ORDER BY date) AS n
+      FROM panel WINDOW w AS (PARTITION BY symbol ORDER BY date))"""
+
+
+def outcome_sql(signals, clock, cost="0.0", defer=False, keys="rule, date"):
+    """Brute-force walk: every entry against all later bars of its symbol."""
+    n = "n" if clock == "market" else "r"
+    k = ", ".join(f"s.{c.strip()}" for c in keys.split(","))
+    sell = "AND (b.lock <> 'lower')" if defer else ""
+    return f"""
+WITH s AS ({signals}),
+e AS (SELECT {k}, s.symbol, s.stop_pct, s.target_pct, s.hold_days, x.{n} AS en, x.r AS er, x.date AS entry_date, x.open AS ep, x.open * (1 - stop_pct) AS stop, x.open * (1 + target_pct) AS target
+      FROM s JOIN numbered b ON b.symbol = s.symbol AND b.date = s.date JOIN numbered x ON x.symbol = s.symbol AND x.{n} = b.{n} + 1 WHERE {"x.lock <> 'upper'" if clock == "market" else "TRUE"}),
+w AS (SELECT e.*, b.date AS bdate, b.{n} - en AS i, b.r - er AS j, b.high, b.low, b.close,
+   CASE WHEN b.r > er AND b.open <= stop {sell} THEN 'stop_gap' WHEN b.r > er AND b.low <= stop {sell} THEN 'stop' WHEN b.r > er AND b.open >= target {sell} THEN 'target_gap'
+        WHEN b.r > er AND b.high >= target {sell} THEN 'target' WHEN b.{n} - en >= hold_days {sell} THEN 'time' END AS reason, b.open AS bopen
+   FROM e JOIN numbered b ON b.symbol = e.symbol AND b.r >= e.er),
+x AS (SELECT {keys}, symbol, entry_date, min(j) FILTER (WHERE reason IS NOT NULL) AS xj FROM w GROUP BY ALL)
+SELECT {", ".join("w." + c.strip() for c in keys.split(","))}, w.symbol, w.entry_date, any_value(ep) AS entry_price, any_value(hold_days) AS hold_days, CASE WHEN xj IS NULL THEN 'open' ELSE 'closed' END AS status,
+ max(bdate) FILTER (WHERE j = xj) AS exit_date,
+ max(CASE reason WHEN 'stop' THEN stop WHEN 'target' THEN target WHEN 'time' THEN close ELSE bopen END) FILTER (WHERE j = xj) AS exit_price,
+ max(reason) FILTER (WHERE j = xj) AS exit_reason, max(bdate) AS last_date,
+ coalesce(max(CASE reason WHEN 'stop' THEN stop WHEN 'target' THEN target WHEN 'time' THEN close ELSE bopen END) FILTER (WHERE j = xj), arg_max(close, j)) / any_value(ep) - 1 - {cost} AS net_return,
+ max(j) AS holding_days, greatest(0, max(high) / any_value(ep) - 1) AS mfe, least(0, min(low) / any_value(ep) - 1) AS mae
+FROM w JOIN x USING ({keys}, symbol, entry_date) WHERE xj IS NULL OR j <= xj GROUP BY {", ".join("w." + c.strip() for c in keys.split(","))}, w.symbol, w.entry_date, xj"""
+
+
+SHORT_PICKS = "SELECT * FROM picks"
+TABLE_SQL["outcomes"] = outcome_sql(SHORT_PICKS, "market", "0.0026")

@@ -249,13 +249,13 @@ SELECT event_id * 2 AS order_id, symbol, ts + INTERVAL 90 SECOND AS created_at,
        CAST(CAST(ts + INTERVAL 90 SECOND AS DATE) + 1 AS TIMESTAMP) AS valid_until,
        CASE event_id % 4 WHEN 0 THEN 'market' WHEN 2 THEN 'stop_loss' ELSE 'limit' END AS type,
        CASE WHEN event_id % 4 IN (0, 1) THEN 'buy' ELSE 'sell' END AS side,
-       CASE event_id % 4 WHEN 1 THEN round(price * 0.75, 2) WHEN 3 THEN round(price * 1.25, 2) END AS limit_price,
-       CASE event_id % 4 WHEN 2 THEN round(price * 0.5, 2) END AS trigger_price,
+       CASE event_id % 4 WHEN 1 THEN floor(price * 75) / 100 WHEN 3 THEN floor(price * 125) / 100 END AS limit_price,
+       CASE event_id % 4 WHEN 2 THEN floor(price * 50) / 100 END AS trigger_price,
        qty, CASE WHEN event_id % 4 = 2 THEN event_id END AS oco_group, 'open' AS status
 FROM ticks
 UNION ALL
 SELECT event_id * 2 + 1, symbol, ts + INTERVAL 90 SECOND, CAST(CAST(ts + INTERVAL 90 SECOND AS DATE) + 1 AS TIMESTAMP),
-       'target', 'sell', NULL, round(price * 1.5, 2), qty, event_id, 'open'
+       'target', 'sell', NULL, floor(price * 150) / 100, qty, event_id, 'open'
 FROM ticks WHERE event_id % 4 = 2""",
 }
 
@@ -468,13 +468,13 @@ class Workbench:
             (F.col("event_id") * 2).alias("order_id"), "symbol", made.alias("created_at"), until.alias("valid_until"),
             F.when(four == 0, "market").when(four == 2, "stop_loss").otherwise("limit").alias("type"),
             F.when(four <= 1, "buy").otherwise("sell").alias("side"),
-            F.when(four == 1, F.round(p * 0.75, 2)).when(four == 3, F.round(p * 1.25, 2)).alias("limit_price"),
-            F.when(four == 2, F.round(p * 0.5, 2)).alias("trigger_price"), "qty",
+            F.when(four == 1, (F.floor(p * 75) / 100)).when(four == 3, (F.floor(p * 125) / 100)).alias("limit_price"),
+            F.when(four == 2, (F.floor(p * 50) / 100)).alias("trigger_price"), "qty",
             F.when(four == 2, F.col("event_id")).alias("oco_group"), F.lit("open").alias("status"))
         twin = t.filter(four == 2).select(
             (F.col("event_id") * 2 + 1).alias("order_id"), "symbol", made.alias("created_at"), until.alias("valid_until"),
             F.lit("target").alias("type"), F.lit("sell").alias("side"), F.lit(None).cast("double").alias("limit_price"),
-            F.round(p * 1.5, 2).alias("trigger_price"), "qty", F.col("event_id").alias("oco_group"), F.lit("open").alias("status"))
+            (F.floor(p * 150) / 100).alias("trigger_price"), "qty", F.col("event_id").alias("oco_group"), F.lit("open").alias("status"))
         return base.unionByName(twin)
 
     @cached_property
@@ -499,3 +499,11 @@ class Workbench:
         from barloom.operators import screening as sc
         from barloom.plans.screen_queries import workbench_rules
         return sc.scan(self.fpanel, sc.variants_of(list(workbench_rules().values())))
+
+    @cached_property
+    def outcomes(self) -> DataFrame:
+        from barloom.functions.lineage import cut
+        from barloom.operators import outcomes as oc
+        bars = oc.numbered_bars(self.panel, "market")
+        entries = oc.next_open_entry(self.picks.select("rule", "symbol", "date", "stop_pct", "target_pct", "hold_days"), bars)
+        return cut(oc.first_exit(entries, bars, ["rule", "date"], 0.0026))
