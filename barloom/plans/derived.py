@@ -146,4 +146,46 @@ FROM w JOIN x USING ({keys}, symbol, entry_date) WHERE xj IS NULL OR j <= xj GRO
 
 
 SHORT_PICKS = "SELECT * FROM picks"
-TABLE_SQL["outcomes"] = outcome_sql(SHORT_PICKS, "market", "0.0026")
+TABLE_SQL["outcomes"] = outcome_sql(SHORT_PICKS, "market")
+
+TABLE_SQL["trades"] = "SELECT * REPLACE (net_return - 0.0026::DOUBLE AS net_return) FROM outcomes WHERE status = 'closed'"
+TABLE_SQL["marks"] = """
+SELECT rule, o.symbol, o.date AS signal_date, o.entry_date, b.date, CASE WHEN b.date = o.exit_date THEN o.exit_price ELSE b.close END / o.entry_price - 1 AS gross
+FROM outcomes o JOIN numbered b ON b.symbol = o.symbol AND b.date BETWEEN o.entry_date AND o.last_date"""
+TABLE_SQL["daily"] = """
+SELECT rule, date, avg(r) AS ret, count(*) AS n_open FROM (
+ SELECT *, (gross + 1) / coalesce(lag(gross + 1) OVER w, 1) * CASE WHEN lag(gross) OVER w IS NULL THEN 1 - 0.0026::DOUBLE ELSE 1 END - 1 AS r FROM marks
+ WINDOW w AS (PARTITION BY rule, symbol, signal_date ORDER BY date)) GROUP BY rule, date"""
+TABLE_SQL["equity"] = """
+SELECT rule, date, product(ret * 0.01::DOUBLE + 1) OVER (PARTITION BY rule ORDER BY date) * 100 AS equity, least(1.0, n_open / 10.0) AS exposure FROM daily"""
+TABLE_SQL["wins"] = """
+SELECT 'W' || (i + 1) AS label, ts AS train_start, CAST(ts + INTERVAL 24 MONTH - INTERVAL 1 DAY AS DATE) AS train_end, CAST(ts + INTERVAL 24 MONTH AS DATE) AS test_start,
+ CAST(ts + INTERVAL 30 MONTH - INTERVAL 1 DAY AS DATE) AS test_end
+FROM (SELECT i, CAST(date_trunc('month', lo) + INTERVAL (6 * i) MONTH AS DATE) AS ts, hi FROM (SELECT min(date) AS lo, max(date) AS hi FROM panel), range(0, 200) r(i))
+WHERE CAST(ts + INTERVAL 30 MONTH - INTERVAL 1 DAY AS DATE) <= hi"""
+TABLE_SQL["eqw"] = """
+SELECT e.*, label, x.close AS bench FROM equity e JOIN wins ON date BETWEEN test_start AND test_end
+ASOF LEFT JOIN (SELECT date, close FROM idx WHERE index_code = 'BROAD_500') x ON e.date >= x.date"""
+TABLE_SQL["wmetrics"] = """
+WITH r AS (SELECT *, equity / max(equity) OVER w - 1 AS dd, equity / lag(equity) OVER w - 1 AS dr FROM eqw WINDOW w AS (PARTITION BY rule, label ORDER BY date)),
+a AS (SELECT rule, label, arg_max(equity, date) / arg_min(equity, date) - 1 AS total_return, date_diff('day', min(date), max(date)) AS days, least(0, min(dd)) AS max_drawdown,
+  CASE WHEN count(*) >= 3 AND stddev_samp(dr) > 0 THEN avg(dr) / stddev_samp(dr) * sqrt(252) ELSE 0 END AS sharpe, avg(exposure) AS exposure,
+  CASE WHEN count(bench) = count(*) THEN arg_max(bench, date) / arg_min(bench, date) - 1 END AS benchmark_return FROM r GROUP BY ALL),
+t AS (SELECT rule, label, count(*) AS trade_count, avg(CASE WHEN net_return > 0 THEN 1.0 ELSE 0 END) AS win_rate, coalesce(avg(net_return) FILTER (WHERE net_return > 0), 0) AS avg_win,
+  coalesce(avg(net_return) FILTER (WHERE net_return < 0), 0) AS avg_loss,
+  CASE WHEN count(*) FILTER (WHERE net_return < 0) > 0 THEN coalesce(sum(net_return) FILTER (WHERE net_return > 0), 0) / -sum(net_return) FILTER (WHERE net_return < 0) WHEN count(*) FILTER (WHERE net_return > 0) = 0 THEN 0 END AS profit_factor,
+  avg(holding_days) AS avg_hold FROM trades JOIN wins ON entry_date BETWEEN test_start AND test_end GROUP BY ALL)
+SELECT rule, label, total_return, CASE WHEN days > 0 THEN pow(1 + total_return, 365.25 / days) - 1 ELSE 0 END AS cagr, max_drawdown, sharpe, exposure, benchmark_return, total_return - benchmark_return AS alpha,
+ coalesce(trade_count, 0) AS trade_count, win_rate, avg_win, avg_loss, profit_factor, avg_hold,
+ CASE WHEN coalesce(trade_count, 0) = 0 THEN 'no_trades' WHEN benchmark_return IS NULL THEN 'no_benchmark' WHEN total_return > benchmark_return THEN 'pass' ELSE 'fail' END AS outcome
+FROM a LEFT JOIN t USING (rule, label)"""
+TABLE_SQL["gated"] = """
+SELECT *, CASE WHEN NOT (ok_windows AND ok_trades) THEN 'insufficient_evidence' WHEN ok_benchmark AND ok_drawdown THEN 'pass' ELSE 'fail' END AS verdict FROM (
+ SELECT *, n_scored >= CASE WHEN lt THEN 3 ELSE 6 END AS ok_windows, pass_ratio >= 0.6 AS ok_benchmark, worst_drawdown >= CASE WHEN lt THEN -0.35 ELSE -0.25 END AS ok_drawdown, n_trades >= CASE WHEN lt THEN 10 ELSE 30 END AS ok_trades
+ FROM (SELECT *, coalesce(n_pass / nullif(n_scored, 0), 0) AS pass_ratio, horizon = 'long_term' AS lt FROM (
+  SELECT rule, CASE split_part(rule, '_', 1) WHEN 'short' THEN 'short_term' WHEN 'longterm' THEN 'long_term' ELSE split_part(rule, '_', 1) END AS horizon,
+   count(*) FILTER (WHERE outcome IN ('pass', 'fail')) AS n_scored, count(*) FILTER (WHERE outcome = 'pass') AS n_pass, CAST(sum(trade_count) AS BIGINT) AS n_trades, min(max_drawdown) AS worst_drawdown FROM wmetrics GROUP BY ALL)))"""
+TABLE_SQL["oos"] = """
+SELECT rule, max_drawdown, sharpe, n_windows, trades, win_rate, avg_hold, CASE WHEN g > 0 THEN pow(g, 365.25 / days) - 1 END AS cagr FROM (
+ SELECT rule, product(1 + total_return) AS g, date_diff('day', min(test_start), max(test_end)) AS days, min(max_drawdown) AS max_drawdown, avg(sharpe) AS sharpe, count(*) AS n_windows FROM wmetrics JOIN wins USING (label) GROUP BY rule)
+LEFT JOIN (SELECT rule, count(*) AS trades, avg(CASE WHEN net_return > 0 THEN 1.0 ELSE 0 END) AS win_rate, avg(holding_days) AS avg_hold FROM trades GROUP BY rule) USING (rule)"""

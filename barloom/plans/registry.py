@@ -19,8 +19,8 @@ class Query:
     sql: str | None
     rounded: dict[str, int]
 
-    def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = self.build(Workbench(spark, sf_dir))
+    def run(self, spark: SparkSession, sf_dir: str, fresh: bool = False) -> DataFrame:
+        df = self.build(Workbench(spark, sf_dir) if fresh else Workbench.shared(spark, sf_dir))
         if not self.rounded:
             return df
         return df.select(*[_quantised(c, self.rounded[c]) if c in self.rounded else F.col(c) for c in df.columns])

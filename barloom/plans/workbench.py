@@ -268,6 +268,16 @@ class Workbench:
         if spark.conf.get("spark.sql.session.timeZone") != "UTC":
             spark.conf.set("spark.sql.session.timeZone", "UTC")
 
+    _shared: dict = {}
+
+    @classmethod
+    def shared(cls, spark: SparkSession, sf_dir: str) -> "Workbench":
+        """One workbench per application and folder, so that tables cut once serve every later query."""
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in cls._shared:
+            cls._shared = {key: cls(spark, sf_dir)}
+        return cls._shared[key]
+
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
@@ -496,14 +506,70 @@ class Workbench:
 
     @cached_property
     def picks(self) -> DataFrame:
+        """Picks of the ten rules on every day; cut, since outcomes, tracking and views read them."""
+        from barloom.functions.lineage import cut
         from barloom.operators import screening as sc
         from barloom.plans.screen_queries import workbench_rules
-        return sc.scan(self.fpanel, sc.variants_of(list(workbench_rules().values())))
+        return cut(sc.scan(self.fpanel, sc.variants_of(list(workbench_rules().values()))))
 
     @cached_property
     def outcomes(self) -> DataFrame:
+        """Gross outcomes of every pick; cut, since trades, marks and equity all read them."""
         from barloom.functions.lineage import cut
         from barloom.operators import outcomes as oc
         bars = oc.numbered_bars(self.panel, "market")
         entries = oc.next_open_entry(self.picks.select("rule", "symbol", "date", "stop_pct", "target_pct", "hold_days"), bars)
-        return cut(oc.first_exit(entries, bars, ["rule", "date"], 0.0026))
+        return cut(oc.first_exit(entries, bars, ["rule", "date"], 0.0))
+
+    @cached_property
+    def trades(self) -> DataFrame:
+        return self.outcomes.filter("status = 'closed'").withColumn("net_return", F.col("net_return") - 0.0026)
+
+    @cached_property
+    def marks(self) -> DataFrame:
+        o = self.outcomes.withColumnRenamed("date", "signal_date")
+        return o.select("rule", "signal_date", "symbol", "entry_date", F.explode("marks").alias("m")).select(
+            "rule", "signal_date", "symbol", "entry_date", "m.date", F.col("m.net").alias("gross"))
+
+    @cached_property
+    def daily(self) -> DataFrame:
+        from barloom.operators import evaluation as ev
+        return ev.daily_returns(self.marks, ["rule"], ["symbol", "signal_date"], 0.0026)
+
+    @cached_property
+    def equity(self) -> DataFrame:
+        from barloom.operators import evaluation as ev
+        return ev.equity_from_returns(self.daily, ["rule"], weight=0.01)
+
+    @cached_property
+    def windows(self) -> DataFrame:
+        from barloom.operators import evaluation as ev
+        return ev.walk_windows(self.panel.agg(F.min("date").alias("start"), F.max("date").alias("end")))
+
+    @cached_property
+    def eqw(self) -> DataFrame:
+        from barloom.functions.lineage import cut
+        from barloom.operators import evaluation as ev
+        return cut(ev.assign_windows(self.equity, self.windows))
+
+    @cached_property
+    def bench(self) -> DataFrame:
+        return self.idx.filter("index_code = 'BROAD_500'").select("date", "close")
+
+    @cached_property
+    def wmetrics(self) -> DataFrame:
+        from barloom.operators import evaluation as ev
+        t = ev.assign_windows(self.trades, self.windows, date="entry_date")
+        return ev.window_outcome(ev.window_metrics(self.eqw, t, self.bench, ["rule", "label"]))
+
+    @cached_property
+    def gated(self) -> DataFrame:
+        from barloom.operators import evaluation as ev
+        head = F.split("rule", "_")[0]
+        hz = F.when(head == "short", "short_term").when(head == "longterm", "long_term").otherwise(head)
+        return ev.gate(self.wmetrics.withColumn("horizon", hz))
+
+    @cached_property
+    def oos(self) -> DataFrame:
+        from barloom.operators import evaluation as ev
+        return ev.oos_summary(self.wmetrics.join(F.broadcast(self.windows.select("label", "test_start", "test_end")), "label"), self.trades)
