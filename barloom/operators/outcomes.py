@@ -111,15 +111,20 @@ def track_picks(picks: DataFrame, panel: DataFrame, keys: list[str], as_of, cost
     return done.unionByName(waiting, allowMissingColumns=True)
 
 
-def touch_fills(orders: DataFrame, candles: DataFrame) -> DataFrame:
-    """First candle that fills each order, and at what price.
+def touch_fills(orders: DataFrame, candles: DataFrame, on_day=None) -> DataFrame:
+    """First candle that fills each order, and at what price. ``on_day`` tries every working order on
+    that one day, whatever its validity.
 
     Orders meet the candles of the days they are valid on (equality on symbol and day, a bounded
     number of candles a day). A market order fills at the open, or at the close of the candle it was
     placed in; a limit at the better of limit and open, a stop at the worse, a target at the better."""
     c = candles.withColumn("day", F.to_date("candle_start"))
     days = F.sequence(F.to_date("created_at"), F.to_date(F.col("valid_until") - F.expr("INTERVAL 1 MICROSECOND")))
-    o = orders.filter(F.col("status").isin("open", "pending_eod")).withColumn("day", F.explode(days))
+    o = orders.filter(F.col("status").isin("open", "pending_eod"))
+    if on_day is None:
+        o = o.withColumn("day", F.explode(days))
+    else:
+        o = o.withColumn("day", F.lit(on_day).cast("date")).withColumn("valid_until", F.date_add("day", 1).cast("timestamp"))
     j = o.join(c.select("symbol", "day", "candle_start", "candle_end", "open", "high", "low", "close", *(["lock"] if "lock" in c.columns else [])), ["symbol", "day"])
     start, made = F.col("candle_start"), F.col("created_at")
     market = F.col("type") == "market"
