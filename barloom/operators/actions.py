@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.joins import asof_join
-from barloom.functions.windows import latest_per
-from barloom.operators.lake import one_series_per_day
+from barloom.functions.windows import in_list_order, latest_per
 
 # Phrases seen in exchange subjects (lower-cased, blanks trimmed per clause).
 RUPEES = r"(?:rs|re)\.?"
@@ -107,12 +106,17 @@ def parse_subjects(actions: DataFrame) -> DataFrame:
                     "price_factor", "volume_factor", "parse_status"))
 
 
-def cum_price(actions: DataFrame, bars: DataFrame, precedence: list[str]) -> DataFrame:
-    """Adds the last close strictly before the ex-date (preferred series when a day has several)."""
-    daily = one_series_per_day(bars.select("exchange", "symbol", "series", "date", "close"), precedence,
-                               keys=("exchange", "symbol", "date"))
-    src = daily.select("exchange", "symbol", F.col("date").alias("cum_date"), F.col("close").alias("cum_price"))
-    return asof_join(actions, src, ["exchange", "symbol"], "ex_date", "cum_date", ["cum_price"], strict=True)
+def cum_price(actions: DataFrame, bars: DataFrame, precedence: list[str], keys=("action_id",)) -> DataFrame:
+    """Adds the last close strictly before the ex-date (preferred series when a day has several).
+
+    A symbol has a few such actions, so meeting its earlier bars by equality on the symbol and keeping
+    the newest in a hash aggregate is cheaper than sorting every bar for an as-of join."""
+    want = actions.select(*keys, "exchange", "symbol", "ex_date")
+    b = bars.filter(F.col("series").isin(precedence)).select(
+        "exchange", "symbol", "date", "close", (F.unix_date("date") * 10 - in_list_order("series", precedence)).alias("_at"))
+    hit = (b.join(want, ["exchange", "symbol"]).filter(F.col("date") < F.col("ex_date"))
+           .groupBy(*keys).agg(F.max_by("close", "_at").alias("cum_price")))
+    return actions.join(hit, list(keys), "left")
 
 
 def face_value_asof(actions: DataFrame, parsed: DataFrame, securities: DataFrame) -> DataFrame:
@@ -139,7 +143,7 @@ def apply_rights(parsed: DataFrame, bars: DataFrame, securities: DataFrame, prec
     """Fills the factor of every rights issue that states its premium."""
     todo = (F.col("action_type") == "rights") & F.col("premium").isNotNull()
     rights = parsed.filter(todo).select("action_id", "clause", "exchange", "symbol", "ex_date", "num", "den", "premium")
-    priced = face_value_asof(cum_price(rights, bars, precedence), parsed, securities)
+    priced = face_value_asof(cum_price(rights, bars, precedence, ("action_id", "clause")), parsed, securities)
     f = priced.select("action_id", "clause", rights_factor(
         F.col("num"), F.col("den"), F.col("premium") + F.col("face_value"), F.col("cum_price")).alias("_rf"))
     return (parsed.join(f, ["action_id", "clause"], "left")

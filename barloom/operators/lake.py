@@ -11,9 +11,9 @@ from barloom.functions.windows import in_list_order, latest_per, median, safe_di
 PRECEDENCE = ["EQ", "BE", "BZ"]
 
 
-def bars_from_trades(trades: DataFrame, order: list[str]) -> DataFrame:
-    """Daily bars per (exchange, symbol, series); every aggregate combines before the shuffle."""
-    key = F.struct(*order)
+def bars_from_trades(trades: DataFrame, key: Column) -> DataFrame:
+    """Daily bars per (exchange, symbol, series); every aggregate combines before the shuffle. ``key``
+    orders the trades of a day (see ``order_key``)."""
     agg = trades.groupBy("exchange", "symbol", "series", "date").agg(
         F.min_by("price", key).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
         F.max_by("price", key).alias("close"), F.sum("qty").cast("long").alias("volume"),

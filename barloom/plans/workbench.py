@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.windows import order_key
 from barloom.operators import actions as act
 from barloom.operators import lake
 
@@ -68,9 +69,9 @@ SELECT *, lag(close) OVER (PARTITION BY exchange, symbol, series ORDER BY date)
        CASE WHEN series = 'EQ' THEN 'full' WHEN series = 'BE' THEN 'legacy' ELSE 'unified' END AS source
 FROM (
   SELECT exchange, symbol, series, date,
-         arg_min(price, row(orderkey, linenumber, partkey, suppkey, amount, qty)) AS open,
+         arg_min(price, row(orderkey, linenumber, partkey, amount, qty)) AS open,
          max(price) AS high, min(price) AS low,
-         arg_max(price, row(orderkey, linenumber, partkey, suppkey, amount, qty)) AS close,
+         arg_max(price, row(orderkey, linenumber, partkey, amount, qty)) AS close,
          CAST(sum(qty) AS BIGINT) AS volume, round(sum(amount), 2) AS turnover, count(*) AS trades,
          CAST(sum(qty) FILTER (WHERE discount < 0.05) AS BIGINT) AS delivery_qty
   FROM tape GROUP BY exchange, symbol, series, date)""",
@@ -298,8 +299,10 @@ class Workbench:
 
     @cached_property
     def bars(self) -> DataFrame:
-        return lake.bars_from_trades(
-            self.tape, ["orderkey", "linenumber", "partkey", "suppkey", "amount", "qty"])
+        # Trades equal in all of these have the same price, so the order is total where it matters.
+        cents = F.round(F.col("amount") * 100)
+        return lake.bars_from_trades(self.tape, order_key([
+            (F.col("orderkey"), 13), (F.col("linenumber"), 2), (F.col("partkey"), 11), (cents, 9), (F.col("qty"), 3)]))
 
     @cached_property
     def panel(self) -> DataFrame:

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.functions.windows import order_key
+
 
 def candles(ticks: DataFrame, width: str = "5 minutes", *, tiebreak: str | None = None,
             watermark: str | None = None) -> DataFrame:
     """OHLCV per symbol and tumbling window; with ``watermark`` the same plan runs on a stream."""
     src = ticks.withWatermark("ts", watermark) if watermark else ticks
-    key = F.struct("ts", tiebreak) if tiebreak else F.col("ts")
+    key = order_key([(F.unix_micros(F.col("ts").cast("timestamp")), 19), (F.col(tiebreak), 18)]) if tiebreak else F.col("ts")
     out = src.groupBy("symbol", F.window("ts", width).alias("w")).agg(
         F.min_by("price", key).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
         F.max_by("price", key).alias("close"), F.sum("qty").cast("long").alias("volume"))
