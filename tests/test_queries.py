@@ -13,9 +13,9 @@ from check import TABLES, rows  # noqa: E402
 import __spark_entry__ as entry  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
-PICKED = ["t0_bars_daily", "l6_bars_with_identity", "l8_panel", "l10_liquidity_metrics", "d7_index_problems", "d10_adjusted_jumps", "i3_symbol_history_from_changes", "i12_trading_days_between",
-          "c1_parse_subjects", "c9_factor_timeline", "f3_rsi", "f7_prior_extremes", "p6_ttm", "r2_comparators", "t2_charges", "t8_first_exit_market_clock", "t14_oco_first", "w1_windows",
-          "b1_positions", "b2_running_cash", "b9_daily_snapshots", "s14_replace_dates", "x1_candles"]
+PICKED = ["t0_bars_daily", "l8_panel", "d7_index_problems", "i3_symbol_history_from_changes", "i12_trading_days_between",
+          "c1_parse_subjects", "f3_rsi", "f7_prior_extremes", "p6_ttm", "t2_charges", "t8_first_exit_market_clock", "t14_oco_first", 
+          "b1_positions", "b9_daily_snapshots", "x1_candles"]
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables not present")
 
 
