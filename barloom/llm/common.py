@@ -45,6 +45,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Keys that are sent to every task at most: some 20 MB.
+FEW = 1_000_000
+
+
+def rows_with(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """The rows of df whose key is among the keys. The keys are counted: up to FEW of them go to every task, so df is not
+    shuffled for them; more are joined by a shuffle."""
+    keys = cut(keys.select(on).distinct())
+    return df.join(F.broadcast(keys) if keys.count() <= FEW else keys, on, "left_semi")
+
+
 def whole_rows(df: DataFrame, **keys: Column) -> DataFrame:
     """The row as one struct, with key columns beside it whose names can't clash with the row's own."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(k) for k, c in keys.items()])

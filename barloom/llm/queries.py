@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing
+from . import exact_dedup, language, licenses, maxscore, minhash, mixing, packing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licenses": licenses.op1_licenses,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_packing": packing.op3_packing,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_mixing": mixing.op6_mixing,
+    "op7_language": language.op7_language,
+    "op9_maxscore": maxscore.op9_maxscore,
+    "op10_minhash": minhash.op10_minhash,
 }
-ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dedup.OP2_SQL, "op6_mixing": mixing.OP6_SQL}
+ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dedup.OP2_SQL, "op6_mixing": mixing.OP6_SQL, "op9_maxscore": maxscore.OP9_SQL}

@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import exact_dedup, mixing, packing
+from barloom.llm import exact_dedup, language, minhash, mixing, packing
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language.keep_identified(docs, language.learn_documents(docs))
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_exact_duplicates(docs)
 
 
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.drop_near_duplicates(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
@@ -19,7 +27,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs, packing.tokenizer_path())
 
 
-STAGES = [("exact_dedup", keep_first_copies), ("mixing", mix_sources), ("packing", pack_sequences)]
+STAGES = [("language_id", identify_language), ("exact_dedup", keep_first_copies), ("minhash", keep_one_of_near_copies), ("mixing", mix_sources), ("packing", pack_sequences)]
 #: Language spans, link confirmation on shingle sets and tokenising are beyond SQL.
 ORACLE_SQL = None
 
