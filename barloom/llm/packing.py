@@ -12,8 +12,11 @@ a lost task gives the same sequences again. An empty table gives an empty result
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +28,10 @@ from pyspark.sql import types as T
 from . import common
 
 SEQUENCE, END = 4096, 2
+#: Letters that Python lower-cases by their neighbours, or to several characters.
+CASED = re.compile("[\u0130\u03a3]")
 #: Entries a worker keeps of words seen, so that its memory is bounded.
-CHUNKS, WORDS = 250_000, 250_000
+CHUNKS, WORDS = 500_000, 800_000
 
 
 class Ids:
@@ -36,29 +41,39 @@ class Ids:
     white-space-separated chunks in turn. Chunks and words already seen are looked up."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        self.clean, self.split, self.model = self.whole.normalizer.normalize_str, self.whole.pre_tokenizer.pre_tokenize_str, self.whole.model
-        self.specials = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
+        self.model = self.whole.model
+        shown = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        every_byte = [*range(0x80, 0x800), *range(0x800, 0xD800, 0x400), 0xE000, 0xF000, *range(0x10000, 0x110000, 0x40000)]
+        self.bytes = {b: c for point in every_byte for b, c in zip(chr(point).encode(), shown(chr(point))[0][0], strict=True)}
         self.chunks: dict[bytes, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def of_word(self, word: str) -> bytes:
+        """Of normalised letters, which the splitter leaves whole; the model sees each byte as a character."""
         ids = self.words.get(word)
         if ids is None:
-            ids = np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
+            seen = word if word.isascii() else word.encode().decode("latin-1").translate(self.bytes)
+            ids = array("I", [t.id for t in self.model.tokenize(seen)]).tobytes()
             if len(self.words) < WORDS:
                 self.words[word] = ids
         return ids
 
+    def of_any(self, text: str) -> bytes:
+        return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+
     def of_chunk(self, chunk: bytes) -> bytes:
         ids = self.chunks.get(chunk)
         if ids is None:
-            if any(s in chunk for s in self.specials):
-                ids = np.array(self.whole.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            text = chunk.decode()
+            end = text[-1] if text[-1] in ".,:;" else ""  # after a letter, a sign is a token's start
+            word = text[:-1] if end else text
+            if word.isalpha() and is_normalized("NFC", word) and not CASED.search(word):
+                ids = self.of_word(word.lower()) + (self.of_chunk(end.encode()) if end else b"")
             else:
-                ids = b"".join([self.of_word(w) for w, _ in self.split(self.clean(chunk.decode()))])
+                ids = self.of_any(text)
             if len(self.chunks) < CHUNKS:
                 self.chunks[chunk] = ids
         return ids
