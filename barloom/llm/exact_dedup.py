@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Parts into which a group's texts are dealt.
+SALTS = 32
+
 
 def content_hash(text: Column) -> list[Column]:
     """128 bits: two 64-bit hashes of the text with different seeds."""
@@ -26,14 +29,15 @@ def normalised(text_col: str) -> Column:
 def duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", hashes: Callable[[Column], list[Column]] = content_hash) -> DataFrame:
     """One row per group of at least two equal texts: h1, h2, sha, n, keep_id.
 
-    Rows are first counted by hash without their texts. Only texts whose hash repeats are shuffled again, grouped by the
-    text itself: hash aggregation compares bytes and collapses copies before the shuffle, so a group of any size reaches
-    a task as one row per map task, and texts that merely share a hash part company."""
+    Rows are first counted by hash without their texts. Only texts whose hash repeats go on, dealt by hash and salt so
+    that no group meets in one task, and are grouped by the text itself: hash aggregation compares bytes and collapses
+    copies before the last shuffle, and texts that merely share a hash part company."""
     text = df.select(F.col(id_col).alias("id"), normalised(text_col).alias("t"))
-    text = text.select("id", "t", *[h.alias(f"h{k}") for k, h in enumerate(hashes(F.col("t")), 1)])
-    repeated = text.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
+    text = text.select("id", "t", *[h.alias(f"h{k}") for k, h in enumerate(hashes(F.col("t")), 1)], F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
+    repeated = text.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    repeated = repeated.select("h1", "h2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
     pick = F.min("id") if keep == "min" else F.max("id")
-    same = text.join(repeated, ["h1", "h2"], "left_semi").groupBy("h1", "h2", "t").agg(F.count(F.lit(1)).alias("n"), pick.alias("keep_id"))
+    same = text.join(repeated, ["h1", "h2", "salt"], "left_semi").groupBy("h1", "h2", "t").agg(F.count(F.lit(1)).alias("n"), pick.alias("keep_id"))
     return same.filter("n > 1").select("h1", "h2", F.sha2(F.col("t"), 256).alias("sha"), "n", "keep_id")
 
 

@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language, licenses, maxscore, minhash, mixing, packing, toxicity
+from . import exact_dedup, fuzzy_lines, language, licenses, maxscore, minhash, mixing, packing, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": licenses.op1_licenses,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_packing": packing.op3_packing,
+    "op4_suffix_dedup": suffixes.op4_suffix_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_mixing": mixing.op6_mixing,
     "op7_language": language.op7_language,
+    "op8_fuzzy_lines": fuzzy_lines.op8_fuzzy_lines,
     "op9_maxscore": maxscore.op9_maxscore,
     "op10_minhash": minhash.op10_minhash,
 }
