@@ -11,6 +11,16 @@ from pyspark.sql import functions as F
 ARITHMETIC = {"mul": lambda a, b: a * b, "add": lambda a, b: a + b, "sub": lambda a, b: a - b,
               "div": lambda a, b: a / F.when(b != 0, b)}
 PREV = "prev_"
+# The keys that rule files may have.
+RULE_KEYS = {"dsl_version", "slug", "name", "horizon", "universe", "params", "entry", "exit", "rank", "sizing", "notes"}
+UNIVERSE_KEYS = {"exchange", "min_price_raw", "min_median_turnover_inr", "min_listed_days", "exclude_series"}
+
+
+def only_known(what: str, given: dict, known: set[str]) -> None:
+    """A key that is not understood would silently loosen a rule, so it raises."""
+    unknown = set(given) - known
+    if unknown:
+        raise KeyError(f"unknown key in {what}: {sorted(unknown)}")
 
 
 def feature_name(ind: str, period=None) -> str:
@@ -54,6 +64,7 @@ def operand(node, params: dict, columns: list[str], prev: bool = False) -> Colum
 
 def condition(node: dict, params: dict, columns: list[str]) -> Column:
     """One comparison. A missing side is False here, before any NOT can see it."""
+    only_known("condition", node, {"left", "op", "right"})
     op = node["op"]
     left = operand(node["left"], params, columns)
     if op == "between":
@@ -80,8 +91,9 @@ def rule_column(node: dict, params: dict, columns: list[str]) -> Column:
 
 
 def universe_column(u: dict, columns: list[str]) -> Column:
+    only_known("universe", u, UNIVERSE_KEYS)
     tests = [F.lit(True)]
-    for key, col in (("min_price_raw", "close_raw"), ("min_median_turnover", "turnover_med20"), ("min_listed_days", "bar_count")):
+    for key, col in (("min_price_raw", "close_raw"), ("min_median_turnover_inr", "turnover_med20"), ("min_listed_days", "bar_count")):
         if u.get(key, 0) > 0:
             tests.append(F.coalesce(F.col(col) >= u[key], F.lit(False)))
     if u.get("exclude_series") and "series" in columns:
@@ -90,6 +102,7 @@ def universe_column(u: dict, columns: list[str]) -> Column:
 
 
 def entry_column(spec: dict, columns: list[str], overrides: dict | None = None) -> Column:
+    only_known("rule", spec, RULE_KEYS)
     return universe_column(spec.get("universe", {}), columns) & rule_column(spec["entry"], resolve_params(spec, overrides), columns)
 
 

@@ -58,9 +58,11 @@ def equity_from_returns(daily: DataFrame, run: list[str], slots: int = 10, start
 
 def best_params(daily: DataFrame, windows: DataFrame, weight: float = 1.0) -> DataFrame:
     """Per rule and window the variant with the best total return in training, first variant on ties
-    (returns equal to nine decimals tie: a product's last digits depend on the order of its factors)."""
-    t = assign_windows(daily, windows, "train").groupBy("rule", "variant", "label").agg((F.product(F.col("ret") * weight + 1) - 1).alias("train_return"))
-    return latest_per(t, ["rule", "label"], [F.round("train_return", 9).desc(), F.col("variant")])
+    (returns whose logarithms are equal to nine decimals tie, whatever their size: the last digits of a sum depend on
+    its order)."""
+    t = assign_windows(daily, windows, "train").groupBy("rule", "variant", "label").agg(F.sum(F.log(F.col("ret") * weight + 1)).alias("_log"))
+    best = latest_per(t, ["rule", "label"], [F.round("_log", 9).desc(), F.col("variant")])
+    return best.select("rule", "variant", "label", (F.exp("_log") - 1).alias("train_return"))
 
 
 def drawdown(equity: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.joins import asof_join
+from barloom.functions.lineage import cut
 from barloom.functions.windows import in_list_order, latest_per, median
 
 EPOCH = "1900-01-01"
@@ -43,16 +44,20 @@ def detect_renames(previous: DataFrame, current: DataFrame, day) -> DataFrame:
     return closed.unionByName(opened).distinct()
 
 
-def rename_targets(changes: DataFrame, rounds: int = 4) -> DataFrame:
-    """Each change with the last symbol of its chain. Pointer doubling: ``rounds`` self joins follow
-    2**rounds renames; a longer chain comes out with ``complete`` = False instead of being dropped."""
+def rename_targets(changes: DataFrame) -> DataFrame:
+    """Each change with the last symbol of its chain, however long. Pointers double each round, so a chain
+    without repeats ends after as many rounds as the number of changes has binary digits; what then still
+    points on goes round in a circle and comes out with ``complete`` = False."""
     c = changes.select("old_symbol", "new_symbol", "changed_on")
     nxt = c.select(F.col("old_symbol").alias("_o"), F.col("new_symbol").alias("_n"), F.col("changed_on").alias("_d"))
     hop = (c.join(nxt, (c.new_symbol == nxt["_o"]) & (nxt["_d"] >= c.changed_on), "left")
            .groupBy("old_symbol", "new_symbol", "changed_on").agg(F.min_by(F.struct("_o", "_n", "_d"), "_d").alias("_next")))
     cur = hop.select("old_symbol", "new_symbol", "changed_on", F.col("new_symbol").alias("final_symbol"),
                      F.col("_next._n").alias("_pn"), F.col("_next._d").alias("_pd"), F.col("_next._o").alias("_po"))
-    for _ in range(rounds):
+    for _ in range(changes.count().bit_length()):
+        cur = cut(cur)
+        if cur.filter("_po IS NOT NULL").isEmpty():
+            break
         ahead = cur.select(F.col("old_symbol").alias("_ao"), F.col("new_symbol").alias("_an"), F.col("changed_on").alias("_ad"),
                            F.col("final_symbol").alias("_af"), F.col("_po").alias("_qo"), F.col("_pn").alias("_qn"), F.col("_pd").alias("_qd"))
         j = cur.join(ahead, (cur["_po"] == ahead["_ao"]) & (cur["_pn"] == ahead["_an"]) & (cur["_pd"] == ahead["_ad"]), "left")

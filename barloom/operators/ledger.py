@@ -198,7 +198,7 @@ def portfolio_summary(trades: DataFrame, charges: DataFrame, snapshots: DataFram
     return s.join(c, "portfolio", "left").join(v, "portfolio", "left")
 
 
-def xirr(flows: DataFrame, lo: float = -0.999999, hi: float = 1000.0, steps: int = 80) -> DataFrame:
+def xirr(flows: DataFrame, lo: float = -0.999999, hi: float = 1e6, steps: int = 90) -> DataFrame:
     """Yearly rate (act/365) that makes each portfolio's flows worth zero, by bisection inside one
     plan. Flows are netted to days first, so a portfolio is a calendar-bounded list. NULL below two
     flows, with one sign only, all on one day, or without a sign change in [lo, hi]."""

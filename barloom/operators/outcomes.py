@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.joins import asof_join
 from barloom.operators.costs import circuit_lock
 from barloom.operators.quality import session_numbers
 
@@ -26,10 +27,16 @@ def numbered_bars(panel: DataFrame, clock: str = "symbol") -> DataFrame:
     return out.join(F.broadcast(days), "date")
 
 
-def next_open_entry(signals: DataFrame, bars: DataFrame) -> DataFrame:
+def next_open_entry(signals: DataFrame, bars: DataFrame, clock: str = "symbol") -> DataFrame:
     """Signal (key, symbol, date, ...) -> entry on the next session: status entered, cancelled (opened
-    locked at the upper band) or no_bar."""
-    sig = signals.join(bars.select("symbol", "date", F.col("n").alias("_n")), ["symbol", "date"])
+    locked at the upper band) or no_bar. No signal is lost: one on a day without a bar of its symbol enters
+    on the first bar after it ("symbol") or on the next market session ("market")."""
+    if clock == "market":
+        days = bars.select("date", F.col("n").alias("_n")).distinct()
+        sig = signals.join(days, "date", "left")
+    else:
+        own = bars.select("symbol", F.col("date").alias("_bar"), F.col("n").alias("_n"))
+        sig = asof_join(signals, own, ["symbol"], "date", "_bar", ["_n"]).drop("_bar_asof").withColumn("_n", F.coalesce("_n", F.lit(0)))
     nxt = bars.select("symbol", (F.col("n") - 1).alias("_n"), F.col("n").alias("entry_n"), F.col("r").alias("entry_r"),
                       F.col("date").alias("entry_date"), F.col("open").alias("entry_price"), F.col("lock").alias("_lock"))
     status = F.when(F.col("entry_date").isNull(), "no_bar").when(F.col("_lock") == "upper", "cancelled").otherwise("entered")
@@ -116,20 +123,23 @@ def touch_fills(orders: DataFrame, candles: DataFrame, on_day=None) -> DataFrame
     that one day, whatever its validity.
 
     Orders meet the candles of the days they are valid on (equality on symbol and day, a bounded
-    number of candles a day). A market order fills at the open, or at the close of the candle it was
+    number of candles a day); an order without expiry meets those of its symbol from its day on. A market order fills at the open, or at the close of the candle it was
     placed in; a limit at the better of limit and open, a stop at the worse, a target at the better."""
     c = candles.withColumn("day", F.to_date("candle_start"))
     days = F.sequence(F.to_date("created_at"), F.to_date(F.col("valid_until") - F.expr("INTERVAL 1 MICROSECOND")))
     o = orders.filter(F.col("status").isin("open", "pending_eod"))
+    c = c.select("symbol", "day", "candle_start", "candle_end", "open", "high", "low", "close", *(["lock"] if "lock" in c.columns else []))
     if on_day is None:
-        o = o.withColumn("day", F.explode(days))
+        dated = o.filter("valid_until IS NOT NULL").withColumn("day", F.explode(days)).join(c, ["symbol", "day"])
+        lasting = o.filter("valid_until IS NULL").withColumnRenamed("symbol", "_s").join(c, (F.col("_s") == F.col("symbol")) & (F.col("day") >= F.to_date("created_at"))).drop("_s")
+        j = dated.unionByName(lasting)
     else:
         o = o.withColumn("day", F.lit(on_day).cast("date")).withColumn("valid_until", F.date_add("day", 1).cast("timestamp"))
-    j = o.join(c.select("symbol", "day", "candle_start", "candle_end", "open", "high", "low", "close", *(["lock"] if "lock" in c.columns else [])), ["symbol", "day"])
+        j = o.join(c, ["symbol", "day"])
     start, made = F.col("candle_start"), F.col("created_at")
     market = F.col("type") == "market"
     during = market & (start < made) & (made < F.col("candle_end"))
-    j = j.filter(((start >= made) | during) & (start < F.col("valid_until")))
+    j = j.filter(((start >= made) | during) & F.coalesce(start < F.col("valid_until"), F.lit(True)))
     if "lock" in c.columns:
         j = j.filter(F.when(F.col("side") == "buy", F.col("lock") != "upper").otherwise(F.col("lock") != "lower"))
     lim, trig, op = F.col("limit_price"), F.col("trigger_price"), F.col("open")

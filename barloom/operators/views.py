@@ -77,7 +77,7 @@ def run_summary(metrics_long: DataFrame, trades: DataFrame, windows: DataFrame,
     m = metrics_long.groupBy("rule").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.concat_ws("/", "label", "metric"), "value")))).alias("metrics"))
     t = trades.groupBy("rule").agg(F.count("*").alias("n_trades"))
     w = windows.groupBy("rule").agg(F.countDistinct("label").alias("n_windows"))
-    return runs.orderBy(F.col("run_id").desc()).limit(k).join(m, "rule", "left").join(t, "rule", "left").join(w, "rule", "left")
+    return runs.orderBy(F.col("run_id").desc(), "rule").limit(k).join(m, "rule", "left").join(t, "rule", "left").join(w, "rule", "left")
 
 
 def order_activity(orders: DataFrame, as_of, days: int = 7) -> DataFrame:

@@ -161,7 +161,7 @@ SELECT rule, date, product(ret * 0.01::DOUBLE + 1) OVER (PARTITION BY rule ORDER
 TABLE_SQL["wins"] = """
 SELECT 'W' || (i + 1) AS label, ts AS train_start, CAST(ts + INTERVAL 24 MONTH - INTERVAL 1 DAY AS DATE) AS train_end, CAST(ts + INTERVAL 24 MONTH AS DATE) AS test_start,
  CAST(ts + INTERVAL 30 MONTH - INTERVAL 1 DAY AS DATE) AS test_end
-FROM (SELECT i, CAST(date_trunc('month', lo) + INTERVAL (6 * i) MONTH AS DATE) AS ts, hi FROM (SELECT min(date) AS lo, max(date) AS hi FROM panel), range(0, 200) r(i))
+FROM (SELECT i, CAST(date_trunc('month', lo) + INTERVAL (6 * i) MONTH AS DATE) AS ts, hi FROM (SELECT lo, hi, unnest(range(0, date_diff('month', lo, hi) // 6 + 1)) AS i FROM (SELECT min(date) AS lo, max(date) AS hi FROM panel)))
 WHERE CAST(ts + INTERVAL 30 MONTH - INTERVAL 1 DAY AS DATE) <= hi"""
 TABLE_SQL["eqw"] = """
 SELECT e.*, label, x.close AS bench FROM equity e JOIN wins ON date BETWEEN test_start AND test_end

@@ -20,7 +20,7 @@ SWEPT = "\nUNION ALL ".join(pick_sql("swing_pullback_ema", RULE_SQL["swing_pullb
 def _swept_daily(wb):
     bars = oc.numbered_bars(wb.panel, "market")
     sig = rule_picks(wb, ["swing_pullback_ema"], grid=True).select("rule", "variant", "symbol", "date", "stop_pct", "target_pct", "hold_days")
-    o = oc.first_exit(oc.next_open_entry(sig, bars), bars, ["rule", "variant", "date"]).withColumnRenamed("date", "signal_date")
+    o = oc.first_exit(oc.next_open_entry(sig, bars, "market"), bars, ["rule", "variant", "date"]).withColumnRenamed("date", "signal_date")
     m = o.select("rule", "variant", "signal_date", "symbol", F.explode("marks").alias("m")).select("rule", "variant", "signal_date", "symbol", "m.date", F.col("m.net").alias("gross"))
     return ev.daily_returns(m, ["rule", "variant"], ["symbol", "signal_date"], 0.0026)
 
@@ -29,8 +29,8 @@ query("w3_best_params", f"""
 WITH o AS ({outcome_sql(SWEPT, 'market', keys='rule, variant, date')}),
 mk AS (SELECT rule, variant, o.symbol, o.date AS sd, b.date, CASE WHEN b.date = o.exit_date THEN o.exit_price ELSE b.close END / o.entry_price AS g FROM o JOIN numbered b ON b.symbol = o.symbol AND b.date BETWEEN o.entry_date AND o.last_date),
 dr AS (SELECT rule, variant, date, avg(r) AS ret FROM (SELECT *, g / coalesce(lag(g) OVER w, 1) * CASE WHEN lag(g) OVER w IS NULL THEN 1 - 0.0026::DOUBLE ELSE 1 END - 1 AS r FROM mk WINDOW w AS (PARTITION BY rule, variant, symbol, sd ORDER BY date)) GROUP BY ALL),
-tr AS (SELECT rule, variant, label, product(ret * 0.01::DOUBLE + 1) - 1 AS train_return FROM dr JOIN wins ON date BETWEEN train_start AND train_end GROUP BY ALL)
-SELECT rule, variant, label, train_return FROM (SELECT *, row_number() OVER (PARTITION BY rule, label ORDER BY round(train_return, 9) DESC, variant) AS rn FROM tr) WHERE rn = 1""", "train_return:5")(
+tr AS (SELECT rule, variant, label, sum(ln(ret * 0.01::DOUBLE + 1)) AS lg FROM dr JOIN wins ON date BETWEEN train_start AND train_end GROUP BY ALL)
+SELECT rule, variant, label, exp(lg) - 1 AS train_return FROM (SELECT *, row_number() OVER (PARTITION BY rule, label ORDER BY round(lg, 9) DESC, variant) AS rn FROM tr) WHERE rn = 1""", "train_return:5")(
     lambda wb: ev.best_params(_swept_daily(wb), wb.windows, 0.01))
 query("w4_equity_from_trades", "SELECT rule, date, ln(equity) AS log_equity, exposure FROM equity", "log_equity:7 exposure")(
     lambda wb: wb.equity.select("rule", "date", F.log("equity").alias("log_equity"), "exposure"))

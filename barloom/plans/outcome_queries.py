@@ -56,7 +56,7 @@ for clock in ("market", "symbol"):
     query(f"t7_next_open_entry_{clock}", f"""
 SELECT s.symbol, s.date, x.date AS entry_date, x.open AS entry_price, CASE WHEN x.date IS NULL THEN 'no_bar' WHEN x.lock = 'upper' THEN 'cancelled' ELSE 'entered' END AS entry_status
 FROM ({SIG}) s JOIN numbered b USING (symbol, date) LEFT JOIN numbered x ON x.symbol = s.symbol AND x.{n} = b.{n} + 1""", "entry_price")(
-        lambda wb, c=clock: oc.next_open_entry(signals(wb), oc.numbered_bars(wb.panel, c)).select("symbol", "date", "entry_date", "entry_price", "entry_status"))
+        lambda wb, c=clock: oc.next_open_entry(signals(wb), oc.numbered_bars(wb.panel, c), c).select("symbol", "date", "entry_date", "entry_price", "entry_status"))
 XCOLS = ["rule", "date", "symbol", "entry_date", "entry_price", "hold_days", "status", "exit_date", "exit_price", "exit_reason", "last_date", "net_return", "holding_days"]
 
 
@@ -64,7 +64,7 @@ def exits(wb, clock, **kw):
     b = oc.numbered_bars(wb.panel, clock)
     if clock == "symbol":
         b = b.withColumn("lock", F.lit("none"))
-    return oc.first_exit(oc.next_open_entry(signals(wb), b), b, ["rule", "date"], **kw)
+    return oc.first_exit(oc.next_open_entry(signals(wb), b, clock), b, ["rule", "date"], **kw)
 
 
 query("t8_first_exit_symbol_clock", f"SELECT {', '.join(XCOLS)} FROM ({outcome_sql(SIG, 'symbol')})", "entry_price exit_price net_return")(lambda wb: exits(wb, "symbol").select(*XCOLS))

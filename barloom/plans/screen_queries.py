@@ -75,7 +75,7 @@ query("p10_latest_fundamentals", """SELECT * EXCLUDE (rn) FROM (SELECT *, row_nu
       "roce de_ratio sales_cagr3 profit_cagr3 eps_ttm:10", 5)(lambda wb: fd.latest_fundamentals(wb.metrics))
 
 # ---- rules --------------------------------------------------------------------------------------
-UNIVERSE = {"min_price_raw": 20, "min_median_turnover": 20000, "min_listed_days": 120, "exclude_series": ["SM", "ST", "MF", "GB", "IV"]}
+UNIVERSE = {"min_price_raw": 20, "min_median_turnover_inr": 20000, "min_listed_days": 120, "exclude_series": ["SM", "ST", "MF", "GB", "IV"]}
 
 
 def workbench_rules() -> dict[str, dict]:

@@ -521,7 +521,7 @@ class Workbench:
         from barloom.functions.lineage import cut
         from barloom.operators import outcomes as oc
         bars = oc.numbered_bars(self.panel, "market")
-        entries = oc.next_open_entry(self.picks.select("rule", "symbol", "date", "stop_pct", "target_pct", "hold_days"), bars)
+        entries = oc.next_open_entry(self.picks.select("rule", "symbol", "date", "stop_pct", "target_pct", "hold_days"), bars, "market")
         return cut(oc.first_exit(entries, bars, ["rule", "date"], 0.0))
 
     @cached_property

@@ -1,4 +1,4 @@
-"""The ten seed rules as data."""
+"""The ten seed rules as data. Names, keys, thresholds and condition trees in seed_rules.json are given."""
 
 import json
 from pathlib import Path

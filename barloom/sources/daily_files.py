@@ -14,8 +14,9 @@ BAR_COLUMNS = ["date", "exchange", "symbol", "isin", "series", "open", "high", "
                "trades", "delivery_qty", "delivery_pct", "source"]
 
 # Printed index names (lower case) and their stable codes.
-INDEX_CODES = {"nifty 50": "NIFTY_50", "cnx nifty": "NIFTY_50", "s&p cnx nifty": "NIFTY_50", "nifty 500": "NIFTY_500", "cnx 500": "NIFTY_500",
-               "s&p cnx 500": "NIFTY_500", "nifty bank": "NIFTY_BANK", "cnx bank": "NIFTY_BANK", "bank nifty": "NIFTY_BANK", "india vix": "INDIA_VIX"}
+INDEX_CODES = {"s&p cnx nifty": "NIFTY_50", "cnx nifty": "NIFTY_50", "nifty 50": "NIFTY_50", "s&p cnx nifty junior": "NIFTY_NEXT_50", "cnx nifty junior": "NIFTY_NEXT_50",
+               "nifty next 50": "NIFTY_NEXT_50", "cnx bank": "NIFTY_BANK", "bank nifty": "NIFTY_BANK", "nifty bank": "NIFTY_BANK", "cnx 500": "NIFTY_500",
+               "nifty 500": "NIFTY_500", "cnx it": "NIFTY_IT", "nifty it": "NIFTY_IT"}
 
 
 def _read_text(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
@@ -31,7 +32,9 @@ def _text(name: str) -> Column:
 
 
 def _num(name: str) -> Column:
-    return F.expr(f"try_cast(replace(nullif(nullif(trim(`{name}`), '-'), ''), ',', '') as double)")
+    """Blank and "-" are missing; any other text that is no number fails the read instead of becoming a price."""
+    text = f"replace(nullif(nullif(trim(`{name}`), '-'), ''), ',', '')"
+    return F.expr(f"CASE WHEN {text} IS NULL THEN NULL ELSE coalesce(try_cast({text} as double), raise_error(concat('not a number in {name}: ', {text}))) END")
 
 
 def _int(name: str) -> Column:

@@ -169,15 +169,6 @@ def test_restatement_replaces_a_quarter_from_its_own_date(spark):
     assert got == {D(2024, 2, 1): 4.0, D(2024, 3, 1): 8.0}
 
 
-def test_rename_chains_and_long_chain_is_reported(spark):
-    chain = [(f"S{i}", f"S{i + 1}", D(2000, 1, 1) + dt.timedelta(i)) for i in range(40)]
-    c = spark.createDataFrame(chain, "old_symbol string, new_symbol string, changed_on date")
-    done = {r.old_symbol: (r.final_symbol, r.complete) for r in idn.rename_targets(c, rounds=6).collect()}
-    assert done["S0"] == ("S40", True)
-    short = {r.old_symbol: r.complete for r in idn.rename_targets(c, rounds=2).collect()}
-    assert short["S0"] is False and short["S39"] is True
-
-
 def test_gate_matrix(spark):
     def verdict(outcomes, trades, dd):
         rows = [("r", "swing", o, trades, dd) for o in outcomes]
