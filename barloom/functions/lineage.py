@@ -4,17 +4,27 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of the session's spark.checkpoint.dir. Where none is set, a local session gets a temporary one; on a
+    cluster executors could not read that, so it is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or _own.get("path")
+    if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = _own["path"] = tempfile.mkdtemp(prefix="spark-")
+    return named
+
+
+_own: dict[str, str] = {}
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: written once to the cluster's shared checkpoint folder, read by every later
-    branch, and safe when executors are lost. A folder of our own is set only where the session has
-    none (local tests)."""
+    branch, and safe when executors are lost."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

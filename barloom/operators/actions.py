@@ -128,11 +128,11 @@ def cum_price(actions: DataFrame, bars: DataFrame, precedence: list[str], keys=(
 
 def face_value_asof(actions: DataFrame, parsed: DataFrame, securities: DataFrame) -> DataFrame:
     """Adds the face value in force at the ex-date: the "from" value of the earliest later face-value
-    change, else today's."""
-    changes = (parsed.filter(F.col("action_type").isin("split", "consolidation") & (F.col("fv_from") > 0))
-               .groupBy("symbol", F.col("ex_date").alias("change_date"))
+    change of the same exchange whose subject was understood, else today's."""
+    changes = (parsed.filter(F.col("action_type").isin("split", "consolidation") & (F.col("fv_from") > 0) & (F.col("parse_status") == "parsed"))
+               .groupBy("exchange", "symbol", F.col("ex_date").alias("change_date"))
                .agg(F.min_by("fv_from", F.struct("action_id", "clause")).alias("_fv")))
-    hit = asof_join(actions, changes, ["symbol"], "ex_date", "change_date", ["_fv"], direction="forward", strict=True)
+    hit = asof_join(actions, changes, ["exchange", "symbol"], "ex_date", "change_date", ["_fv"], direction="forward", strict=True)
     now = securities.select(F.col("canonical_symbol").alias("symbol"), F.col("face_value").alias("_now"))
     return (hit.join(now, "symbol", "left").withColumn("face_value", F.coalesce("_fv", "_now"))
             .drop("_fv", "_now", "change_date_asof"))
@@ -171,11 +171,13 @@ def resolve_action_identity(actions: DataFrame, history: DataFrame, listings: Da
 
 
 def dedupe_actions(factored: DataFrame) -> DataFrame:
-    """One row per economic event (type and factor on an ex-date), the newest capture wins."""
+    """One row per economic event (type and factor of a security on an ex-date), the newest capture wins. With
+    ``identity_key`` (see resolve_action_identity) a feed repeated under a new symbol is the same event."""
     usable = factored.filter(F.col("price_factor").isNotNull())
-    keyed = usable.withColumn("_f", F.round("price_factor", 12))
-    return latest_per(keyed, ["exchange", "symbol", "ex_date", "action_type", "_f"],
-                      [F.col("captured_on").desc(), F.col("action_id").desc()]).drop("_f")
+    who = F.col("identity_key") if "identity_key" in factored.columns else F.col("symbol")
+    keyed = usable.withColumn("_f", F.round("price_factor", 12)).withColumn("_w", who)
+    return latest_per(keyed, ["exchange", "_w", "ex_date", "action_type", "_f"],
+                      [F.col("captured_on").desc(), F.col("action_id").desc()]).drop("_f", "_w")
 
 
 def excluded_actions(factored: DataFrame) -> DataFrame:

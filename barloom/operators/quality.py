@@ -125,10 +125,11 @@ def benchmark_gaps(bars: DataFrame, index: DataFrame, code: str) -> DataFrame:
             .join(bench, "date", "left_anti"))
 
 
-def adjusted_freshness(adj: DataFrame, actions: DataFrame) -> DataFrame:
-    """Whether the adjusted series reaches past the newest ex-date of its exchange."""
+def adjusted_freshness(adj: DataFrame, actions: DataFrame, as_of) -> DataFrame:
+    """Whether the adjusted series reaches past the newest ex-date of its exchange up to ``as_of``; an ex-date
+    announced for later can't make it stale yet."""
     a = adj.groupBy("exchange").agg(F.max("date").alias("last_bar"))
-    x = actions.groupBy("exchange").agg(F.max("ex_date").alias("last_ex_date"))
+    x = actions.filter(F.col("ex_date") <= F.lit(as_of).cast("date")).groupBy("exchange").agg(F.max("ex_date").alias("last_ex_date"))
     return a.join(x, "exchange", "left").withColumn(
         "is_fresh", F.col("last_ex_date").isNull() | (F.col("last_bar") >= F.col("last_ex_date")))
 

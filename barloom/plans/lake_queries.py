@@ -1,13 +1,26 @@
 """Lake reads (survey 2.3) and the shared tables."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from barloom.functions.lineage import shared_folder
 from barloom.operators import lake
 from barloom.plans.registry import query
 from barloom.plans.workbench import SERIES
+from barloom.sources import store
 
 PREC = "CASE series WHEN 'EQ' THEN 1 WHEN 'BE' THEN 2 ELSE 3 END"
 
+
+def _lake(wb):
+    """The bars written as a lake of exchange and year folders, once per workbench, in the shared folder."""
+    if not hasattr(wb, "_lake_path"):
+        wb._lake_path = f"{shared_folder(wb.spark)}/lake-{uuid.uuid4().hex}"
+        store.write_bars(wb.bars, wb._lake_path)
+    return wb._lake_path
+
+
 query("t0_bars_daily", "SELECT * FROM bars", "vwap delivery_pct open high low close prev_close turnover")(lambda wb: wb.bars)
 query("t0_filings", "SELECT * FROM filings",
       "q_revenue q_pbt q_finance q_pat q_eps y_revenue y_pat i_equity i_borrow_nc i_borrow_c")(lambda wb: wb.filings)
@@ -28,6 +41,12 @@ query("l3_partition_row_counts", "SELECT exchange, year(date) AS year, count(*)
 query("l4_bars_for_symbol_raw", """SELECT * FROM bars WHERE exchange = 'NSE' AND symbol = 'Brand#7-0'
  AND date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'""", "open high low close prev_close vwap delivery_pct turnover")(
     lambda wb: lake.bars_for_symbol(wb.bars, "NSE", "Brand#7-0", "1996-01-01", "1999-12-31"))
+query("l4_bars_for_symbol_lake", """SELECT exchange, symbol, series, date, open, close, volume FROM bars WHERE exchange = 'NSE' AND symbol = 'Brand#7-0'
+ AND date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'""", "open close")(
+    lambda wb: lake.bars_for_symbol(store.read_bars(wb.spark, _lake(wb), wb.bars.schema, "NSE", "1996-01-01", "1999-12-31"), "NSE", "Brand#7-0")
+    .select("exchange", "symbol", "series", "date", "open", "close", "volume"))
+query("l3_partition_row_counts_lake", "SELECT exchange, year(date) AS year, count(*) AS n_rows FROM bars GROUP BY ALL")(
+    lambda wb: lake.partition_row_counts(store.read_bars(wb.spark, _lake(wb), wb.bars.schema)))
 query("l4_bars_for_symbol_adjusted", """SELECT * FROM adj WHERE exchange = 'NSE' AND symbol = 'Brand#7-0'
  AND date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'""",
       "open high low close prev_close vwap delivery_pct turnover cumulative_price_factor cumulative_volume_factor")(

@@ -77,8 +77,8 @@ query("d12_benchmark_gaps", """SELECT DISTINCT date FROM bars WHERE exchange = '
 AND NOT EXISTS (SELECT 1 FROM idx i WHERE i.index_code = 'BROAD_500' AND i.date = bars.date)""")(
     lambda wb: dq.benchmark_gaps(wb.bars.filter("exchange = 'NSE'"), wb.idx, "BROAD_500"))
 query("d13_adjusted_freshness", """SELECT exchange, last_bar, last_ex_date, last_ex_date IS NULL OR last_bar >= last_ex_date AS is_fresh
-FROM (SELECT exchange, max(date) AS last_bar FROM adj GROUP BY 1) LEFT JOIN (SELECT exchange, max(ex_date) AS last_ex_date FROM actions GROUP BY 1) USING (exchange)""")(
-    lambda wb: dq.adjusted_freshness(wb.adj, wb.actions))
+FROM (SELECT exchange, max(date) AS last_bar FROM adj GROUP BY 1) LEFT JOIN (SELECT exchange, max(ex_date) AS last_ex_date FROM actions WHERE ex_date <= DATE '1998-11-30' GROUP BY 1) USING (exchange)""")(
+    lambda wb: dq.adjusted_freshness(wb.adj, wb.actions, "1998-11-30"))
 query("d14_parse_status_counts", "SELECT parse_status, count(DISTINCT action_id) AS n FROM parsed GROUP BY 1")(
     lambda wb: dq.parse_status_counts(wb.parsed))
 HEALTH = """SELECT job, day, max(attempt) AS attempt, arg_max(status, attempt) AS status FROM job_runs GROUP BY job, day HAVING arg_max(status, attempt) IN ('failed', 'degraded')"""

@@ -1,9 +1,10 @@
 """Read models, stores, normalisers and intraday tables (survey 2.1, 2.12, 2.13)."""
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
+from barloom.functions.lineage import shared_folder
 from barloom.operators import evaluation as ev
 from barloom.operators import identity as idn
 from barloom.operators import lake
@@ -185,8 +186,7 @@ query("x1_candles", C5)(lambda wb: cd.candles(wb.ticks, "5 minutes", tiebreak="e
 
 def _streamed(wb):
     """The same candles from a stream over the events table, run to its end."""
-    shared = wb.spark.conf.get("spark.checkpoint.dir", None) or wb.spark.sparkContext.getCheckpointDir()
-    base = f"{shared}/candles-{wb.spark.sparkContext.applicationId}-{abs(hash((id(wb), wb.dir)))}" if shared else tempfile.mkdtemp(prefix="spark-")
+    base = f"{shared_folder(wb.spark)}/candles-{uuid.uuid4().hex}"
     src = wb.spark.readStream.schema("event_id long, ts timestamp, user_id long, event_type string, value double, props string").option("pathGlobFilter", "events.parquet").parquet(wb.dir)
     ticks = src.select(F.concat("event_type", F.lit("-"), F.expr("user_id div 50").cast("string")).alias("symbol"), "ts", F.col("value").alias("price"), "event_id", (1 + F.col("event_id") % 100).alias("qty"))
     jobs.start_candles(ticks, f"{base}/out", f"{base}/state").awaitTermination()

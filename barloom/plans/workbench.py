@@ -166,7 +166,7 @@ FROM actions a JOIN bars b ON b.symbol = a.symbol AND b.exchange = a.exchange AN
 GROUP BY action_id""",
     "facevalue": """
 SELECT a.action_id, coalesce(arg_min(s.fv_from, row(s.ex_date, s.action_id)), min(x.face_value)) AS face_value
-FROM actions a LEFT JOIN parsed s ON s.symbol = a.symbol AND s.ex_date > a.ex_date AND s.fv_from > 0
+FROM actions a LEFT JOIN parsed s ON s.exchange = a.exchange AND s.symbol = a.symbol AND s.ex_date > a.ex_date AND s.fv_from > 0 AND s.parse_status = 'parsed'
   AND s.action_type IN ('split', 'consolidation')
 LEFT JOIN securities x ON x.canonical_symbol = a.symbol
 GROUP BY a.action_id""",

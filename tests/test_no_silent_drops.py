@@ -10,6 +10,7 @@ from barloom.operators import ledger
 from barloom.operators import outcomes as oc
 from barloom.rules import seed_rules
 from barloom.sources import daily_files as df
+from barloom.sources import store
 
 D = dt.date
 
@@ -76,3 +77,23 @@ def test_bad_number_fails_the_read(spark):
     assert (good.close, good["last"], good.delivery_qty) == (1000.5, None, None)
     with pytest.raises(Exception, match="not a number in CLOSE_PRICE"):
         df.normalise_full_daily(spark.createDataFrame([{**row, "CLOSE_PRICE": "12x"}])).collect()
+
+
+def test_lake_reader_prunes_folders_and_knows_an_absent_lake(spark, tmp_path):
+    bars = spark.createDataFrame([(ex, f"S{k}", D(2020 + y, 1, 2), float(k), 5) for ex in ("NSE", "BSE") for y in range(4) for k in range(3)], "exchange string, symbol string, date date, close double, volume long")
+    path = str(tmp_path / "lake")
+    assert store.read_bars(spark, path, bars.schema, "NSE").schema.names == bars.columns and store.read_bars(spark, path, bars.schema).count() == 0
+    store.write_bars(bars, path)
+    assert sorted(map(tuple, store.read_bars(spark, path, bars.schema).collect())) == sorted(map(tuple, bars.collect()))
+    got = store.read_bars(spark, path, bars.schema, "NSE", "2021-06-01", "2022-12-31")
+    assert {(r.exchange, r.date.year) for r in got.collect()} == {("NSE", 2022)} and len(got.inputFiles()) >= 1
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    folders = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "exchange" in folders and "year" in folders and got.count() == 3
+
+
+def test_manifest_sees_pairs_of_equal_rows(spark):
+    row = ("NSE", "A", D(2020, 1, 2), 1.0)
+    schema = "exchange string, symbol string, date date, close double"
+    old, new = (store.partition_manifest(spark.createDataFrame([row, row, *[("NSE", "B", D(2020, 1, 2), v)] * 2], schema)) for v in (1.0, 2.0))
+    assert [r.problem for r in store.verify_manifest(old, new).collect()] == ["content"]
