@@ -82,3 +82,27 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(common.table(spark, sf_dir, "documents"))
+
+
+def _template_values() -> str:
+    rows = []
+    for number, (label, phrase) in enumerate([*BASE, *NOTICES]):
+        words = [*phrase.split(), None]
+        for q in range(len(words) - 2):
+            third = "NULL" if words[q + 2] is None else f"'{words[q + 2]}'"
+            rows.append(f"({number}, {number < len(BASE)}, '{label}', {len(words) - 2}, {q}, '{words[q]}', '{words[q + 1]}', {third})")
+    return ", ".join(rows)
+
+
+OP1_SQL = rf"""
+WITH t(template, base, label, bigrams, q, t1, t2, t3) AS (VALUES {_template_values()}),
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{common.UPPER}', '{common.LOWER}'), '{SEPARATOR}'), lambda x: x <> '') AS words FROM documents),
+g AS (SELECT doc_id, p, words[p + 1] AS w1, words[p + 2] AS w2, words[p + 3] AS w3 FROM (SELECT doc_id, words, unnest(range(len(words) - 1)) AS p FROM w)),
+v AS (SELECT doc_id, template, base, label, bigrams, p - q AS diagonal, count(*) AS votes FROM g JOIN t ON w1 = t1 AND w2 = t2 AND (t3 IS NULL OR w3 = t3) GROUP BY ALL),
+m AS (SELECT *, CASE WHEN base THEN 1 WHEN diagonal - lag(diagonal) OVER o <= {NEAR} THEN 0 ELSE 1 END AS far FROM v WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+n AS (SELECT *, sum(far) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM m),
+s AS (SELECT doc_id, base, label, min(diagonal) AS first_word, least(sum(votes) / bigrams, 1.0::DOUBLE) AS coverage FROM n GROUP BY doc_id, template, base, label, bigrams, span),
+k AS (SELECT *, coverage >= CASE WHEN base THEN 1 ELSE {COVERAGE} END AS verified FROM s)
+SELECT w.doc_id, any_value(len(words)) AS n_words, count(*) FILTER (base AND verified) AS n_base, min(first_word) FILTER (base AND verified) AS first_word, max(first_word) FILTER (base AND verified) AS last_word,
+ coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND verified), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (verified), '') AS labels, coalesce(max(coverage), 0) AS score
+FROM w LEFT JOIN k ON w.doc_id = k.doc_id GROUP BY w.doc_id"""

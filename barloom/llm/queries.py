@@ -20,4 +20,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_maxscore": maxscore.op9_maxscore,
     "op10_minhash": minhash.op10_minhash,
 }
-ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dedup.OP2_SQL, "op6_mixing": mixing.OP6_SQL, "op9_maxscore": maxscore.OP9_SQL}
+ORACLES: dict[str, str] = {"op1_licenses": licenses.OP1_SQL, "op2_exact_dedup": exact_dedup.OP2_SQL, "op6_mixing": mixing.OP6_SQL, "op9_maxscore": maxscore.OP9_SQL}
