@@ -120,14 +120,19 @@ def dividends(trades: DataFrame, actions: DataFrame) -> DataFrame:
 
 
 def rescale_orders(orders: DataFrame, actions: DataFrame) -> DataFrame:
-    """Working orders after a split or bonus: prices times the factor to paise, quantity floored,
-    cancelled when nothing is left."""
-    j = orders.filter(F.col("status").isin("open", "pending_eod")).join(actions.select("symbol", "price_factor", "volume_factor"), "symbol")
-    qty = F.floor(F.col("qty") * F.col("volume_factor") + 1e-9).cast("long")
-    out = j.withColumn("new_qty", qty).withColumn("status", F.when(F.col("new_qty") < 1, "cancelled").otherwise(F.col("status")))
-    for c in ("limit_price", "trigger_price"):
-        out = out.withColumn(c, F.floor(F.col(c) * F.col("price_factor") * 100 + 0.5) / 100)
-    return out
+    """Working orders after the splits and bonuses with an ex-date while they were open (after ``date``, and not after
+    ``valid_until`` where that is set): limit, trigger and bracket prices times the factor to paise, quantity floored, one
+    action after the other; cancelled when nothing is left. Orders that met no action are left out. A symbol's few
+    actions travel as one list, so an order stays one row."""
+    own = actions.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("ex_date", "price_factor", "volume_factor"))).alias("_a"))
+    met = F.filter("_a", lambda a: (a["ex_date"] > F.col("date")) & F.coalesce(a["ex_date"] <= F.col("valid_until"), F.lit(True)))
+    out = orders.filter(F.col("status").isin("open", "pending_eod")).join(own, "symbol").withColumn("_a", met).filter(F.size("_a") > 0)
+    out = out.withColumn("new_qty", F.aggregate("_a", F.col("qty").cast("long"), lambda q, a: F.floor(q * a["volume_factor"] + 1e-9).cast("long")))
+    for c in ("limit_price", "trigger_price", "bracket_stop", "bracket_target"):
+        if c in orders.columns:
+            out = out.withColumn(c, F.aggregate("_a", F.col(c).cast("double"), lambda p, a: F.floor(p * a["price_factor"] * 100 + 0.5) / 100))
+    return (out.withColumn("status", F.when(F.col("new_qty") < 1, "cancelled").otherwise(F.col("status")))
+            .withColumn("n_actions", F.size("_a")).withColumn("ex_date", F.element_at("_a", -1)["ex_date"]).drop("_a"))
 
 
 def apply_once(actions: DataFrame, applied: DataFrame, key: list[str]) -> DataFrame:

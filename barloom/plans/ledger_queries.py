@@ -52,18 +52,20 @@ query("b5_dividends", """SELECT portfolio, symbol, action_id, clause, ex_date, h
 
 
 def _book(wb):
-    """Working orders on market symbols: one limit or stop order per purchase of the ledger's odd lines."""
-    return wb.ledger.filter("side = 'buy'").select("portfolio", "symbol", "date", "orderkey", "linenumber", "partkey", "suppkey", "amount", F.col("qty"), F.col("price").alias("limit_price"),
-                                                   F.when(F.col("linenumber") % 2 == 0, F.col("price")).alias("trigger_price"), F.lit("open").alias("status"))
+    """Working orders on market symbols: one limit, stop or bracket order per purchase, open for a year."""
+    odd = F.when(F.col("linenumber") % 2 == 0, F.col("price"))
+    return wb.ledger.filter("side = 'buy'").select("portfolio", "symbol", "date", "orderkey", "linenumber", "partkey", "suppkey", "amount", "qty", F.col("price").alias("limit_price"), odd.alias("trigger_price"),
+                                                   (odd * 0.9).alias("bracket_stop"), (odd * 1.1).alias("bracket_target"), F.lit("open").alias("status"), F.date_add("date", 365).alias("valid_until"))
 
 
-RC = "portfolio, symbol, date, orderkey, linenumber, partkey, suppkey, amount, ex_date"
-query("b6_rescale_orders", f"""SELECT l.portfolio, l.symbol, l.date, orderkey, linenumber, partkey, suppkey, amount, a.ex_date, CAST(floor(qty * volume_factor + 1e-9) AS BIGINT) AS new_qty,
- CASE WHEN floor(qty * volume_factor + 1e-9) < 1 THEN 'cancelled' ELSE 'open' END AS status, floor(price * price_factor * 100 + 0.5) / 100 AS limit_price, CASE WHEN linenumber % 2 = 0 THEN floor(price * price_factor * 100 + 0.5) / 100 END AS trigger_price
-FROM ledger l JOIN ({SPLITS}) a ON a.symbol = l.symbol AND a.ex_date = l.date WHERE side = 'buy'""", "amount:2 limit_price:2 trigger_price:2")(
-    lambda wb: lg.rescale_orders(_book(wb).withColumnRenamed("symbol", "name").withColumn("symbol", F.concat_ws("|", "name", F.col("date").cast("string"))),
-                                 _splits(wb).select(F.concat_ws("|", "symbol", F.col("ex_date").cast("string")).alias("symbol"), "price_factor", "volume_factor"))
-    .withColumn("symbol", F.col("name")).withColumn("ex_date", F.col("date")).select(*RC.split(", "), "new_qty", "status", "limit_price", "trigger_price"))
+RC = "portfolio, symbol, date, orderkey, linenumber, partkey, suppkey, amount"
+SCALED = "list_reduce(list_prepend(CASE WHEN linenumber % 2 = 0 THEN price * {0} END, pf), lambda x, y: floor(x * y * 100 + 0.5) / 100)"
+query("b6_rescale_orders", f"""
+WITH o AS (SELECT {', '.join('l.' + c for c in RC.split(', '))}, l.qty, l.price, max(a.ex_date) AS ex_date, CAST(count(*) AS INTEGER) AS n_actions, list(CAST(volume_factor AS DOUBLE) ORDER BY a.ex_date, price_factor) AS vf, list(CAST(price_factor AS DOUBLE) ORDER BY a.ex_date, price_factor) AS pf
+ FROM ledger l JOIN ({SPLITS}) a ON a.symbol = l.symbol AND a.ex_date > l.date AND a.ex_date <= l.date + 365 WHERE side = 'buy' GROUP BY ALL)
+SELECT {RC}, ex_date, n_actions, CAST(list_reduce(list_prepend(CAST(qty AS DOUBLE), vf), lambda x, y: floor(x * y + 1e-9)) AS BIGINT) AS new_qty, CASE WHEN list_reduce(list_prepend(CAST(qty AS DOUBLE), vf), lambda x, y: floor(x * y + 1e-9)) < 1 THEN 'cancelled' ELSE 'open' END AS status,
+ list_reduce(list_prepend(CAST(price AS DOUBLE), pf), lambda x, y: floor(x * y * 100 + 0.5) / 100) AS limit_price, {SCALED.format('1')} AS trigger_price, {SCALED.format('0.9::DOUBLE')} AS bracket_stop, {SCALED.format('1.1::DOUBLE')} AS bracket_target FROM o""", "amount:2 limit_price:2 trigger_price:2 bracket_stop:2 bracket_target:2")(
+    lambda wb: lg.rescale_orders(_book(wb), _splits(wb)).select(*RC.split(", "), "ex_date", "n_actions", "new_qty", "status", "limit_price", "trigger_price", "bracket_stop", "bracket_target"))
 AK = ["symbol", "ex_date", "action_type", "num", "den", "amount"]
 query("b7_apply_once", """WITH k AS (SELECT DISTINCT symbol, ex_date, action_type, num, den, amount, price_factor FROM parsed WHERE parse_status = 'parsed')
 SELECT symbol, ex_date, action_type, num, den, amount FROM k WHERE symbol || ex_date NOT IN (SELECT symbol || ex_date FROM parsed WHERE action_type = 'dividend' AND parse_status = 'parsed')""", "amount")(
