@@ -33,8 +33,8 @@ NOTICES = (
     ("mpl", "subject to the terms of the mozilla public license"),
     ("public-domain", "released into the public domain"),
 )
-#: Share of a notice's bigrams that a span needs, and the distance of diagonals that are merged.
-COVERAGE, NEAR = 0.7, 2
+#: Share of a notice's bigrams that a span needs (a changed word costs three), and the distance of diagonals that are merged.
+COVERAGE, NEAR = 0.55, 2
 
 
 def templates(spark: SparkSession, base: tuple = BASE, notices: tuple = NOTICES) -> DataFrame:
