@@ -19,7 +19,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -186,10 +186,9 @@ def label_texts(texts: list[str], model: Model) -> tuple[list[str], list[float],
 def _fit_rows(df: DataFrame, lang_col: str, id_col: str, text_col: str, per_language: int) -> DataFrame:
     """At most per_language texts of each language, those with the smallest hash of their id."""
     known = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rank = Window.partitionBy("lang").orderBy("hash", "id")
-    picked = known.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(F.lit("fit"), F.col(id_col)).alias("hash")).withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= per_language)
+    picked = common.smallest_hashes(known.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id")), "lang", "id", per_language)
     rows = known.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.join(picked.select("lang", "id").distinct(), ["lang", "id"], "left_semi").select("lang", "text")
+    return rows.join(F.broadcast(picked.distinct()), ["lang", "id"], "left_semi").select("lang", "text")  # per_language short rows a language
 
 
 def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, buckets: int = 1 << 15, penalty: float = 6.0) -> Model:
@@ -252,7 +251,7 @@ def detect(df: DataFrame, model: Model, text_col: str = "text", carry: dict[str,
                 yield pa.RecordBatch.from_arrays(cols, [*part.schema.names[1:], "lang_pred", "score", *["spans"] * with_spans])
                 at += len(texts)
 
-    rows = common.ship(df).select(F.col(text_col).cast("string").alias("text to label"), *[c.alias(k) for k, c in carry.items()])
+    rows = common.ship(df).select(F.col(text_col).cast("string").alias(common.free_name("text", carry)), *[c.alias(k) for k, c in carry.items()])
     schema = T.StructType([*rows.schema.fields[1:], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *[T.StructField("spans", SPANS)] * with_spans])
     return rows.mapInArrow(run, schema)
 
