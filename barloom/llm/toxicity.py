@@ -20,7 +20,7 @@ from functools import cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -136,9 +136,9 @@ def _sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int)
     """text, y of at most per_class labelled rows of each class, those with the smallest hash of their id."""
     known = labels.filter(F.col(label_col).isin(0, 1)).select("doc_id", F.col(label_col).cast("int").alias("y"))
     known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    rank = Window.partitionBy("y").orderBy(F.xxhash64(F.lit("fit"), "doc_id"), "doc_id")
-    picked = known.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= per_class).select("doc_id", "y")
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(picked, "doc_id").select("text", "y")
+    picked = common.smallest_hashes(known, "y", "doc_id", per_class)
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return texts.join(F.broadcast(picked), "doc_id").select("text", "y")  # at most 2 * per_class short rows
 
 
 def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: int = 10_000, min_docs: int = 8, min_odds: float = 3.0, most: int = 2_000) -> Lexicon:
@@ -188,7 +188,7 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_clas
 def score_texts(df: DataFrame, lexicon: Lexicon, text_col: str = "text", carry: dict[str, Column] | None = None) -> DataFrame:
     """The carried columns (the id if none are named) with score, predicted and n_hits."""
     carry = carry or {"doc_id": F.col("doc_id")}
-    rows = common.ship(df).select(F.col(text_col).cast("string").alias("text to score"), *[c.alias(k) for k, c in carry.items()])
+    rows = common.ship(df).select(F.col(text_col).cast("string").alias(common.free_name("text", carry)), *[c.alias(k) for k, c in carry.items()])
     shared = df.sparkSession.sparkContext.broadcast(lexicon)  # a bounded number of entries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
