@@ -2,18 +2,19 @@
 
 Every string of `length` bytes that also starts somewhere else, in the same or another document, is to go. Each such window
 has an anchor: the place in it of the gram (`gram` bytes) with the smallest hash, leftmost on ties, so equal windows have
-equal anchors at equal places. Anchors whose gram occurs once are done with. For the others the suffixes that start there
-are sorted, each as far as a window with that anchor can reach:
+equal anchors at equal places. Anchors whose gram occurs once are done with. An anchor's context is all that a window with
+that anchor can reach; of equal contexts, told by a 128-bit hash, all windows repeat, and one stands for all from here on.
+For grams with several contexts the suffixes that start at the anchor are sorted, as far as the context reaches:
 
 * a task sorts its suffixes into runs and front-codes them: the length of the prefix shared with the one before, then the
-  rest. Runs are dealt by ranges of their first bytes;
+  rest. Runs are dealt by ranges of their grams' hashes, so equal grams meet and no common beginning makes a range large;
 * runs of a range are merged by a loser tree that knows for each run's head how long a prefix it shares with the last
   suffix put out. A longer known prefix wins unseen; only equal ones are compared, from the known prefix on. So the merge
   also yields the common prefix of neighbours;
 * two windows that reach o bytes to the left of their anchors are equal if no neighbour between their suffixes shares less
   than length - o bytes, and their o bytes to the left have the same hash.
 
-Grams that occur more than `hot` times would make one range too large: hashes of their windows are counted by Spark instead,
+Grams with more than `hot` contexts would make one range too large: hashes of their windows are counted by Spark instead,
 which collapses equal ones before the shuffle; that is the exact way for the rest.
 
 Null texts count as empty. Texts shorter than `length` lose nothing. Documents are told apart by a 64-bit hash of id and
@@ -48,7 +49,7 @@ class Hashes:
         _grow(len(flat) + 1)
         self.total = np.concatenate([np.zeros(1, _U), np.cumsum(_BYTE[flat] * _powers["up"][: len(flat)], dtype=_U)])
 
-    def of(self, start: np.ndarray, size: int) -> np.ndarray:
+    def of(self, start: np.ndarray, size: int | np.ndarray) -> np.ndarray:
         return _mix((self.total[start + size] - self.total[start]) * _powers["down"][start])
 
 
@@ -148,7 +149,7 @@ def repeated_reach(shared: np.ndarray, left: np.ndarray, low: np.ndarray, high:
     """For sorted suffixes the smallest and largest reach to the left of a window that occurs more than once, or -1.
 
     left[i, o]: the byte o + 1 before the anchor. Windows of anchor i reach from low[i] to high[i]. many: the whole
-    context occurs more than once."""
+    context occurs more than once, so all of its windows do."""
     n = len(shared)
     least, most = np.where(many, low, -1), np.where(many, high, -1)
     value = np.zeros(n, _U)
@@ -172,11 +173,11 @@ def repeated_reach(shared: np.ndarray, left: np.ndarray, low: np.ndarray, high:
 
 
 def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """key, place, high, low, gram, head (the gram's first 8 bytes as a number)."""
+    """key, place, high, low, gram, context (a hash of all that the anchor's windows reach)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, place, high, low, grams, head = [], [], [], [], [], []
+            key, place, high, low, grams, context = [], [], [], [], [], []
             for k, text in zip(batch.column(0).to_numpy(), batch.column(1), strict=True):
                 data = (text.as_py() or "").encode()
                 p, h, l_, g = anchors(data, length, gram)
@@ -186,19 +187,20 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     high.append(h)
                     low.append(l_)
                     grams.append(g.view(np.int64))
-                    head.append(np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), 8)[p].copy().view(">u8").ravel() >> _U(1))
+                    whole = Hashes(np.frombuffer(data, np.uint8)).of(p - h, h - l_ + length)
+                    context.append((_mix(whole ^ (h << 32 | l_).astype(_U))).view(np.int64))
             if key:
                 of = lambda x, t=np.int64: pa.array(np.concatenate(x).astype(t))
-                yield pa.RecordBatch.from_arrays([of(key), of(place), of(high, np.int32), of(low, np.int32), of(grams), of(head)], ["key", "place", "high", "low", "gram", "head"])
+                yield pa.RecordBatch.from_arrays([of(key), of(place), of(high, np.int32), of(low, np.int32), of(grams), of(context)], ["key", "place", "high", "low", "gram", "context"])
 
-    return docs.select("key", "text").mapInArrow(run, "key long, place long, high int, low int, gram long, head long")
+    return docs.select("key", "text").mapInArrow(run, "key long, place long, high int, low int, gram long, context long")
 
 
-RUNS = "range long, run long, n int, shared binary, size binary, rest binary, left_size binary, left binary, key binary, place binary, reach binary"
+RUNS = "range long, run long, n int, shared binary, size binary, rest binary, left_size binary, left binary, key binary, place binary, reach binary, many binary"
 
 
-def _runs(joined: DataFrame, splits: np.ndarray, length: int) -> DataFrame:
-    """Front-coded sorted runs, one row per run and range. joined: key, text, found (place, high, low, gram, head)."""
+def _runs(joined: DataFrame, ranges: int, length: int) -> DataFrame:
+    """Front-coded sorted runs, one row per run and range. joined: key, text, found (place, high, low, gram, many)."""
 
     def rows(entries: list[tuple], run_id: int) -> pa.RecordBatch:
         by_range: dict[int, list[tuple]] = {}
@@ -214,10 +216,10 @@ def _runs(joined: DataFrame, splits: np.ndarray, length: int) -> DataFrame:
                 rest.append(e[1][k:])
                 before = e[1]
             pack = lambda x, t: np.array(x, t).tobytes()
-            row = (part, run_id, len(own), pack(shared, "<u2"), pack([len(r) for r in rest], "<u2"), b"".join(rest), pack([len(e[2]) for e in own], "<u2"), b"".join(e[2] for e in own), pack([e[3] for e in own], "<i8"), pack([e[4] for e in own], "<i8"), pack([(e[5], e[6]) for e in own], "<u2"))
+            row = (part, run_id, len(own), pack(shared, "<u2"), pack([len(r) for r in rest], "<u2"), b"".join(rest), pack([len(e[2]) for e in own], "<u2"), b"".join(e[2] for e in own), pack([e[3] for e in own], "<i8"), pack([e[4] for e in own], "<i8"), pack([(e[5], e[6]) for e in own], "<u2"), pack([e[7] for e in own], "?"))
             for name, value in zip(out, row, strict=True):
                 out[name].append(value)
-        kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 8]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 9]
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,9 +230,8 @@ def _runs(joined: DataFrame, splits: np.ndarray, length: int) -> DataFrame:
                 data = text.as_py().encode()
                 for f in found.as_py():
                     p, high, low = f["place"], f["high"], f["low"]
-                    a, b = np.searchsorted(splits, f["head"], "left"), np.searchsorted(splits, f["head"], "right")
-                    part = int(a) + f["gram"] % (int(b - a) + 1)  # a first word that fills several ranges is dealt by gram
-                    entries.append((part, data[p : p - low + length], data[p - high : p], key, p, low, high))
+                    part = (f["gram"] + 2**63) * ranges >> 64
+                    entries.append((part, data[p : p - low + length], data[p - high : p], key, p, low, high, f["many"]))
                 if len(entries) >= RUN:
                     yield rows(entries, number)
                     entries, number = [], number + 1
@@ -243,7 +244,7 @@ def _runs(joined: DataFrame, splits: np.ndarray, length: int) -> DataFrame:
 def _merge(table: pa.Table, length: int) -> pa.Table:
     """Spans of the range's repeated windows: key, start, end."""
     rows = sorted(table.to_pylist(), key=lambda r: r["run"])
-    runs, lefts, keys, places, reach = [], [], [], [], []
+    runs, lefts, keys, places, reach, many = [], [], [], [], [], []
     for r in rows:
         get = lambda name, t, r=r: np.frombuffer(r[name], t)
         shared, suffixes, before, at = get("shared", "<u2").tolist(), [], b"", 0
@@ -257,6 +258,7 @@ def _merge(table: pa.Table, length: int) -> pa.Table:
         keys.append(get("key", "<i8"))
         places.append(get("place", "<i8"))
         reach.append(get("reach", "<u2").reshape(-1, 2))
+        many.append(get("many", "?"))
     at = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
     order, shared = [], []
     for r, n, k in LoserTree(runs):
@@ -265,24 +267,12 @@ def _merge(table: pa.Table, length: int) -> pa.Table:
     order, shared = np.array(order, np.int64), np.array(shared, np.int64)
     key, place, (low, high) = np.concatenate(keys)[order], np.concatenate(places)[order], np.concatenate(reach)[order].astype(np.int64).T
     left = [x for own in lefts for x in own]
-    left = [left[i] for i in order]
-    size = length - low
-    # contexts equal from end to end: one stands for all, and all of its windows repeat
-    first: dict[tuple, int] = {}
-    of, group = np.empty(len(order), np.int64), 0
-    for i in range(len(order)):
-        group += bool(shared[i] < size[i] or (i and size[i - 1] != size[i]))
-        of[i] = first.setdefault((group, left[i]), i)
-    lone, copies = np.unique(of, return_counts=True)
-    gap = np.minimum.reduceat(shared, np.concatenate([[0], lone[:-1] + 1])) if len(lone) else shared
-    wide = int(high.max(initial=0))
-    bytes_left = np.zeros((len(lone), wide), np.uint8)
-    for n, i in enumerate(lone):
-        bytes_left[n, : high[i]] = np.frombuffer(left[i], np.uint8)[::-1]
-    least, most = repeated_reach(gap, bytes_left, low[lone], high[lone], copies > 1, length)
-    where = np.searchsorted(lone, of)
-    least, most = least[where], most[where]
-    hit = least >= 0
+    many = np.concatenate(many)[order]
+    bytes_left = np.zeros((len(order), int(high.max(initial=0))), np.uint8)
+    for n, i in enumerate(order):
+        bytes_left[n, : high[n]] = np.frombuffer(left[i], np.uint8)[::-1]
+    least, most = repeated_reach(shared, bytes_left, low, high, many, length)
+    hit = (least >= 0) & ~many
     return pa.table({"key": key[hit], "start": (place - most)[hit], "end": (place - least + length)[hit]})
 
 
@@ -293,41 +283,43 @@ def _hot_windows(joined: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for key, text, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 data = text.as_py().encode()
-                start = np.unique(np.concatenate([np.arange(f["place"] - f["high"], f["place"] - f["low"] + 1) for f in found.as_py()]))
+                own = [(np.arange(f["place"] - f["high"], f["place"] - f["low"] + 1), 1 + f["many"]) for f in found.as_py()]
+                start, times = np.concatenate([x for x, _ in own]), np.concatenate([np.full(len(x), n) for x, n in own])
                 flat = np.frombuffer(data, np.uint8)
                 one, two = Hashes(flat).of(start, length), Hashes(flat[::-1]).of(len(flat) - start - length, length)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), key)), pa.array(start), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["key", "start", "w1", "w2"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), key)), pa.array(start), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(times, pa.int64())], ["key", "start", "w1", "w2", "times"])
 
-    windows = common.cut(joined.mapInArrow(run, "key long, start long, w1 long, w2 long"))
-    again = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w1", "w2")
+    windows = common.cut(joined.mapInArrow(run, "key long, start long, w1 long, w2 long, times long"))
+    again = windows.groupBy("w1", "w2").agg(F.sum("times").alias("n")).filter("n > 1").select("w1", "w2")
     return windows.join(again, ["w1", "w2"], "left_semi").select("key", "start", (F.col("start") + length).alias("end"))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """key, start, end of stretches in which every byte is in a repeated window; they may overlap. docs: key, text."""
     found = common.cut(_anchor_rows(docs, length, gram))
-    often = found.groupBy("gram").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
-    again = found.join(often, "gram").withColumn("hot", F.col("times") > hot)
-    again = common.cut(again.groupBy("key", "hot").agg(F.collect_list(F.struct("place", "high", "low", "gram", "head")).alias("found"), F.count(F.lit(1)).alias("n")))
-    few = again.filter(~F.col("hot"))
-    ranges = -(-(few.agg(F.sum("n")).first()[0] or 0) // RANGE)
-    splits = np.empty(0, np.int64)
-    if ranges > 1:
-        heads = few.select(F.explode("found.head").alias("head"))
-        splits = np.array(heads.agg(F.percentile_approx("head", [k / ranges for k in range(1, ranges)], F.lit(max(10_000, 10 * ranges)))).first()[0], np.int64)
-    texts = docs.select("key", "text")
-    schema = "key long, start long, end long"
-    spans = _runs(texts.join(few.select("key", "found"), "key"), splits, length).groupBy("range").applyInArrow(lambda t: _merge(t, length), schema)
-    if again.filter("hot").isEmpty():
+    often = found.groupBy("gram").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("gram")
+    again = common.cut(found.join(often, "gram", "left_semi"))
+    contexts = common.cut(again.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("times"), F.min("key").alias("key"), F.min_by(F.col("place"), F.col("key")).alias("place"), F.min("high").alias("high"), F.min("low").alias("low")))
+    copied = again.join(contexts.filter("times > 1").select("gram", "context"), ["gram", "context"], "left_semi")
+    spans = copied.select("key", (F.col("place") - F.col("high")).alias("start"), (F.col("place") - F.col("low") + length).alias("end"))
+    varied = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts")).filter("contexts > 1")
+    sort = contexts.join(varied, "gram").select("key", "place", "high", "low", "gram", (F.col("times") > 1).alias("many"), (F.col("contexts") > hot).alias("hot"))
+    sort = common.cut(sort.groupBy("key", "hot").agg(F.collect_list(F.struct("place", "high", "low", "gram", "many")).alias("found"), F.count(F.lit(1)).alias("n")))
+    few, hot_ones = sort.filter(~F.col("hot")), sort.filter("hot")
+    ranges = max(1, -(-(few.agg(F.sum("n")).first()[0] or 0) // RANGE))
+    runs = _runs(docs.select("key", "text").join(few.select("key", "found"), "key"), ranges, length)
+    spans = spans.unionByName(runs.groupBy("range").applyInArrow(lambda t: _merge(t, length), "key long, start long, end long"))
+    if hot_ones.isEmpty():
         return spans
-    return spans.unionByName(_hot_windows(texts.join(again.filter("hot").select("key", "found"), "key"), length))
+    return spans.unionByName(_hot_windows(docs.select("key", "text").join(hot_ones.select("key", "found"), "key"), length))
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """One row per row of df: the id, n_bytes, n_removed, n_spans and kept, the bytes that stay."""
     docs = common.ship(df).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("key", F.xxhash64(F.col("id"), F.col("text")))
-    spans = repeated_spans(docs, length, gram, hot).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    spans = common.cut(repeated_spans(docs, length, gram, hot).distinct())
+    spans, several = spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans")), spans.count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -350,7 +342,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 kept.append(b"".join(pieces))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary())], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    rows = docs.join(spans, "key", "left").select("id", "text", "spans")
+    # up to common.FEW spans go to every task, so that texts stay where they are; more are joined by a shuffle
+    rows = docs.join(F.broadcast(spans) if several <= common.FEW else spans, "key", "left").select("id", "text", "spans")
     schema = T.StructType([rows.schema.fields[0], *[T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept", T.BinaryType())])
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
