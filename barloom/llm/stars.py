@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import common
 from .components import components
 
-#: Centres of a bucket in each round after the first.
+#: Centres of a bucket in the second round; each later one takes four times as many.
 CENTRES = 32
 
 
@@ -28,9 +28,10 @@ def star_links(rows: DataFrame, near: str, details: Callable[[DataFrame], DataFr
     members = common.cut(rows.join(full, "key"))
     if members.isEmpty():
         return None
-    degree = members.groupBy("id").agg(F.sum("others").alias("degree"))
+    degree = common.cut(members.groupBy("id").agg(F.sum("others").alias("degree"), F.collect_set("key").alias("keys")))
     known = details(degree.select("id"))
     members = common.cut(members.drop("others").join(degree, "id").withColumn("comp", F.col("id")))
+    once = "array_min(array_intersect(keys, other_keys)) = key"  # in the first bucket only where a centre meets a member
     links, seen, centres = None, None, 1
     while True:
         if centres == 1:  # the best of a hot bucket is found by a hash aggregate
@@ -41,8 +42,10 @@ def star_links(rows: DataFrame, near: str, details: Callable[[DataFrame], DataFr
             rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("degree"), "id"))
             chosen = members.withColumn("rank", rank).filter(F.col("rank") <= centres)
         chosen = common.cut(chosen.select("key", F.col("comp").alias("other_comp"), *[F.col(c).alias(f"other_{c}") for c in own]))
-        pairs = members.join(chosen, "key").filter(f"comp <> other_comp and {near}").select(F.col("other_id").alias("a"), F.col("id").alias("b"))
-        pairs = pairs.groupBy(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).agg(F.min("a").alias("a"))
+        places = chosen.groupBy("other_id").agg(F.collect_set("key").alias("other_keys"))
+        pairs = members.join(chosen.join(places, "other_id"), "key").filter(f"comp <> other_comp and {near} and {once}")
+        pairs = pairs.select(F.least("id", "other_id").alias("low"), F.greatest("id", "other_id").alias("high"), F.col("other_id").alias("a"), F.least("comp", "other_comp").alias("c1"), F.greatest("comp", "other_comp").alias("c2"))
+        pairs = pairs.groupBy("low", "high").agg(F.min("a").alias("a"), F.min("c1").alias("c1"), F.min("c2").alias("c2"))
         pairs = pairs.withColumn("b", F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low")))
         if seen is not None:
             pairs = pairs.join(seen, ["low", "high"], "left_anti")
@@ -50,11 +53,12 @@ def star_links(rows: DataFrame, near: str, details: Callable[[DataFrame], DataFr
         found = common.cut(confirm(pairs.select("a", "b"), known))
         links = found if links is None else links.union(found)
         seen = pairs.select("low", "high") if seen is None else seen.union(pairs.select("low", "high"))
-        comps = components(links).withColumnRenamed("comp", "now")
+        joined = found.join(pairs, ["a", "b"]).select(F.col("c1").alias("a"), F.col("c2").alias("b"))
+        comps = components(joined).select(F.col("id").alias("comp"), F.col("comp").alias("now"))
         rest = members.join(chosen.select("key", F.col("other_id").alias("id")), ["key", "id"], "left_anti")
-        rest = rest.join(comps, "id", "left").withColumn("comp", F.coalesce("now", "id")).drop("now")
+        rest = rest.join(comps, "comp", "left").withColumn("comp", F.coalesce("now", "comp")).select("key", *own, "degree", "keys", "comp")
         unsettled = rest.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
         members = common.cut(rest.join(unsettled, "key", "left_semi"))
         if members.isEmpty():
             return links
-        centres = CENTRES
+        centres = max(CENTRES, 4 * centres)
