@@ -45,7 +45,7 @@ SCRIPT_RANGES = {
 SCRIPTS = len(SCRIPT_RANGES) + 1
 UNKNOWN = "und"
 #: Code points scored at once, and words whose paths are found at once.
-PIECE, PATHS = 1_000_000, 600_000
+PIECE, PATHS = 250_000, 400_000
 
 
 @cache
