@@ -315,6 +315,25 @@ def test_fuzzy_lines_stay_once(spark):
     assert fuzzy_lines.line_decisions(docs(spark, []).limit(0)).count() == 0
 
 
+def test_fuzzy_lines_against_all_pairs(spark):
+    """Lines of 3 to 60 words with changed words and typos: what is like another line goes, and nothing else does."""
+    rng, lines = random.Random(11), []
+    for n in [*range(3, 61)] * 2:
+        line = " ".join(words(rng, n))
+        changed = line.split()
+        changed[rng.randrange(n)] = words(rng, 1)[0]
+        typo = list(line)
+        for _ in range(rng.randint(1, max(1, len(line) // 12))):
+            typo[rng.randrange(len(typo))] = rng.choice("abcdefgh")
+        lines += [line, " ".join(changed), "".join(typo)]
+    norm = [normalise(x) for x in lines]
+    got = {r.doc: r.stays for r in fuzzy_lines.line_decisions(docs(spark, lines), min_words=3).collect()}
+    near = [(a, b) for b in range(len(norm)) for a in range(b - b % 3, b) if edit_distance(norm[a], norm[b]) <= int(0.1 * max(len(norm[a]), len(norm[b])))]
+    root = union(len(norm), near)
+    want = {k: all(root[j] != root[k] for j in range(k)) for k in range(len(norm))}
+    assert len(near) > 150 and got == want
+
+
 def test_simhash_is_the_majority_of_bits(spark):
     text = " ".join(words(random.Random(1), 33))
     got = fuzzy_lines._occurrences(docs(spark, [text]), "doc_id", "text", 5).first()
