@@ -2,7 +2,8 @@
 
 Texts are folded first: lower case, look-alike letters of other scripts to Latin, digits and signs that stand for letters
 to those letters. The lexicon holds whole words and word beginnings whose document frequency among toxic texts is far
-above that among others, each with its smoothed log odds as weight. Hits inside exception phrases do not count. The sum
+above that among others. The weight is the lower confidence bound of the smoothed log odds, so how many texts a term needs
+depends on the sizes of the classes, and a term seen in few weighs little. Hits inside exception phrases do not count. The sum
 of weights and its share of the text's length give the score through a fitted logistic curve.
 
 Null and empty texts have no hits and get the score of a text without hits. Equal texts get equal scores. Rows without a
@@ -141,11 +142,12 @@ def _sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int)
     return texts.join(F.broadcast(picked), "doc_id").select("text", "y")  # at most 2 * per_class short rows
 
 
-def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: int = 10_000, min_docs: int = 8, min_odds: float = 3.0, most: int = 2_000) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: int = 10_000, min_odds: float = 3.0, sure: float = 2.576, most: int = 2_000) -> Lexicon:
     """Fits the lexicon and the curve on at most per_class labelled texts of each class.
 
     Document frequencies of words and beginnings are counted by Spark; at most `most` entries come to the driver, then
-    three numbers a sampled text for the curve."""
+    three numbers a sampled text for the curve. A term's log odds are at least `min_odds`, and `sure` standard errors less
+    (2.576: 99 %) is its weight, which must be above 0."""
     sample = common.cut(_sample(common.ship(docs), labels, label_col, per_class))
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,9 +165,10 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_clas
     if not pos or not neg:
         share = min(max(pos / max(pos + neg, 1), 1e-6), 1 - 1e-6)
         return Lexicon({}, {}, curve=(math.log(share / (1 - share)), 0.0, 0.0))
-    counted = sample.mapInArrow(terms, "term string, y int").groupBy("term").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c")).filter(F.col("t") >= min_docs)
-    weight = F.log((F.col("t") + 0.5) / (pos + 1.0)) - F.log((F.col("c") + 0.5) / (neg + 1.0))
-    rows = counted.withColumn("weight", weight).filter(F.col("weight") >= min_odds).orderBy(F.desc(F.col("weight") * F.col("t")), "term").limit(most).collect()
+    counted = sample.mapInArrow(terms, "term string, y int").groupBy("term").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c")).filter(F.col("t") > 0)
+    odds = F.log((F.col("t") + 0.5) / (pos + 1.0)) - F.log((F.col("c") + 0.5) / (neg + 1.0))
+    error = F.sqrt(1 / (F.col("t") + 0.5) - 1 / (pos + 1.0) + 1 / (F.col("c") + 0.5) - 1 / (neg + 1.0))
+    rows = counted.filter(odds >= min_odds).withColumn("weight", odds - sure * error).filter("weight > 0").orderBy(F.desc(F.col("weight") * F.col("t")), "term").limit(most).collect()
     words, beginnings = {}, {}
     for r in sorted(rows, key=lambda r: (len(r["term"].lstrip("=")), r["term"].startswith("="))):
         term, whole = r["term"].lstrip("="), r["term"].startswith("=")

@@ -450,6 +450,14 @@ def test_toxicity_learns_words_beginnings_and_disguises(spark):
     assert toxicity.score_texts(docs(spark, []).limit(0), lex).count() == 0
 
 
+@pytest.mark.parametrize("sf, caught", [("sf0.001", 1), ("sf0.01", 4)])
+def test_toxicity_on_held_out_documents(spark, sf, caught):
+    """At least the toxic rows that a lexicon from few labelled rows can catch, and no others."""
+    labels = spark.read.parquet(f"/root/testdata/{sf}/labels.parquet").select("doc_id", "toxic")
+    got = toxicity.op5_toxicity(spark, f"/root/testdata/{sf}").filter("held_out").join(labels, "doc_id").collect()
+    assert sum(r.predicted for r in got if r.toxic == 1) >= caught and not any(r.predicted for r in got if r.toxic == 0)
+
+
 def test_exception_phrases_do_not_count():
     lex = toxicity.Lexicon({"clown": 5.0}, {}, ("clown fish",), (-3.0, 2.0, 1.0))
     assert lex.features("a clown fish swims")[2] == 0 and lex.features("a clown, a clown fish")[2] == 1
