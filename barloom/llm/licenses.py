@@ -2,8 +2,8 @@
 
 Every rolling bigram of a text's words is joined by hash to the places where it stands in the notice templates. A hit at
 word p of the text and word q of a template votes for the diagonal p - q, the place where the template would begin.
-Neighbouring diagonals, as an inserted or dropped word makes them, are merged, and a span is verified by the share of the
-template's bigrams that voted. A base phrase is found where every one of its bigrams votes on one diagonal: there its
+A diagonal and the next WIDTH, as inserted or dropped words make them, are a span. It is verified by the share of the
+template's bigrams that voted, each counted once, and the words that tell a notice from its siblings must be among them. A base phrase is found where every one of its bigrams votes on one diagonal: there its
 words stand consecutively.
 
 Words are runs of a-z, 0-9 and characters beyond ASCII, after lower-casing A-Z. Null texts count as empty and have no
@@ -33,8 +33,12 @@ NOTICES = (
     ("mpl", "subject to the terms of the mozilla public license"),
     ("public-domain", "released into the public domain"),
 )
+#: Words that stand together in a notice of the label and tell it from its siblings.
+TELLING = {"apache": "apache", "cc-by-nc": "nc", "cc-by-sa": "sa", "gpl": "gnu general", "lgpl": "lesser", "mpl": "mozilla", "public-domain": "domain"}
 #: Share of a notice's bigrams that a span needs (a changed word costs three), and the distance of diagonals that are merged.
 COVERAGE, NEAR = 0.55, 2
+#: Diagonals of a span after its first: two steps.
+WIDTH = 2 * NEAR
 
 
 def templates(spark: SparkSession, base: tuple = BASE, notices: tuple = NOTICES) -> DataFrame:
@@ -44,14 +48,18 @@ def templates(spark: SparkSession, base: tuple = BASE, notices: tuple = NOTICES)
         words = phrase.split()
         if len(words) < 2:
             raise ValueError(f"a template needs two words: {phrase}")
+        key = TELLING.get(label, "").split() if number >= len(base) else []
+        keyed = any(words[k : k + len(key)] == key for k in range(len(words))) and bool(key)
         for q in range(len(words) - 1):
-            rows.append((number, number < len(base), label, len(words) - 1, q, words[q], words[q + 1], words[q + 2] if q + 2 < len(words) else None))
-    table = spark.createDataFrame(rows, "template int, base boolean, label string, bigrams int, q int, t1 string, t2 string, t3 string")
+            seen = words[q : q + 3]
+            tells = not keyed or any(seen[k : k + len(key)] == key for k in range(len(seen)))
+            rows.append((number, number < len(base), label, len(words) - 1, q, *seen[:2], seen[2] if len(seen) > 2 else None, tells))
+    table = spark.createDataFrame(rows, "template int, base boolean, label string, bigrams int, q int, t1 string, t2 string, t3 string, tells boolean")
     return table.withColumn("gram", F.xxhash64("t1", "t2"))
 
 
 def license_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: tuple = BASE, notices: tuple = NOTICES) -> DataFrame:
-    """row (a number of the input row), the id, n_words, and for each merged diagonal label, base, first_word, coverage,
+    """row (a number of the input row), the id, n_words, and for each span label, base, first_word, coverage,
     verified. A row of the input without hits has one row with null label."""
     text = common.ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.array_remove(F.split(text, SEPARATOR), "").alias("words"))
@@ -60,13 +68,13 @@ def license_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = F.broadcast(templates(df.sparkSession, base, notices))
     match = (F.xxhash64("w1", "w2") == F.col("gram")) & (F.col("w1") == F.col("t1")) & (F.col("w2") == F.col("t2")) & (F.col("t3").isNull() | (F.col("t3") == F.col("w3")))
     hits = grams.join(known, match, "left").filter(F.col("gram").isNotNull() | (F.coalesce("p", F.lit(0)) == 0))
-    votes = hits.groupBy("row", "id", "template", "base", "label", "bigrams", (F.col("p") - F.col("q")).alias("diagonal")).agg(F.max("n_words").alias("n_words"), F.count("gram").alias("votes"))
-    order = Window.partitionBy("row", "template").orderBy("diagonal")
-    far = F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(order) > NEAR)
-    merged = votes.withColumn("far", F.coalesce(far, F.lit(True)).cast("int")).withColumn("span", F.sum("far").over(order))
-    spans = merged.groupBy("row", "id", "template", "base", "label", "bigrams", "span").agg(F.max("n_words").alias("n_words"), F.min("diagonal").alias("first_word"), F.sum("votes").alias("votes"))
-    coverage = F.when(F.col("label").isNotNull(), F.least(F.col("votes") / F.col("bigrams"), F.lit(1.0)))
-    return spans.select("row", "id", "n_words", "label", "base", "first_word", coverage.alias("coverage"), (coverage >= F.when(F.col("base"), 1.0).otherwise(COVERAGE)).alias("verified"))
+    votes = hits.groupBy("row", "id", "template", "base", "label", "bigrams", (F.col("p") - F.col("q")).alias("diagonal")).agg(F.max("n_words").alias("n_words"), F.collect_set("q").alias("voted"), F.max("tells").alias("tells"))
+    near = Window.partitionBy("row", "template").orderBy("diagonal").rangeBetween(0, WIDTH)
+    voted = lambda c, wide: F.when(F.col("base"), F.col(c)).otherwise(wide)
+    spans = votes.withColumn("all_voted", voted("voted", F.array_distinct(F.flatten(F.collect_list("voted").over(near))))).withColumn("tells", voted("tells", F.max("tells").over(near)))
+    coverage = F.when(F.col("label").isNotNull(), F.size("all_voted") / F.col("bigrams"))
+    verified = F.col("tells") & (coverage >= F.when(F.col("base"), 1.0).otherwise(COVERAGE))
+    return spans.select("row", "id", "n_words", "label", "base", F.col("diagonal").alias("first_word"), coverage.alias("coverage"), verified.alias("verified"))
 
 
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: tuple = BASE, notices: tuple = NOTICES) -> DataFrame:

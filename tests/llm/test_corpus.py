@@ -360,6 +360,17 @@ def test_license_places(spark):
     assert sorted(r.n_base for r in twice) == [0, 1] and licenses.scan_licenses(docs(spark, []).limit(0)).count() == 0
 
 
+def test_near_misses_of_licenses(spark):
+    texts = {"under the terms of the GNU General Public License": "gpl", "subject to the terms of the Eclipse Public License": "", "4.0 4.0 4.0 4.0": "", "2.0 2.0 2.0 2.0": "",
+             "licensed under the GNU Lesser General Public License version 3": None, "licensed under CC BY 4.0": "cc-by", "under the terms of the GNU Lesser General Public License": "gpl,lgpl",
+             "licensed under the GNU General Public License, version 3": "gpl", "subject to the terms of that Mozilla Public License": "mpl", "redistribution and use in source and in binary forms with or without any modification are permitted": "bsd"}
+    got = by_id(licenses.scan_licenses(docs(spark, list(texts))))
+    for k, (text, labels) in enumerate(texts.items()):
+        assert labels is None or got[k].labels == labels, text
+    spans = licenses.license_spans(docs(spark, list(texts))).filter("not base and verified and id = 4 and label = 'gpl'")
+    assert spans.isEmpty() and all(0 <= r.score <= 1 for r in got.values()) and got[2].score < 0.55 and got[3].score < 0.55
+
+
 # ---- top-k --------------------------------------------------------------------------------------
 def test_top_k_against_brute_force(spark):
     rng = np.random.default_rng(3)
