@@ -2,8 +2,8 @@
 
 Dimensions are the terms of a query, components its weights. Each shard of candidates keeps, for every dimension, a
 posting column and its smallest and largest value, which bound what the dimension can add to a query's score. Dimensions
-are split by those bounds: the non-essential ones together can't lift a candidate from the essential sum to the query's
-tenth best score so far. Essential columns are traversed for all candidates of a block; the others are probed, largest
+are split where the slack left in those bounds falls under a quarter of the tenth best score so far. That is a heuristic
+for speed: results are exact because a candidate is dropped only once its bound can't beat that score. Essential columns are traversed for all candidates of a block; the others are probed, largest
 bound first, only for candidates that are still competitive. Shards' best lists are merged by a window.
 
 A component x becomes floor(scale * x). Vectors that are null or hold a null or non-finite component take no part;
