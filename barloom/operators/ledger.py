@@ -1,7 +1,8 @@
 """Trade ledgers: average-cost positions, cash, corporate actions on holdings, valuation, returns.
 
 A portfolio may hold a third of all trades. Trades are first folded inside (portfolio, symbol, day,
-block), then block results inside a day, then days; no task sees a whole hot group."""
+block), then block results inside a day, then days. Blocks split a day only where its orders have
+near numbers; otherwise one task sees a portfolio's whole day of a symbol."""
 
 from __future__ import annotations
 
