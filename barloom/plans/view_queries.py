@@ -118,6 +118,7 @@ WHERE isodow(date) < 6 AND date <> DATE '2024-01-26' AND date > (SELECT max(date
 
 # ---- sources and store --------------------------------------------------------------------------
 BARSEL = "date, exchange, symbol, series, open, high, low, close, prev_close, volume, turnover, trades, delivery_qty"
+S3 = BARSEL.removesuffix(", delivery_qty")
 
 
 def _raw(df, **cols):
@@ -126,7 +127,7 @@ def _raw(df, **cols):
 
 
 def _s(c):
-    return F.coalesce(F.format_string("%.4f", F.col(c)), F.lit("-"))
+    return F.when(F.col(c).isNull(), "-").otherwise(F.format_string("%.4f", F.col(c)))
 
 
 def _l(c):
@@ -145,14 +146,14 @@ query("s2_legacy_daily", "SELECT date, exchange, symbol, series, open, high, low
     lambda wb: files.normalise_legacy_daily(_raw(wb.bars.filter("exchange = 'NSE'"), SYMBOL=F.col("symbol"), SERIES=F.col("series"), OPEN=_s("open"), HIGH=_s("high"), LOW=_s("low"), CLOSE=_s("close"), LAST=F.lit(""),
                                                  PREVCLOSE=_s("prev_close"), TOTTRDQTY=_l("volume"), TOTTRDVAL=_s("turnover"), TIMESTAMP=F.upper(F.date_format("date", "d-MMM-yyyy"))))
     .select("date", "exchange", "symbol", "series", "open", "high", "low", "close", "prev_close", "volume", "turnover", "delivery_qty"))
-query("s3_scripcode_daily", "SELECT date, exchange, symbol, series, open, close, volume, turnover, trades FROM bars WHERE exchange = 'BSE'", "open close turnover:2")(
+query("s3_scripcode_daily", f"SELECT {S3} FROM bars WHERE exchange = 'BSE'", "open high low close prev_close turnover:2")(
     lambda wb: files.normalise_scripcode_daily(_raw(wb.bars.filter("exchange = 'BSE'"), SC_CODE=F.col("symbol"), SC_GROUP=F.concat("series", F.lit("  ")), OPEN=_s("open"), HIGH=_s("high"), LOW=_s("low"), CLOSE=_s("close"), LAST=F.lit(""),
                                                     PREVCLOSE=_s("prev_close"), NO_TRADES=_l("trades"), NO_OF_SHRS=_l("volume"), NET_TURNOV=_s("turnover"), _file=F.concat(F.lit("EQ"), F.date_format("date", "ddMMyy"), F.lit(".CSV"))), F.col("_file"))
-    .withColumn("date", F.when(F.year("date") > 2050, F.add_months("date", -1200)).otherwise(F.col("date"))).select("date", "exchange", "symbol", "series", "open", "close", "volume", "turnover", "trades"))
-query("s4_udiff", "SELECT date, exchange, symbol, series, open, close, volume, turnover, trades FROM bars WHERE series <> 'BZ' AND exchange = 'BSE'", "open close turnover:2")(
+    .withColumn("date", F.when(F.year("date") > 2050, F.add_months("date", -1200)).otherwise(F.col("date"))).select(*S3.split(", ")))
+query("s4_udiff", f"SELECT {S3} FROM bars WHERE series <> 'BZ' AND exchange = 'BSE'", "open high low close prev_close turnover:2")(
     lambda wb: files.normalise_udiff(_raw(wb.bars.filter("exchange = 'BSE'"), TradDt=F.col("date").cast("string"), FinInstrmTp=F.when(F.col("series") == "BZ", "BND").when(F.col("series") == "BE", "").otherwise("STK"), ISIN=F.lit(""), TckrSymb=F.col("symbol"),
                                           SctySrs=F.col("series"), OpnPric=_s("open"), HghPric=_s("high"), LwPric=_s("low"), ClsPric=_s("close"), LastPric=F.lit("-"), PrvsClsgPric=_s("prev_close"), TtlTradgVol=_l("volume"), TtlTrfVal=_s("turnover"),
-                                          TtlNbOfTxsExctd=_l("trades")), "BSE").select("date", "exchange", "symbol", "series", "open", "close", "volume", "turnover", "trades"))
+                                          TtlNbOfTxsExctd=_l("trades")), "BSE").select(*S3.split(", ")))
 query("s5_index_close", "SELECT date, index_name, index_code, low, high, close FROM idx WHERE day(date) <> 20", "low high close")(
     lambda wb: files.normalise_index_close(wb.idx.select(
         F.col("index_name").alias("Index Name"), F.date_format("date", "dd-MM-yyyy").alias("Index Date"), F.lit("-").alias("Open Index Value"), _s("high").alias("High Index Value"), _s("low").alias("Low Index Value"),
