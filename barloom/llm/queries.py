@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fuzzy_lines, language, licenses, maxscore, minhash, mixing, packing, suffixes, toxicity
+from . import exact_dedup, fuzzy_lines, language, licenses, maxscore, minhash, mixing, packing, secrets, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": licenses.op1_licenses,
@@ -19,5 +19,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fuzzy_lines": fuzzy_lines.op8_fuzzy_lines,
     "op9_maxscore": maxscore.op9_maxscore,
     "op10_minhash": minhash.op10_minhash,
+    "op11_secrets": secrets.op11_secrets,
 }
-ORACLES: dict[str, str] = {"op1_licenses": licenses.OP1_SQL, "op2_exact_dedup": exact_dedup.OP2_SQL, "op6_mixing": mixing.OP6_SQL, "op9_maxscore": maxscore.OP9_SQL}
+ORACLES: dict[str, str] = {"op1_licenses": licenses.OP1_SQL, "op2_exact_dedup": exact_dedup.OP2_SQL, "op6_mixing": mixing.OP6_SQL, "op9_maxscore": maxscore.OP9_SQL, "op11_secrets": secrets.OP11_SQL}
