@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fuzzy_lines, hard_negatives, language, licenses, maxscore, minhash, mixing, packing, secrets, suffixes, toxicity
+from . import conversations, exact_dedup, fuzzy_lines, hard_negatives, language, licenses, maxscore, minhash, mixing, packing, secrets, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": licenses.op1_licenses,
@@ -21,5 +21,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash": minhash.op10_minhash,
     "op11_secrets": secrets.op11_secrets,
     "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_repair": conversations.op13_repair,
 }
-ORACLES: dict[str, str] = {"op1_licenses": licenses.OP1_SQL, "op2_exact_dedup": exact_dedup.OP2_SQL, "op6_mixing": mixing.OP6_SQL, "op9_maxscore": maxscore.OP9_SQL, "op11_secrets": secrets.OP11_SQL, "op12_hard_negatives": hard_negatives.OP12_SQL}
+ORACLES: dict[str, str] = {"op1_licenses": licenses.OP1_SQL, "op2_exact_dedup": exact_dedup.OP2_SQL, "op6_mixing": mixing.OP6_SQL, "op9_maxscore": maxscore.OP9_SQL, "op11_secrets": secrets.OP11_SQL, "op12_hard_negatives": hard_negatives.OP12_SQL, "op13_repair": conversations.OP13_SQL}
