@@ -156,13 +156,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     features = common.cut(_features(texts, shingle, bands, rows))
     used = features.filter("id is not null and n > 0")
     classes = common.cut(used.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    firsts = used.join(classes.select("n", "s1", "s2", F.col("rep").alias("id")), ["n", "s1", "s2", "id"], "left_semi").dropDuplicates(["id", "n", "s1", "s2"]).select("id", "n", "bits", F.explode("keys").alias("key"))
+    firsts = used.join(classes.select("n", "s1", "s2", F.col("rep").alias("id")), ["n", "s1", "s2", "id"], "left_semi").dropDuplicates(["id", "n", "s1", "s2"])
     with_sets = lambda ids: common.cut(_sets(common.rows_with(texts.filter("id is not null"), ids, "id"), shingle))
-    sketched = firsts.select("key", "id", "n", *[F.col("bits")[k].alias(f"w{k}") for k in range(WORDS)])
+    sketches = firsts.select("id", "n", *[F.col("bits")[k].alias(f"w{k}") for k in range(WORDS)])
     own, other = (" + ".join(f"bit_count({a}w{k} & ~{b}w{k})" for k in range(WORDS)) for a, b in (("", "other_"), ("other_", "")))
     most = f"least(n - ({own}), other_n - ({other}))"
     near = f"100 * {most} >= {percent} * (n + other_n - {most})"
-    links = star_links(sketched, near, with_sets, lambda pairs, sets: _confirmed(pairs, sets, percent))
+    links = star_links(firsts.select(F.explode("keys").alias("key"), "id"), sketches, near, with_sets, lambda pairs, sets: _confirmed(pairs, sets, percent))
 
     of_class = features.join(classes, ["n", "s1", "s2"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"))
     twice = used.groupBy("id").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("id")

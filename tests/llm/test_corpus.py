@@ -197,8 +197,9 @@ def test_near_duplicates_against_all_pairs(spark, percent):
 def test_star_rounds_reach_every_component(spark, monkeypatch):
     from barloom.llm import stars
     monkeypatch.setattr(stars, "CENTRES", 2)
-    rows = spark.createDataFrame([(0, i, i % 7) for i in range(40)], "key long, id long, kind int")
-    links = stars.star_links(rows, "true", lambda ids: None, lambda pairs, _: pairs.filter("a % 7 = b % 7"))
+    rows = spark.createDataFrame([(0, i) for i in range(40)] + [(1, 50)], "key long, id long")
+    kinds = spark.createDataFrame([(i, i % 7) for i in range(60)], "id long, kind int")
+    links = stars.star_links(rows, kinds, "kind + other_kind >= 0", lambda ids: None, lambda pairs, _: pairs.filter("a % 7 = b % 7"))
     comps = by_id(components.components(links), "id")
     assert {i: r.comp for i, r in comps.items()} == {i: i % 7 for i in range(40)}
 
