@@ -1,8 +1,8 @@
-"""As-of joins, block-wise running totals and skew-safe ranks built from plain DataFrame operators."""
+"""As-of joins and skew-safe ranks built from plain DataFrame operators."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,36 +30,6 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str
                     F.col("_hit._rt").alias(f"{right_time}_asof")))
 
 
-def running_total(df: DataFrame, keys: list[str], day: str, block: str, order: list[Column],
-                  values: dict[str, Column]) -> DataFrame:
-    """Inclusive running sums of ``values`` per ``keys`` in (day, block, order) order.
-
-    A hot key is never walked by one task: rows are summed inside (keys, day, block), the block
-    totals inside (keys, day), the day totals inside (keys); each level then adds the total of what
-    came before it. ``block`` must grow with ``order`` inside a day. The day level holds one row per
-    calendar day.
-    """
-    names = list(values)
-    base = df.select("*", *[v.alias(f"_v_{n}") for n, v in values.items()])
-    per_block = base.groupBy(*keys, day, block).agg(
-        *[F.sum(f"_v_{n}").alias(f"_b_{n}") for n in names])
-    per_day = per_block.groupBy(*keys, day).agg(*[F.sum(f"_b_{n}").alias(f"_d_{n}") for n in names])
-    w_day = Window.partitionBy(*keys).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
-    w_blk = Window.partitionBy(*keys, day).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    w_row = (Window.partitionBy(*keys, day, block).orderBy(*order)
-             .rowsBetween(Window.unboundedPreceding, 0))
-    zero = F.lit(0)
-    day_off = per_day.select(*keys, day, *[F.coalesce(F.sum(f"_d_{n}").over(w_day), zero)
-                                           .alias(f"_od_{n}") for n in names])
-    blk_off = per_block.select(*keys, day, block, *[F.coalesce(F.sum(f"_b_{n}").over(w_blk), zero)
-                                                    .alias(f"_ob_{n}") for n in names])
-    offsets = blk_off.join(day_off, [*keys, day]).select(
-        *keys, day, block, *[(F.col(f"_ob_{n}") + F.col(f"_od_{n}")).alias(f"_o_{n}") for n in names])
-    rows = base.select("*", *[F.sum(f"_v_{n}").over(w_row).alias(f"_w_{n}") for n in names])
-    out = rows.join(offsets, [*keys, day, block])
-    return out.select(*df.columns, *[(F.col(f"_w_{n}") + F.col(f"_o_{n}")).alias(n) for n in names])
-
-
 def average_rank(df: DataFrame, keys: list[str], value: str, out: str, n_out: str,
                  *, buckets: int = 32) -> DataFrame:
     """Average rank (ties share the mean position, smallest value first) and group size per key.

@@ -139,13 +139,17 @@ def bars_on_day(bars: DataFrame, exchange: str, day, precedence: list[str] = PRE
     return one_series_per_day(d, precedence, keys=("symbol",))
 
 
-def last_close_on_or_before(bars: DataFrame, exchange: str, day, precedence: list[str] = PRECEDENCE) -> DataFrame:
-    seen = between(bars.filter(F.col("exchange") == exchange), None, day)
+def last_closes(bars: DataFrame, day, precedence: list[str] = PRECEDENCE) -> DataFrame:
+    """Newest close up to a day of every (exchange, symbol), the preferred series first."""
     key = F.struct("date", -in_list_order("series", precedence))
-    return (seen.filter(F.col("series").isin(precedence)).groupBy("symbol")
+    return (between(bars, None, day).filter(F.col("series").isin(precedence)).groupBy("exchange", "symbol")
             .agg(F.max("date").alias("close_date"), F.max_by("close", key).alias("close")))
 
 
+def last_close_on_or_before(bars: DataFrame, exchange: str, day, precedence: list[str] = PRECEDENCE) -> DataFrame:
+    return last_closes(bars.filter(F.col("exchange") == exchange), day, precedence).drop("exchange")
+
+
 def last_change(panel_df: DataFrame) -> DataFrame:
     """Latest two closes and the move between them, for every symbol."""
     two = latest_per(panel_df.select("symbol", "date", "close"), ["symbol"], [F.col("date").desc()], 2)

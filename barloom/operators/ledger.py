@@ -1,19 +1,19 @@
 """Trade ledgers: average-cost positions, cash, corporate actions on holdings, valuation, returns.
 
-A portfolio may hold a third of all trades. Trades are first folded inside (portfolio, symbol, day,
-block), then block results inside a day, then days. Blocks split a day only where its orders have
-near numbers; otherwise one task sees a portfolio's whole day of a symbol."""
+A portfolio may hold a third of all trades, all of one symbol on one day. Everything that needs trades one after the other
+is a prefix scan over ranges of bounded size (``barloom.functions.scan``); the rest is summed with map-side combining."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.joins import asof_join, running_total
+from barloom.functions.intervals import intervals, on_days
+from barloom.functions.scan import in_order, prefix_scan
 from barloom.functions.windows import latest_per, safe_div
 
-KEYS = ["portfolio", "symbol"]
-ORDER = ["orderkey", "linenumber", "partkey", "suppkey", "amount", "side"]
+KEYS = ["portfolio", "exchange", "symbol"]
+ORDER = ["date", "orderkey", "linenumber", "partkey", "suppkey", "amount", "side"]
 UNB = Window.unboundedPreceding
 
 
@@ -21,52 +21,42 @@ def signed_qty() -> Column:
     return F.when(F.col("side") == "buy", F.col("qty")).otherwise(-F.col("qty"))
 
 
-def running_quantity(trades: DataFrame) -> DataFrame:
-    """Adds ``qty_after``: shares held right after each trade."""
-    return running_total(trades, KEYS, "date", "block", [F.col(c) for c in ORDER], {"qty_after": signed_qty()})
+def trades_in_order(trades: DataFrame) -> DataFrame:
+    """The trades of each (portfolio, exchange, symbol) in their order, ready for the scans below, which all read it."""
+    return in_order(trades, KEYS, ORDER)
 
 
-def oversold(trades: DataFrame) -> DataFrame:
-    """Trades that sell more than is held; a ledger with any is not valid (no shorting)."""
-    return running_quantity(trades).filter("side = 'sell' AND qty_after < 0")
-
+def running_quantity(ordered: DataFrame) -> DataFrame:
+    """Adds ``qty_before`` and ``qty_after``: shares held around each trade of ``trades_in_order``."""
+    return prefix_scan(ordered, KEYS, signed_qty(), "qty_before", "qty_after")
 
-# With the quantity before each trade known, the cost after it is a * cost + b and the profit so far
-# grows by c + d * cost: affine maps, and affine maps compose. One struct (a, b, c, d) stands for any
-# run of trades: cost_out = a * cost_in + b, profit = c + d * cost_in.
-def _trade_map() -> Column:
-    held = F.col("qty_after") + F.when(F.col("side") == "sell", F.col("qty")).otherwise(-F.col("qty"))
-    share = F.col("qty") / F.when(held > 0, held).cast("double")
-    value = F.col("qty") * F.col("price")
-    sell = F.col("side") == "sell"
-    keep = F.when(~sell, 1.0).when(F.col("qty_after") <= 0, 0.0).otherwise(F.col("qty_after") / F.when(held > 0, held).cast("double"))
-    zero = F.lit(0.0)
-    return F.struct(keep.alias("a"), F.when(sell, zero).otherwise(value).alias("b"), F.when(sell, value).otherwise(zero).alias("c"),
-                    F.when(sell, -F.coalesce(share, zero)).otherwise(zero).alias("d"))
 
+def oversold(ordered: DataFrame) -> DataFrame:
+    """Trades that sell more than is held; a ledger with any is not valid (no shorting)."""
+    return running_quantity(ordered).filter("side = 'sell' AND qty_after < 0")
 
-def _compose(maps: Column) -> Column:
-    """Fold an ordered array of maps into one."""
-    start = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("c"), F.lit(0.0).alias("d"))
-    return F.aggregate(maps, start, lambda s, m: F.struct(
-        (m["a"] * s["a"]).alias("a"), (m["a"] * s["b"] + m["b"]).alias("b"),
-        (s["c"] + m["c"] + m["d"] * s["b"]).alias("c"), (s["d"] + m["d"] * s["a"]).alias("d")))
 
+def running_cost(ordered: DataFrame) -> DataFrame:
+    """Adds ``cost_before`` and ``cost_after`` of the shares held, and ``realised`` (before charges; null for buys).
 
-def _fold(df: DataFrame, keys: list[str], order: list[str], col: str = "m") -> DataFrame:
-    listed = F.array_sort(F.collect_list(F.struct(*order, F.struct(f"{col}.*").alias("m"))))
-    return df.groupBy(*keys).agg(_compose(F.transform(listed, lambda x: x["m"])).alias("m"))
+    A buy adds its value to the cost. A sell leaves the average: it keeps the share qty_after / qty_before of the cost, and
+    nothing once the position is closed. So the cost after a trade is an affine map of the cost before it."""
+    held = running_quantity(ordered)
+    sell, value = F.col("side") == "sell", (F.col("qty") * F.col("price")).cast("double")
+    some = F.when(F.col("qty_before") > 0, F.col("qty_before")).cast("double")
+    keep = F.when(~sell, 1.0).when(F.col("qty_after") <= 0, 0.0).otherwise(F.coalesce(F.col("qty_after") / some, F.lit(0.0)))
+    out = prefix_scan(held, KEYS, F.when(sell, 0.0).otherwise(value), "cost_before", "cost_after", keep)
+    return out.withColumn("realised", F.when(sell, value - F.coalesce(F.col("qty") / some, F.lit(0.0)) * F.col("cost_before")))
 
 
-def positions(trades: DataFrame) -> DataFrame:
-    """Quantity, average cost and realised profit (before charges) per (portfolio, symbol), buys
-    averaging in and sells leaving the average; a closed position carries no cost."""
-    t = running_quantity(trades).withColumn("m", _trade_map()).select(*KEYS, "date", "block", *ORDER, "m")
-    total = _fold(_fold(_fold(t, [*KEYS, "date", "block"], ORDER), [*KEYS, "date"], ["block"]), KEYS, ["date"])
-    qty = trades.groupBy(*KEYS).agg(F.sum(signed_qty()).alias("qty"), F.min("date").alias("opened_on"), F.max("date").alias("last_trade"))
-    return qty.join(total, KEYS).select(
-        *KEYS, "qty", F.when(F.col("qty") > 0, F.col("m.b") / F.when(F.col("qty") > 0, F.col("qty"))).otherwise(0.0).alias("avg_cost"),
-        F.col("m.c").alias("realised"), "opened_on", "last_trade")
+def positions(ordered: DataFrame) -> DataFrame:
+    """Quantity, average cost and realised profit (before charges) per (portfolio, exchange, symbol), buys averaging in and sells
+    leaving the average; a closed position carries no cost."""
+    out = running_cost(ordered).groupBy(*KEYS).agg(
+        F.sum(signed_qty()).alias("qty"), F.max_by("cost_after", "_n").alias("_cost"), F.sum(F.coalesce("realised", F.lit(0.0))).alias("realised"),
+        F.min("date").alias("opened_on"), F.max("date").alias("last_trade"))
+    held = F.when(F.col("qty") > 0, F.col("qty"))
+    return out.select(*KEYS, "qty", F.coalesce(F.col("_cost") / held, F.lit(0.0)).alias("avg_cost"), "realised", "opened_on", "last_trade")
 
 
 def cash_flow() -> Column:
@@ -82,21 +72,26 @@ def cash_by_day(trades: DataFrame, start_capital: float) -> DataFrame:
 
 def running_cash(trades: DataFrame, start_capital: float) -> DataFrame:
     """Cash after every single trade."""
-    out = running_total(trades, ["portfolio"], "date", "block", [F.col(c) for c in ORDER], {"_c": cash_flow()})
-    return out.withColumn("cash", F.col("_c") + start_capital).drop("_c")
+    out = prefix_scan(in_order(trades, ["portfolio"], ORDER), ["portfolio"], cash_flow(), "_before", "_after")
+    return out.withColumn("cash", F.col("_after") + start_capital).select(*trades.columns, "cash")
+
+
+def positions_before(ordered: DataFrame, actions: DataFrame) -> DataFrame:
+    """Every action with quantity and cost of each holder's position before its ex-date."""
+    day = running_cost(ordered).groupBy(*KEYS, "date").agg(F.max_by("qty_after", "_n").alias("qty"), F.max_by("cost_after", "_n").alias("cost"))
+    return on_days(intervals(day, KEYS).filter("qty > 0"), actions, "ex_date", on=["exchange", "symbol"], after=True).drop("date", "until")
 
 
-def apply_split(positions_df: DataFrame, actions: DataFrame) -> DataFrame:
-    """Positions after a split or bonus: quantity floored, total cost kept, the fraction and its cost
-    reported and written off."""
-    j = positions_df.join(actions.select("symbol", "ex_date", "volume_factor"), "symbol").filter("volume_factor > 0 AND qty > 0")
+def apply_split(ordered: DataFrame, actions: DataFrame) -> DataFrame:
+    """What a split or bonus makes of each position held before its ex-date: quantity floored, total cost kept, the fraction
+    and its cost reported and written off. Positions opened on the ex-date or later are not touched."""
+    j = positions_before(ordered, actions.select("exchange", "symbol", "ex_date", "volume_factor").filter("volume_factor > 0"))
     exact = F.col("qty") * F.col("volume_factor")
-    new = F.floor(exact + 1e-9).cast("long")
-    basis = F.col("qty") * F.col("avg_cost")
-    kept = basis * F.col("new_qty") / F.col("exact")
-    return (j.withColumn("exact", exact).withColumn("new_qty", new)
-            .select(*KEYS, "ex_date", "qty", "new_qty", F.when(F.col("new_qty") > 0, kept / F.when(F.col("new_qty") > 0, F.col("new_qty"))).otherwise(0.0).alias("new_avg_cost"),
-                    (F.col("exact") - F.col("new_qty")).alias("dropped_shares"), (basis - F.when(F.col("new_qty") > 0, kept).otherwise(0.0)).alias("dropped_cost")))
+    kept = F.col("cost") * F.col("new_qty") / F.col("exact")
+    left = F.when(F.col("new_qty") > 0, F.col("new_qty"))
+    return (j.withColumn("exact", exact).withColumn("new_qty", F.floor(exact + 1e-9).cast("long"))
+            .select(*KEYS, "ex_date", "qty", "new_qty", F.coalesce(kept / left, F.lit(0.0)).alias("new_avg_cost"),
+                    (F.col("exact") - F.col("new_qty")).alias("dropped_shares"), (F.col("cost") - F.when(F.col("new_qty") > 0, kept).otherwise(0.0)).alias("dropped_cost")))
 
 
 def daily_holdings(trades: DataFrame) -> DataFrame:
@@ -106,18 +101,21 @@ def daily_holdings(trades: DataFrame) -> DataFrame:
     return day.select(*KEYS, "date", F.sum("_q").over(w).alias("held"))
 
 
+def holding_intervals(trades: DataFrame) -> DataFrame:
+    """Holdings from the day of a trade to the next one, where anything is held."""
+    return intervals(daily_holdings(trades), KEYS).filter("held > 0")
+
+
 def held_before(trades: DataFrame, actions: DataFrame) -> DataFrame:
-    """Shares each portfolio held before every ex-date of its symbols (equality on the symbol after
-    trades are netted to days; an action list per symbol is short)."""
-    want = trades.select(*KEYS).distinct().join(actions, "symbol")
-    hit = asof_join(want, daily_holdings(trades).withColumnRenamed("date", "held_on"), KEYS, "ex_date", "held_on", ["held"], strict=True)
-    return hit.withColumn("held", F.coalesce("held", F.lit(0))).drop("held_on_asof")
+    """Every action with the shares that each holder had before its ex-date. Holdings are intervals, so rows grow with the
+    months held, not with all pairs of holdings and actions."""
+    return on_days(holding_intervals(trades), actions, "ex_date", on=["exchange", "symbol"], after=True).drop("date", "until")
 
 
 def dividends(trades: DataFrame, actions: DataFrame) -> DataFrame:
     """Cash credited per (portfolio, action), to paise."""
     h = held_before(trades, actions.filter(F.col("action_type").isin("dividend", "distribution") & F.col("amount").isNotNull()))
-    return h.filter("held > 0").withColumn("credit", F.round(F.col("held") * F.col("amount").cast("decimal(18,4)"), 2).cast("double"))
+    return h.withColumn("credit", F.round(F.col("held") * F.col("amount").cast("decimal(18,4)"), 2).cast("double"))
 
 
 def rescale_orders(orders: DataFrame, actions: DataFrame) -> DataFrame:
@@ -143,58 +141,40 @@ def apply_once(actions: DataFrame, applied: DataFrame, key: list[str]) -> DataFr
 
 
 def value_portfolio(pos: DataFrame, cash: DataFrame, closes: DataFrame, day) -> DataFrame:
-    """Portfolio value on a day: cash plus holdings at the last raw close, at cost where there is none."""
+    """Portfolio value on a day: cash plus holdings at the last raw close of their exchange, at cost where there is none."""
     d = F.lit(day).cast("date")
-    j = pos.filter("qty > 0").join(closes.select("symbol", F.col("close").alias("mark")), "symbol", "left")
+    j = pos.filter("qty > 0").join(closes.select("exchange", "symbol", F.col("close").alias("mark")), ["exchange", "symbol"], "left")
     a = j.groupBy("portfolio").agg(
         F.count("*").alias("n_positions"), F.sum(F.col("avg_cost") * F.col("qty")).alias("invested"), F.sum(F.coalesce("mark", "avg_cost") * F.col("qty")).alias("market_value"),
         F.sum((F.col("mark") - F.col("avg_cost")) * F.col("qty")).alias("unrealised"), F.max(F.datediff(d, "opened_on")).alias("longest_held_days"))
     return cash.join(a, "portfolio", "left").withColumn("value", F.col("cash") + F.coalesce("market_value", F.lit(0.0)))
 
 
-def daily_snapshots(trades: DataFrame, panel: DataFrame, dates: DataFrame, bench: DataFrame, start_capital: float) -> DataFrame:
-    """Value, cash and market value per (portfolio, date). Holdings and closes are daily tables looked
-    up backward; the pairs valued are (portfolio, symbol, date) with something held."""
-    calendar = dates.agg(F.sort_array(F.collect_set("date"))).scalar()  # one entry per calendar day
-    pairs = trades.select(*KEYS).distinct().withColumn("date", F.explode(calendar))
-    held = asof_join(pairs, daily_holdings(trades).withColumnRenamed("date", "held_on"), KEYS, "date", "held_on", ["held"]).filter("held > 0").drop("held_on_asof")
-    marked = asof_join(held, panel.select("symbol", F.col("date").alias("mark_date"), "close"), ["symbol"], "date", "mark_date", ["close"])
-    value = marked.groupBy("portfolio", "date").agg(F.sum(F.col("held") * F.col("close")).alias("market_value"))
-    days = trades.select("portfolio").distinct().withColumn("date", F.explode(calendar))
-    cash = asof_join(days, cash_by_day(trades, start_capital).select("portfolio", F.col("date").alias("cash_date"), "cash"), ["portfolio"], "date", "cash_date", ["cash"])
-    out = cash.select("portfolio", "date", F.coalesce("cash", F.lit(start_capital)).alias("cash")).join(value, ["portfolio", "date"], "left")
-    b = asof_join(dates.select("date").withColumn("k", F.lit(0)), bench.select(F.lit(0).alias("k"), F.col("date").alias("bench_date"), F.col("close").alias("bench_close")), ["k"], "date", "bench_date", ["bench_close"])
+def daily_snapshots(trades: DataFrame, closes: DataFrame, dates: DataFrame, bench: DataFrame, start_capital: float) -> DataFrame:
+    """Value, cash and market value per (portfolio, date), holdings at the last close of their exchange (one row per
+    exchange, symbol and date). Holdings, closes and cash are intervals dealt to the days wanted."""
+    days = dates.select("date").distinct().withColumnRenamed("date", "day")
+    held = on_days(holding_intervals(trades), days).select(*KEYS, "day", "held")
+    marks = on_days(intervals(closes.select("exchange", "symbol", "date", "close"), ["exchange", "symbol"]), days).select("exchange", "symbol", "day", "close")
+    value = held.join(marks, ["exchange", "symbol", "day"]).groupBy("portfolio", "day").agg(F.sum(F.col("held") * F.col("close")).alias("market_value"))
+    cash = on_days(intervals(cash_by_day(trades, start_capital), ["portfolio"]), days).select("portfolio", "day", "cash")
+    early = trades.groupBy("portfolio").agg(F.min("date").alias("until")).withColumn("date", F.lit("0001-01-01").cast("date"))
+    first = days.agg(F.min("day")).scalar()
+    early = on_days(early.withColumn("date", F.greatest("date", first)), days).select("portfolio", "day", F.lit(start_capital).alias("cash"))
+    out = cash.unionByName(early).join(value, ["portfolio", "day"], "left")
+    b = on_days(intervals(bench.select(F.lit(0).alias("k"), "date", F.col("close").alias("bench_close")), ["k"]), days)  # one row per calendar day
     out = out.withColumn("market_value", F.coalesce("market_value", F.lit(0.0))).withColumn("value", F.col("cash") + F.col("market_value"))
-    return out.join(F.broadcast(b.select("date", "bench_close")), "date", "left")
-
-
-def sale_results(trades: DataFrame) -> DataFrame:
-    """Realised profit of every sale against the average cost before it.
-
-    Maps are composed upwards (block, day, month) and the cost entering each part is carried back
-    down, so every ordered list on the way is short: the months of a group, the days of a month, the
-    blocks of a day, the trades of a block."""
-    t = running_quantity(trades).withColumn("m", _trade_map())
-    blocks = _fold(t.select(*KEYS, "date", "block", *ORDER, "m"), [*KEYS, "date", "block"], ORDER)
-    days = _fold(blocks, [*KEYS, "date"], ["block"]).withColumn("_mon", F.trunc("date", "month"))
-    months = _fold(days, [*KEYS, "_mon"], ["date"])
+    return out.join(F.broadcast(b.select("day", "bench_close")), "day", "left").withColumnRenamed("day", "date").select("portfolio", "date", "cash", "market_value", "value", "bench_close")
 
-    def before(df, part, order):
-        w = Window.partitionBy(*part).orderBy(*order).rowsBetween(UNB, -1)
-        return df.withColumn("_in", _compose(F.collect_list("m").over(w)))
 
-    def cost(entering):
-        return F.col("_in.a") * F.col(entering) + F.col("_in.b")
-    month_in = before(months, KEYS, ["_mon"]).select(*KEYS, "_mon", F.col("_in.b").alias("_mc"))
-    day_in = before(days, [*KEYS, "_mon"], ["date"]).join(month_in, [*KEYS, "_mon"]).select(*KEYS, "date", cost("_mc").alias("_dc"))
-    block_in = before(blocks, [*KEYS, "date"], ["block"]).join(day_in, [*KEYS, "date"]).select(*KEYS, "date", "block", cost("_dc").alias("_bc"))
-    j = before(t, [*KEYS, "date", "block"], ORDER).join(block_in, [*KEYS, "date", "block"])
-    return j.filter("side = 'sell'").withColumn("realised", F.col("m.c") + F.col("m.d") * cost("_bc")).select(*trades.columns, "realised")
+def sale_results(ordered: DataFrame) -> DataFrame:
+    """Realised profit of every sale against the average cost before it."""
+    return running_cost(ordered).filter("side = 'sell'")
 
 
-def portfolio_summary(trades: DataFrame, charges: DataFrame, snapshots: DataFrame, start_capital: float) -> DataFrame:
-    """Realised profit, charges, share of winning sales, return, benchmark return and drawdown."""
-    s = sale_results(trades).groupBy("portfolio").agg(F.sum("realised").alias("realised"), F.count("*").alias("n_sales"), F.avg((F.col("realised") > 0).cast("double")).alias("win_rate"))
+def portfolio_summary(ordered: DataFrame, charges: DataFrame, snapshots: DataFrame, start_capital: float) -> DataFrame:
+    """Realised profit, charges, share of winning sales (a sale at cost, to a hundredth of a paisa, is none), return, benchmark return and drawdown."""
+    s = sale_results(ordered).groupBy("portfolio").agg(F.sum("realised").alias("realised"), F.count("*").alias("n_sales"), F.avg((F.round("realised", 4) > 0).cast("double")).alias("win_rate"))
     c = charges.groupBy("portfolio").agg(F.sum("total").cast("double").alias("charges"))
     peak = F.max("value").over(Window.partitionBy("portfolio").orderBy("date").rowsBetween(UNB, 0))
     v = (snapshots.withColumn("_dd", F.when(peak > 0, F.col("value") / peak - 1)).groupBy("portfolio").agg(

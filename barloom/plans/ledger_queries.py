@@ -8,47 +8,50 @@ from barloom.operators import ledger as lg
 from barloom.plans.derived import TABLE_SQL
 from barloom.plans.outcome_queries import MODERN, RATES
 from barloom.plans.registry import query
+from barloom.plans.workbench import SERIES
 
 CAP = 100_000_000.0
 ORD = "date, block, orderkey, linenumber, partkey, suppkey, amount, side"
 TABLE_SQL["walk"] = f"""
-WITH RECURSIVE l AS (SELECT *, row_number() OVER (PARTITION BY portfolio, symbol ORDER BY {ORD}) AS n FROM ledger),
+WITH RECURSIVE l AS (SELECT *, row_number() OVER (PARTITION BY portfolio, exchange, symbol ORDER BY {ORD}) AS n FROM ledger),
 f AS (
- SELECT portfolio, symbol, n, date, orderkey, linenumber, partkey, suppkey, amount, side, l.qty AS tq, price, l.qty AS held, price AS avg_cost, 0.0::DOUBLE AS gain FROM l WHERE n = 1
+ SELECT portfolio, exchange, symbol, n, date, orderkey, linenumber, partkey, suppkey, amount, side, l.qty AS tq, price, l.qty AS held, price AS avg_cost, 0.0::DOUBLE AS gain FROM l WHERE n = 1
  UNION ALL
- SELECT l.portfolio, l.symbol, l.n, l.date, l.orderkey, l.linenumber, l.partkey, l.suppkey, l.amount, l.side, l.qty, l.price, CASE WHEN l.side = 'buy' THEN held + l.qty ELSE held - l.qty END,
+ SELECT l.portfolio, l.exchange, l.symbol, l.n, l.date, l.orderkey, l.linenumber, l.partkey, l.suppkey, l.amount, l.side, l.qty, l.price, CASE WHEN l.side = 'buy' THEN held + l.qty ELSE held - l.qty END,
   CASE WHEN l.side = 'buy' THEN (avg_cost * held + l.price * l.qty) / (held + l.qty) WHEN held = l.qty THEN 0 ELSE avg_cost END,
   CASE WHEN l.side = 'sell' THEN (l.price - avg_cost) * l.qty ELSE 0 END
- FROM f JOIN l ON l.portfolio = f.portfolio AND l.symbol = f.symbol AND l.n = f.n + 1)
+ FROM f JOIN l ON l.portfolio = f.portfolio AND l.exchange = f.exchange AND l.symbol = f.symbol AND l.n = f.n + 1)
 SELECT * FROM f"""
-TABLE_SQL["pos"] = """SELECT portfolio, symbol, arg_max(held, n) AS qty, arg_max(avg_cost, n) AS avg_cost, sum(gain) AS realised, min(date) AS opened_on, max(date) AS last_trade FROM walk GROUP BY ALL"""
+TABLE_SQL["pos"] = """SELECT portfolio, exchange, symbol, arg_max(held, n) AS qty, arg_max(avg_cost, n) AS avg_cost, sum(gain) AS realised, min(date) AS opened_on, max(date) AS last_trade FROM walk GROUP BY ALL"""
 FLOW = "CASE WHEN side = 'buy' THEN -qty * price ELSE qty * price END"
 TID = ["portfolio", "symbol", "date", "orderkey", "linenumber", "partkey", "suppkey", "amount", "side"]
-query("b1_positions", "SELECT * FROM pos", "avg_cost:4 realised:3")(lambda wb: lg.positions(wb.ledger))
-query("b1_oversold", "SELECT portfolio, symbol, date, orderkey FROM walk WHERE held < 0")(lambda wb: lg.oversold(wb.ledger).select("portfolio", "symbol", "date", "orderkey"))
+query("b1_positions", "SELECT * FROM pos", "avg_cost:4 realised:3")(lambda wb: lg.positions(wb.trades_in_order))
+query("b1_oversold", "SELECT portfolio, symbol, date, orderkey FROM walk WHERE held < 0")(lambda wb: lg.oversold(wb.trades_in_order).select("portfolio", "symbol", "date", "orderkey"))
 query("b2_cash_by_day", f"""SELECT portfolio, date, n_trades, sum(flow) OVER (PARTITION BY portfolio ORDER BY date) + {CAP} AS cash FROM (SELECT portfolio, date, count(*) AS n_trades, sum({FLOW}) AS flow FROM ledger GROUP BY ALL)""", "cash:3")(
     lambda wb: lg.cash_by_day(wb.ledger, CAP).select("portfolio", "date", "n_trades", "cash"))
 query("b2_running_cash", f"SELECT {', '.join(TID)}, sum({FLOW}) OVER (PARTITION BY portfolio ORDER BY {ORD} ROWS UNBOUNDED PRECEDING) + {CAP} AS cash FROM ledger", "cash:3 amount:2")(
     lambda wb: lg.running_cash(wb.ledger, CAP).select(*TID, "cash"))
-SPLITS = "SELECT symbol, ex_date, price_factor, volume_factor FROM parsed WHERE price_factor IS NOT NULL"
+SPLITS = "SELECT DISTINCT exchange, symbol, ex_date, price_factor, volume_factor FROM parsed WHERE price_factor IS NOT NULL"
 
 
 def _splits(wb):
-    return wb.parsed.filter("price_factor IS NOT NULL").select("symbol", "ex_date", "price_factor", "volume_factor")
+    return wb.parsed.filter("price_factor IS NOT NULL").select("exchange", "symbol", "ex_date", "price_factor", "volume_factor")
 
 
 query("b3_apply_split", f"""
-SELECT portfolio, symbol, ex_date, qty, nq AS new_qty, CASE WHEN nq > 0 THEN qty * avg_cost * nq / ex / nq ELSE 0 END AS new_avg_cost, ex - nq AS dropped_shares, qty * avg_cost - CASE WHEN nq > 0 THEN qty * avg_cost * nq / ex ELSE 0 END AS dropped_cost
-FROM (SELECT *, qty * volume_factor AS ex, CAST(floor(qty * volume_factor + 1e-9) AS BIGINT) AS nq FROM pos JOIN ({SPLITS}) USING (symbol) WHERE qty > 0)""", "new_avg_cost:3 dropped_shares dropped_cost:2")(
-    lambda wb: lg.apply_split(lg.positions(wb.ledger), _splits(wb)))
-query("b4_held_before", """SELECT p.portfolio, p.symbol, a.action_id, a.ex_date, coalesce((SELECT arg_max(h.held, h.date) FROM hold h WHERE h.portfolio = p.portfolio AND h.symbol = p.symbol AND h.date < a.ex_date), 0) AS held
-FROM (SELECT DISTINCT portfolio, symbol FROM ledger) p JOIN actions a USING (symbol)""")(lambda wb: lg.held_before(wb.ledger, wb.actions.select("action_id", "symbol", "ex_date")))
-TABLE_SQL["hold"] = """SELECT portfolio, symbol, date, CAST(sum(q) OVER (PARTITION BY portfolio, symbol ORDER BY date) AS BIGINT) AS held FROM (
- SELECT portfolio, symbol, date, sum(CASE WHEN side = 'buy' THEN qty ELSE -qty END) AS q FROM ledger GROUP BY ALL)"""
-query("b5_dividends", """SELECT portfolio, symbol, action_id, clause, ex_date, held, round(held * CAST(amount AS DECIMAL(18,4)), 2) AS credit FROM (
- SELECT p.portfolio, p.symbol, a.action_id, a.clause, a.ex_date, a.amount, (SELECT arg_max(h.held, h.date) FROM hold h WHERE h.portfolio = p.portfolio AND h.symbol = p.symbol AND h.date < a.ex_date) AS held
- FROM (SELECT DISTINCT portfolio, symbol FROM ledger) p JOIN parsed a USING (symbol) WHERE a.action_type IN ('dividend', 'distribution') AND a.amount IS NOT NULL) WHERE held > 0""", "credit:2")(
-    lambda wb: lg.dividends(wb.ledger, wb.parsed.select("action_id", "clause", "symbol", "ex_date", "action_type", "amount")).select("portfolio", "symbol", "action_id", "clause", "ex_date", "held", "credit"))
+WITH a AS ({SPLITS}), h AS (SELECT w.portfolio, w.exchange, w.symbol, a.ex_date, a.price_factor, a.volume_factor, arg_max(held, n) AS qty, arg_max(avg_cost, n) AS avg_cost FROM walk w JOIN a ON w.exchange = a.exchange AND w.symbol = a.symbol AND w.date < a.ex_date GROUP BY ALL)
+SELECT portfolio, exchange, symbol, ex_date, qty, nq AS new_qty, CASE WHEN nq > 0 THEN qty * avg_cost * nq / ex / nq ELSE 0 END AS new_avg_cost, ex - nq AS dropped_shares, qty * avg_cost - CASE WHEN nq > 0 THEN qty * avg_cost * nq / ex ELSE 0 END AS dropped_cost
+FROM (SELECT *, qty * volume_factor AS ex, CAST(floor(qty * volume_factor + 1e-9) AS BIGINT) AS nq FROM h WHERE qty > 0)""", "new_avg_cost:3 dropped_shares dropped_cost:2")(
+    lambda wb: lg.apply_split(wb.trades_in_order, _splits(wb).distinct()))
+TABLE_SQL["hold"] = """SELECT portfolio, exchange, symbol, date, CAST(sum(q) OVER (PARTITION BY portfolio, exchange, symbol ORDER BY date) AS BIGINT) AS held FROM (
+ SELECT portfolio, exchange, symbol, date, sum(CASE WHEN side = 'buy' THEN qty ELSE -qty END) AS q FROM ledger GROUP BY ALL)"""
+HELD = """SELECT p.portfolio, p.exchange, p.symbol, a.*, (SELECT arg_max(h.held, h.date) FROM hold h WHERE h.portfolio = p.portfolio AND h.exchange = p.exchange AND h.symbol = p.symbol AND h.date < a.ex_date) AS held
+ FROM (SELECT DISTINCT portfolio, exchange, symbol FROM ledger) p JOIN {0} a USING (exchange, symbol)"""
+query("b4_held_before", f"SELECT portfolio, exchange, symbol, action_id, ex_date, held FROM ({HELD.format('actions')}) WHERE held > 0")(
+    lambda wb: lg.held_before(wb.ledger, wb.actions.select("action_id", "exchange", "symbol", "ex_date")).select("portfolio", "exchange", "symbol", "action_id", "ex_date", "held"))
+query("b5_dividends", f"""SELECT portfolio, exchange, symbol, action_id, clause, ex_date, held, round(held * CAST(amount AS DECIMAL(18,4)), 2) AS credit FROM ({HELD.format('parsed')})
+WHERE held > 0 AND action_type IN ('dividend', 'distribution') AND amount IS NOT NULL""", "credit:2")(
+    lambda wb: lg.dividends(wb.ledger, wb.parsed.select("action_id", "clause", "exchange", "symbol", "ex_date", "action_type", "amount")).select("portfolio", "exchange", "symbol", "action_id", "clause", "ex_date", "held", "credit"))
 
 
 def _book(wb):
@@ -75,17 +78,18 @@ SELECT symbol, ex_date, action_type, num, den, amount FROM k WHERE symbol || ex_
         .select(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in [*AK, "price_factor"]]).alias("action_key")), [*AK, "price_factor"]).select(*AK))(
         wb.parsed.filter("parse_status = 'parsed'")))
 query("b8_value_portfolio", f"""
-WITH c AS (SELECT symbol, arg_max(close, date) AS mark FROM panel GROUP BY 1), k AS (SELECT portfolio, sum({FLOW}) + {CAP} AS cash FROM ledger GROUP BY 1),
+WITH c AS (SELECT exchange, symbol, arg_max(close, date) AS mark FROM closes GROUP BY 1, 2), k AS (SELECT portfolio, sum({FLOW}) + {CAP} AS cash FROM ledger GROUP BY 1),
 a AS (SELECT portfolio, count(*) AS n_positions, sum(avg_cost * qty) AS invested, sum(coalesce(mark, avg_cost) * qty) AS market_value, sum((mark - avg_cost) * qty) AS unrealised, max(DATE '2002-01-31' - opened_on) AS longest_held_days
-      FROM pos LEFT JOIN c USING (symbol) WHERE qty > 0 GROUP BY 1)
+      FROM pos LEFT JOIN c USING (exchange, symbol) WHERE qty > 0 GROUP BY 1)
 SELECT *, cash + coalesce(market_value, 0) AS value FROM k LEFT JOIN a USING (portfolio)""", "cash:2 invested:2 market_value:2 unrealised:2 value:2")(
-    lambda wb: lg.value_portfolio(lg.positions(wb.ledger), wb.ledger.groupBy("portfolio").agg((F.sum(lg.cash_flow()) + CAP).alias("cash")),
-                                  lake.last_close_on_or_before(wb.bars, "NSE", "2002-01-31"), "2002-01-31"))
+    lambda wb: lg.value_portfolio(lg.positions(wb.trades_in_order), wb.ledger.groupBy("portfolio").agg((F.sum(lg.cash_flow()) + CAP).alias("cash")),
+                                  lake.last_closes(wb.bars, "2002-01-31"), "2002-01-31"))
+TABLE_SQL["closes"] = """SELECT exchange, symbol, date, close FROM bars QUALIFY row_number() OVER (PARTITION BY exchange, symbol, date ORDER BY CASE series WHEN 'EQ' THEN 1 WHEN 'BE' THEN 2 ELSE 3 END) = 1"""
 TABLE_SQL["snaps"] = f"""
 WITH d AS (SELECT DISTINCT CAST(date_trunc('month', date) AS DATE) AS date FROM tape),
 v AS (SELECT portfolio, date, sum(held * close) AS market_value FROM (
-  SELECT p.portfolio, p.symbol, p.date, p.held, x.close FROM (SELECT q.portfolio, q.symbol, q.date, h.held FROM (SELECT * FROM (SELECT DISTINCT portfolio, symbol FROM ledger), d) q
-   ASOF JOIN hold h ON h.portfolio = q.portfolio AND h.symbol = q.symbol AND q.date >= h.date) p ASOF LEFT JOIN panel x ON x.symbol = p.symbol AND p.date >= x.date) GROUP BY ALL),
+  SELECT p.portfolio, p.date, p.held, x.close FROM (SELECT q.portfolio, q.exchange, q.symbol, q.date, h.held FROM (SELECT * FROM (SELECT DISTINCT portfolio, exchange, symbol FROM ledger), d) q
+   ASOF JOIN hold h ON h.portfolio = q.portfolio AND h.exchange = q.exchange AND h.symbol = q.symbol AND q.date >= h.date) p ASOF LEFT JOIN closes x ON x.exchange = p.exchange AND x.symbol = p.symbol AND p.date >= x.date) GROUP BY ALL),
 c AS (SELECT portfolio, date, sum(flow) OVER (PARTITION BY portfolio ORDER BY date) + {CAP} AS cash FROM (SELECT portfolio, date, sum({FLOW}) AS flow FROM ledger GROUP BY ALL)),
 g AS (SELECT * FROM (SELECT DISTINCT portfolio FROM ledger), d),
 k AS (SELECT g.portfolio, g.date, coalesce(c.cash, {CAP}) AS cash FROM g ASOF LEFT JOIN c ON c.portfolio = g.portfolio AND g.date >= c.date),
@@ -94,7 +98,7 @@ SELECT k.portfolio, k.date, cash, coalesce(market_value, 0) AS market_value, cas
 
 
 def snaps(wb):
-    return lg.daily_snapshots(wb.ledger, wb.panel, wb.tape.select(F.trunc("date", "month").alias("date")).distinct(), wb.bench, CAP)
+    return lg.daily_snapshots(wb.ledger, lake.one_series_per_day(wb.bars, SERIES, ("exchange", "symbol", "date")), wb.tape.select(F.trunc("date", "month").alias("date")).distinct(), wb.bench, CAP)
 
 
 query("b9_daily_snapshots", "SELECT * FROM snaps", "cash:2 market_value:2 value:2 bench_close")(snaps)
@@ -102,10 +106,10 @@ query("b10_portfolio_summary", f"""
 WITH {MODERN}, {RATES}, v AS (SELECT *, CAST(round(qty * price, 2) AS DECIMAL(18,2)) AS turnover FROM rates),
 c AS (SELECT *, round(CASE WHEN product = 'intraday' THEN least(turnover * 0.0003, 20) ELSE 0 END, 2) AS br, round(turnover * stt_rate, 2) + round(turnover * stamp_rate, 2) AS tax, round(turnover * exchange_rate, 2) + round(turnover * ipft_rate, 2) + round(turnover * 0.000001, 2) AS fee FROM v),
 ch AS (SELECT portfolio, CAST(sum(br + tax + fee + round((br + fee) * 0.18, 2)) AS DOUBLE) AS charges FROM c GROUP BY 1),
-s AS (SELECT portfolio, sum(gain) AS realised, count(*) AS n_sales, avg(CASE WHEN gain > 0 THEN 1.0 ELSE 0 END) AS win_rate FROM walk WHERE side = 'sell' GROUP BY 1),
+s AS (SELECT portfolio, sum(gain) AS realised, count(*) AS n_sales, avg(CASE WHEN round(gain, 4) > 0 THEN 1.0 ELSE 0 END) AS win_rate FROM walk WHERE side = 'sell' GROUP BY 1),
 x AS (SELECT *, value / max(value) OVER (PARTITION BY portfolio ORDER BY date) - 1 AS dd FROM snaps),
 r AS (SELECT portfolio, arg_max(value, date) / {CAP} - 1 AS total_return, arg_max(bench_close, date) FILTER (WHERE bench_close IS NOT NULL) / arg_min(bench_close, date) FILTER (WHERE bench_close IS NOT NULL) - 1 AS benchmark_return, least(0, min(dd)) AS max_drawdown FROM x GROUP BY 1)
 SELECT * FROM s LEFT JOIN ch USING (portfolio) LEFT JOIN r USING (portfolio)""", "realised:2 win_rate charges:2 total_return benchmark_return max_drawdown")(
-    lambda wb: lg.portfolio_summary(wb.ledger, cs.charges(wb.ledger.withColumn("date", F.add_months("date", 300)).withColumn("product", F.when(F.col("linenumber") % 3 == 0, "intraday").otherwise("delivery"))), snaps(wb), CAP))
+    lambda wb: lg.portfolio_summary(wb.trades_in_order, cs.charges(wb.trades_in_order.withColumn("date", F.add_months("date", 300)).withColumn("product", F.when(F.col("linenumber") % 3 == 0, "intraday").otherwise("delivery"))), snaps(wb), CAP))
 query("b11_xirr", """SELECT portfolio, TRUE AS has_rate, TRUE AS npv_is_zero FROM snaps GROUP BY 1""")(
     lambda wb: lg.xirr(lg.net_flows(wb.ledger, snaps(wb))).select("portfolio", F.col("xirr").isNotNull().alias("has_rate"), (F.abs("npv") < F.col("gross") * 1e-9).alias("npv_is_zero")))

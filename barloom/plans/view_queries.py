@@ -62,7 +62,7 @@ query("v5_capped_per_horizon", f"SELECT {PK} FROM (SELECT *, row_number() OVER (
 query("v6_round_robin", f"""SELECT {PK}, turn, place FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY turn, round(score, 6) DESC, rule) AS place FROM (
  SELECT *, row_number() OVER (PARTITION BY date, rule ORDER BY round(score, 6) DESC, symbol) AS turn FROM picks) WHERE turn <= 2) WHERE place <= 5""", "score")(
     lambda wb: vw.round_robin(wb.picks.withColumn("score", F.round("score", 6)), 2, 5).select(*PK.split(", "), "turn", "place"))
-query("v7_brief_payload")(lambda wb: vw.brief_payload(wb.picks, lake.index_moves(wb.idx, wb.picks.select(F.col("date").alias("day")).distinct(), ["BROAD_500", "WIDE_200"]), lg.positions(wb.ledger)))
+query("v7_brief_payload")(lambda wb: vw.brief_payload(wb.picks, lake.index_moves(wb.idx, wb.picks.select(F.col("date").alias("day")).distinct(), ["BROAD_500", "WIDE_200"]), lg.positions(wb.trades_in_order)))
 query("v8_expected_data", """
 SELECT s.exchange, s.first_date, s.latest_date, c.expected_date, coalesce(s.latest_date < c.expected_date, FALSE) AS is_stale
 FROM (SELECT exchange, min(date) AS first_date, max(date) AS latest_date FROM bars WHERE exchange = 'NSE' OR date < DATE '2001-10-20' GROUP BY 1) s
@@ -221,4 +221,4 @@ f AS (SELECT b.*, CASE WHEN type = 'market' AND created_at > TIMESTAMP '2024-01-
 SELECT order_id, symbol, fill_price FROM (SELECT *, row_number() OVER (PARTITION BY coalesce('g' || oco_group, 'o' || order_id) ORDER BY type <> 'stop_loss', order_id) AS k FROM f WHERE fill_price IS NOT NULL) WHERE k = 1""", "fill_price")(
     lambda wb: cd.eod_fallback(wb.book, cd.candles(wb.ticks, "1 day", tiebreak="event_id").withColumn("date", F.to_date("candle_start")), "2024-01-15").select("order_id", "symbol", "fill_price"))
 query("x7_symbols_to_watch", f"WITH f AS ({FILLS}) SELECT DISTINCT symbol FROM book WHERE order_id NOT IN (SELECT order_id FROM f) UNION SELECT symbol FROM pos WHERE qty > 0")(
-    lambda wb: cd.symbols_to_watch(_closed_book(wb), lg.positions(wb.ledger)))
+    lambda wb: cd.symbols_to_watch(_closed_book(wb), lg.positions(wb.trades_in_order)))

@@ -438,17 +438,20 @@ class Workbench:
 
     @cached_property
     def ledger(self) -> DataFrame:
-        t = self.tape
-        common = [F.concat(F.lit("PF-"), F.expr("suppkey div 10").cast("string")).alias("portfolio"), "symbol"]
-        ids = [F.expr("orderkey div 1000").alias("block"), "orderkey", "linenumber", "partkey", "suppkey", "amount"]
-        tail = [F.lit("delivery").alias("product"), "exchange", "series"]
-        buys = t.select(*common, "date", *ids, F.col("qty").cast("long").alias("qty"), "price", F.lit("buy").alias("side"), *tail)
-        odd = F.col("linenumber") % 2 == 1
-        sells = t.filter(odd | (F.col("qty") >= 2)).select(
-            *common, F.date_add("date", 1 + 7 * F.col("linenumber")).alias("date"), *ids,
-            F.when(odd, F.col("qty").cast("long")).otherwise(F.expr("cast(qty as bigint) div 2")).alias("qty"),
-            (F.floor(F.col("price") * (100 + (F.col("linenumber") - 4) * 2)) / 100).alias("price"), F.lit("sell").alias("side"), *tail)
-        return buys.unionByName(sells)
+        """A purchase and, for most, a later sale of every trade, from one scan."""
+        odd, whole = F.col("linenumber") % 2 == 1, F.col("qty").cast("long")
+        leg = lambda date, qty, price, side: F.struct(date.alias("date"), qty.alias("qty"), price.alias("price"), F.lit(side).alias("side"))
+        buy = leg(F.col("date"), whole, F.col("price"), "buy")
+        sell = leg(F.date_add("date", 1 + 7 * F.col("linenumber")), F.when(odd, whole).otherwise(F.expr("cast(qty as bigint) div 2")), F.floor(F.col("price") * (100 + (F.col("linenumber") - 4) * 2)) / 100, "sell")
+        legs = F.explode(F.when(odd | (F.col("qty") >= 2), F.array(buy, sell)).otherwise(F.array(buy)))
+        t = self.tape.withColumn("leg", legs)
+        return t.select(F.concat(F.lit("PF-"), F.expr("suppkey div 10").cast("string")).alias("portfolio"), "symbol", "leg.date", F.expr("orderkey div 1000").alias("block"), "orderkey", "linenumber", "partkey", "suppkey", "amount",
+                        "leg.qty", "leg.price", "leg.side", F.lit("delivery").alias("product"), "exchange", "series")
+
+    @cached_property
+    def trades_in_order(self) -> DataFrame:
+        from barloom.operators.ledger import trades_in_order
+        return trades_in_order(self.ledger)
 
     @cached_property
     def ticks(self) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.functions.ewm import ewm
-from barloom.functions.joins import asof_join, average_rank, running_total
+from barloom.functions.joins import asof_join, average_rank
 from barloom.functions.rolling import rolling
 from barloom.functions.windows import add_weekdays, symbol_window
 from barloom.operators import features as ft
@@ -106,16 +106,6 @@ def test_average_rank_with_hot_group_and_hot_value(spark):
     assert (got.n.values == pdf.groupby("k").v.transform("count").values).all()
 
 
-def test_running_total_with_hot_key(spark):
-    rng = np.random.default_rng(5)
-    n = 2000
-    pdf = pd.DataFrame({"k": np.where(rng.random(n) < 0.8, "hot", "x"), "day": rng.integers(0, 9, n), "id": rng.permutation(n), "v": rng.integers(-5, 6, n)})
-    pdf["block"] = pdf.id // 100
-    got = running_total(spark.createDataFrame(pdf), ["k"], "day", "block", [F.col("id")], {"s": F.col("v")}).toPandas().sort_values(["k", "day", "id"])
-    want = pdf.sort_values(["k", "day", "id"]).groupby("k").v.cumsum()
-    assert (got.s.values == want.values).all()
-
-
 def test_add_weekdays_matches_business_days(spark):
     rows = [(dt.date(2024, 1, 1) + dt.timedelta(i), h) for i in range(14) for h in (1, 4, 5, 6, 23)]
     got = spark.createDataFrame(rows, "d date, n int").withColumn("e", add_weekdays(F.col("d"), F.col("n"))).collect()
