@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.joins import asof_join
+from barloom.functions.lineage import written
 from barloom.functions.windows import in_list_order, latest_per
 
 # How exchanges spell the words that decide a clause.
@@ -84,33 +85,37 @@ def _clause_fields(c: Column) -> Column:
                     F.when(k == "rights", _amount_after(c, lambda t: t == "premium", FILLERS["premium"])).alias("premium"))
 
 
-def parse_subjects(actions: DataFrame) -> DataFrame:
-    """One row per recognised clause (one NULL-typed row when nothing is recognised), with status
-    parsed / ambiguous / unparsed for the whole subject. No shuffle and no Python: clauses live in
-    an array until the final explode."""
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is computed once a row: Spark doesn't fold projections through a generator."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
+def parsed_clauses(subjects: DataFrame) -> DataFrame:
+    """One row per recognised clause of each distinct subject, with the status of the whole subject: parsed, ambiguous
+    (something in it was not understood) or unparsed, which has no row. Clauses are flat rows; a subject's few are put
+    together again by aggregates."""
     texts = F.filter(F.transform(F.split(F.lower(F.trim("subject")), r"\s+and\s+|\s*&\s*"), lambda c: F.trim(c)), lambda c: c != "")
-    split = F.transform(F.col("_texts"), lambda c, i: _clause(c, i + 1))
-    fields = F.transform(F.col("_clauses"), _clause_fields)
-    known = F.exists("_f", lambda f: f["kind"].isNotNull())
-
-    def unclear(f):
-        return (f["kind"].isNull() | (f["kind"] == "vague") | ((f["kind"] == "rights") & f["premium"].isNull())
-                | ((f["kind"] == "face") & ((f["fv_from"] <= 0) | (f["fv_to"] <= 0))))
-    status = F.when(~known, "unparsed").when(F.exists("_f", unclear), "ambiguous").otherwise("parsed")
-    base = (actions.withColumn("_texts", texts).withColumn("_clauses", split).withColumn("_f", fields)
-            .withColumn("parse_status", status))
-    kept = F.filter("_f", lambda f: f["kind"].isNotNull())
-    out = base.withColumn("_k", F.explode_outer(kept))
+    rows = subjects.select("subject").distinct().select("subject", F.posexplode(texts).alias("_i", "_text"))
+    rows = _once(_once(rows, "_c", _clause(F.col("_text"), F.col("_i") + 1)), "_f", _clause_fields(F.col("_c"))).select("subject", "_f.*")
+    face = F.col("kind") == "face"
+    unclear = (F.col("kind").isNull() | (F.col("kind") == "vague") | ((F.col("kind") == "rights") & F.col("premium").isNull())
+               | (face & ((F.col("fv_from") <= 0) | (F.col("fv_to") <= 0))))
+    status = rows.groupBy("subject").agg(F.when(F.max(F.coalesce(unclear, F.lit(False))), "ambiguous").otherwise("parsed").alias("parse_status"))
     bonus = (F.col("kind") == "bonus") & (F.col("num") > 0) & (F.col("den") > 0)
-    face = (F.col("kind") == "face") & (F.col("fv_from") > 0) & (F.col("fv_to") > 0)
-    keep = [c for c in actions.columns if c != "subject"]
-    return (out.select(*keep, "_k.*", "parse_status").withColumn("clause", F.coalesce("clause", F.lit(1)))
-            .withColumn("price_factor", F.when(bonus, F.col("den") / (F.col("num") + F.col("den")))
-                        .when(face, F.col("fv_to") / F.col("fv_from")))
-            .withColumn("volume_factor", F.when(bonus, (F.col("num") + F.col("den")) / F.col("den"))
-                        .when(face, F.col("fv_from") / F.col("fv_to")))
-            .select(*keep, "clause", "action_type", "amount", "num", "den", "fv_from", "fv_to", "premium",
-                    "price_factor", "volume_factor", "parse_status"))
+    face &= (F.col("fv_from") > 0) & (F.col("fv_to") > 0)
+    return (rows.filter("kind IS NOT NULL").join(status, "subject")
+            .withColumn("price_factor", F.when(bonus, F.col("den") / (F.col("num") + F.col("den"))).when(face, F.col("fv_to") / F.col("fv_from")))
+            .withColumn("volume_factor", F.when(bonus, (F.col("num") + F.col("den")) / F.col("den")).when(face, F.col("fv_from") / F.col("fv_to")))
+            .select("subject", "clause", "action_type", "amount", "num", "den", "fv_from", "fv_to", "premium", "price_factor", "volume_factor", "parse_status"))
+
+
+def parse_subjects(actions: DataFrame) -> DataFrame:
+    """One row per recognised clause (one NULL-typed row when nothing is recognised), with status parsed / ambiguous /
+    unparsed for the whole subject. Exchanges print a few thousand subjects over and over: each is parsed once, written, and
+    met by the actions."""
+    clauses = written(parsed_clauses(actions))
+    out = actions.join(clauses, "subject", "left").withColumn("clause", F.coalesce("clause", F.lit(1))).withColumn("parse_status", F.coalesce("parse_status", F.lit("unparsed")))
+    return out.select(*[c for c in actions.columns if c != "subject"], *[c for c in clauses.columns if c != "subject"])
 
 
 def cum_price(actions: DataFrame, bars: DataFrame, precedence: list[str], keys=("action_id",)) -> DataFrame:
@@ -171,22 +176,24 @@ def resolve_action_identity(actions: DataFrame, history: DataFrame, listings: Da
 
 
 def dedupe_actions(factored: DataFrame) -> DataFrame:
-    """One row per economic event (type and factor of a security on an ex-date), the newest capture wins. With
-    ``identity_key`` (see resolve_action_identity) a feed repeated under a new symbol is the same event."""
-    usable = factored.filter(F.col("price_factor").isNotNull())
+    """One row per economic event (type, ratio and factor of a security on an ex-date), the newest capture wins. Only
+    subjects that were understood as a whole feed it. With ``identity_key`` (see resolve_action_identity) a feed repeated
+    under a new symbol is the same event."""
+    usable = factored.filter(F.col("price_factor").isNotNull() & (F.col("parse_status") == "parsed"))
     who = F.col("identity_key") if "identity_key" in factored.columns else F.col("symbol")
     keyed = usable.withColumn("_f", F.round("price_factor", 12)).withColumn("_w", who)
-    return latest_per(keyed, ["exchange", "_w", "ex_date", "action_type", "_f"],
+    return latest_per(keyed, ["exchange", "_w", "ex_date", "action_type", "num", "den", "_f"],
                       [F.col("captured_on").desc(), F.col("action_id").desc()]).drop("_f", "_w")
 
 
 def excluded_actions(factored: DataFrame) -> DataFrame:
-    """Actions that adjust nothing, by reason; a closeable hole marks the run degraded."""
+    """Actions that adjust nothing, by reason: no factor, or one in a subject not understood as a whole. A closeable hole
+    marks the run degraded."""
     reason = (F.when(F.col("action_type").isin(PERMANENT), "permanent")
               .when(F.col("action_type").isin(CASH_LIKE), "cash_like")
               .when((F.col("action_type") == "bonus") & (F.col("parse_status") == "parsed"), "cash_like")
               .otherwise("closeable_hole"))
-    return (factored.filter(F.col("price_factor").isNull()).withColumn("reason", reason)
+    return (factored.filter(F.col("price_factor").isNull() | (F.col("parse_status") != "parsed")).withColumn("reason", reason)
             .groupBy("reason", "action_type").agg(F.count("*").alias("n_actions"))
             .withColumn("degraded", F.col("reason") == "closeable_hole"))
 
@@ -239,7 +246,28 @@ def reparse(stored: DataFrame, actions: DataFrame, version: int) -> DataFrame:
             .withColumn("parser_version", F.lit(version)))
 
 
-def rebuild_adjusted(bars: DataFrame, actions: DataFrame, securities: DataFrame, precedence: list[str]) -> DataFrame:
-    """Subjects -> factors -> timeline -> adjusted bars, as one plan."""
-    factored = apply_rights(parse_subjects(actions), bars, securities, precedence)
-    return adjust_bars(bars, factor_timeline(dedupe_actions(factored)))
+def identify_bars(bars: DataFrame, history: DataFrame, listings: DataFrame) -> DataFrame:
+    """Adds ``identity_key``: the security that owned the symbol on the bar's day (half-open validity), else the only one
+    that ever listed it, else the symbol. Symbols are first turned into owners per day range, so no bar is multiplied."""
+    old = history.select("exchange", "symbol", F.col("valid_from").alias("date"), "security_id", "valid_to").dropDuplicates(["exchange", "symbol", "date"])
+    old = old.withColumnRenamed("security_id", "_then").withColumnRenamed("valid_to", "_to")
+    hit = asof_join(bars, old, ["exchange", "symbol"], "date", "date", ["_then", "_to"]).drop("date_asof")
+    hit = hit.withColumn("_then", F.when(F.col("_to").isNull() | (F.col("date") < F.col("_to")), F.col("_then"))).drop("_to")
+    now = listings.groupBy("exchange", "symbol").agg(F.min("security_id").alias("_lo"), F.max("security_id").alias("_hi"))
+    now = now.select("exchange", "symbol", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).alias("_now"))
+    return hit.join(now, ["exchange", "symbol"], "left").withColumn("identity_key", F.coalesce(F.coalesce("_then", "_now").cast("string"), "symbol")).drop("_then", "_now")
+
+
+def rebuild_adjusted(bars: DataFrame, actions: DataFrame, securities: DataFrame, precedence: list[str], history: DataFrame | None = None, listings: DataFrame | None = None) -> DataFrame:
+    """Subjects -> factors -> timeline -> adjusted bars, as one plan. With symbol history and listings everything is keyed
+    on the security: an action announced under one symbol reaches bars printed under any other that the security used."""
+    parsed = parse_subjects(actions)
+    if history is None or listings is None:
+        return adjust_bars(bars, factor_timeline(dedupe_actions(apply_rights(parsed, bars, securities, precedence))))
+    if "security_id" not in parsed.columns:
+        parsed = parsed.withColumn("security_id", F.lit(None).cast("long"))
+    keyed = resolve_action_identity(parsed, history, listings).withColumn("symbol", F.col("identity_key"))
+    named = identify_bars(bars, history, listings).withColumn("_printed", F.col("symbol")).withColumn("symbol", F.col("identity_key"))
+    owners = securities.withColumn("canonical_symbol", F.col("security_id").cast("string"))
+    out = adjust_bars(named, factor_timeline(dedupe_actions(apply_rights(keyed, named, owners, precedence))))
+    return out.withColumn("symbol", F.col("_printed")).drop("_printed", "identity_key")

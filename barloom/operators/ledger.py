@@ -23,12 +23,13 @@ def signed_qty() -> Column:
 
 def trades_in_order(trades: DataFrame) -> DataFrame:
     """The trades of each (portfolio, exchange, symbol) in their order, ready for the scans below, which all read it."""
-    return in_order(trades, KEYS, ORDER)
+    return trades if "_n" in trades.columns else in_order(trades, KEYS, ORDER)
 
 
 def running_quantity(ordered: DataFrame) -> DataFrame:
-    """Adds ``qty_before`` and ``qty_after``: shares held around each trade of ``trades_in_order``."""
-    return prefix_scan(ordered, KEYS, signed_qty(), "qty_before", "qty_after")
+    """Adds ``qty_before`` and ``qty_after``: shares held around each trade. Several results of the same trades best share
+    one ``trades_in_order``."""
+    return prefix_scan(trades_in_order(ordered), KEYS, signed_qty(), "qty_before", "qty_after")
 
 
 def oversold(ordered: DataFrame) -> DataFrame:

@@ -43,13 +43,13 @@ def _recaptured(wb):
 query("c7_dedupe_actions", """
 WITH r AS (SELECT * FROM parsed UNION ALL SELECT * REPLACE (captured_on + 30 AS captured_on, action_id + 1000000 AS action_id) FROM parsed WHERE action_id % 2 = 0)
 SELECT action_id, symbol, ex_date, captured_on, action_type, price_factor FROM (
- SELECT *, row_number() OVER (PARTITION BY exchange, symbol, ex_date, action_type, round(price_factor, 12) ORDER BY captured_on DESC, action_id DESC) AS rn FROM r WHERE price_factor IS NOT NULL) WHERE rn = 1""",
+ SELECT *, row_number() OVER (PARTITION BY exchange, symbol, ex_date, action_type, num, den, round(price_factor, 12) ORDER BY captured_on DESC, action_id DESC) AS rn FROM r WHERE price_factor IS NOT NULL AND parse_status = 'parsed') WHERE rn = 1""",
       "price_factor")(lambda wb: act.dedupe_actions(_recaptured(wb)).select("action_id", "symbol", "ex_date", "captured_on", "action_type", "price_factor"))
 query("c8_excluded_actions", """
 SELECT *, reason = 'closeable_hole' AS degraded FROM (
  SELECT CASE WHEN action_type IN ('demerger', 'capital_reduction') THEN 'permanent' WHEN action_type IN ('dividend', 'distribution', 'interest', 'buyback', 'agm') THEN 'cash_like'
              WHEN action_type = 'bonus' AND parse_status = 'parsed' THEN 'cash_like' ELSE 'closeable_hole' END AS reason, action_type, count(*) AS n_actions
- FROM factored WHERE price_factor IS NULL GROUP BY ALL)""")(lambda wb: act.excluded_actions(wb.factored))
+ FROM factored WHERE price_factor IS NULL OR parse_status <> 'parsed' GROUP BY ALL)""")(lambda wb: act.excluded_actions(wb.factored))
 query("c9_factor_timeline", "SELECT * FROM timeline", "price_factor volume_factor cumulative_price_factor cumulative_volume_factor")(lambda wb: wb.timeline)
 query("c9_factor_timeline_aliases", """SELECT t.* REPLACE (v.s AS symbol) FROM timeline t JOIN (
  SELECT canonical_symbol AS symbol, canonical_symbol AS s FROM securities UNION SELECT canonical_symbol, 'OLD' || canonical_symbol FROM securities) v USING (symbol)""",
@@ -58,11 +58,21 @@ query("c9_factor_timeline_aliases", """SELECT t.* REPLACE (v.s AS symbol) FROM t
 query("c10_adjust_bars", "SELECT exchange, symbol, series, date, open, high, low, close, volume, delivery_qty, turnover, cumulative_price_factor FROM adj",
       "open high low close turnover cumulative_price_factor")(
     lambda wb: wb.adj.select("exchange", "symbol", "series", "date", "open", "high", "low", "close", "volume", "delivery_qty", "turnover", "cumulative_price_factor"))
-query("c11_rebuild_adjusted", """SELECT exchange, year(date) AS year, count(*) AS n, round(avg(close / cumulative_price_factor), 4) AS avg_raw_close,
+RENAMED = "CASE WHEN exchange = 'NSE' AND date < DATE '1998-01-01' THEN 'OLD' || symbol ELSE symbol END"
+
+
+def _rebuilt(wb):
+    """Bars of NSE printed under the symbol of their day; actions come under today's symbol."""
+    return act.rebuild_adjusted(wb.bars.withColumn("symbol", F.expr(RENAMED)), wb.actions, wb.securities, SERIES, wb.symhist, wb.listings)
+
+
+query("c11_rebuild_adjusted", f"""SELECT exchange, {RENAMED} LIKE 'OLD%' AS former, year(date) AS year, count(*) AS n, round(avg(close / cumulative_price_factor), 4) AS avg_raw_close,
  count(*) FILTER (WHERE cumulative_price_factor <> 1) AS n_adjusted, avg(prev_close / close) AS avg_back FROM adj GROUP BY ALL""", "avg_raw_close avg_back", 4)(
-    lambda wb: act.rebuild_adjusted(wb.bars, wb.actions, wb.securities, SERIES).groupBy("exchange", F.year("date").alias("year")).agg(
+    lambda wb: _rebuilt(wb).groupBy("exchange", F.col("symbol").startswith("OLD").alias("former"), F.year("date").alias("year")).agg(
         F.count("*").alias("n"), F.round(F.avg(F.col("close") / F.col("cumulative_price_factor")), 4).alias("avg_raw_close"),
         F.count(F.when(F.col("cumulative_price_factor") != 1, 1)).alias("n_adjusted"), F.avg(F.col("prev_close") / F.col("close")).alias("avg_back")))
+query("c11_rebuilt_bars", f"SELECT exchange, {RENAMED} AS symbol, series, date, close, volume, cumulative_price_factor FROM adj", "close cumulative_price_factor")(
+    lambda wb: _rebuilt(wb).select("exchange", "symbol", "series", "date", "close", "volume", "cumulative_price_factor"))
 query("c12_reparse", """
 WITH o AS (SELECT action_id, ex_date, max(parse_status) AS new_status, CASE WHEN action_id % 3 = 0 THEN 'unparsed' WHEN action_id % 3 = 1 THEN 'parsed' ELSE 'ambiguous' END AS old_status FROM parsed GROUP BY ALL)
 SELECT old_status, new_status, count(*) AS n_actions, count(DISTINCT ex_date) AS n_ex_dates, 3 AS parser_version FROM o GROUP BY ALL""")(

@@ -45,6 +45,7 @@ SUBJECTS = {
     23: " ",
     24: "Extra Ordinary General Meeting And Something Else",
     25: "Face Value Split - From Rs 0/- To Rs 5/-",
+    26: "Bonus 1:1 & Rights 3:19",
 }
 
 
@@ -155,10 +156,12 @@ FROM actions JOIN (
    (22, 2, 'dividend', 1, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'parsed'),
    (23, 1, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'unparsed'),
    (24, 1, 'agm', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'ambiguous'),
-   (25, 1, 'split', NULL, NULL, NULL, 0, 5, NULL, NULL, NULL, 'ambiguous')
+   (25, 1, 'split', NULL, NULL, NULL, 0, 5, NULL, NULL, NULL, 'ambiguous'),
+   (26, 1, 'bonus', NULL, 1, 1, NULL, NULL, NULL, 0.5, 2.0, 'ambiguous'),
+   (26, 2, 'rights', NULL, 3, 19, NULL, NULL, NULL, NULL, NULL, 'ambiguous')
   ) v(p_size, clause, action_type, amount, num, den, fv_from, fv_to, premium, price_factor, volume_factor, parse_status)
   UNION ALL
-  SELECT s, 1, 'dividend', s + 0.5, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'parsed' FROM range(26, 51) r(s)
+  SELECT s, 1, 'dividend', s + 0.5, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'parsed' FROM range(27, 51) r(s)
 ) g USING (p_size)""",
     "cumprice": """
 SELECT action_id, arg_max(b.close, row(b.date, -(CASE b.series WHEN 'EQ' THEN 1 WHEN 'BE' THEN 2 ELSE 3 END))) AS cum_price
@@ -184,8 +187,8 @@ SELECT exchange, symbol, effective_date, price_factor, volume_factor,
        product(price_factor) OVER w AS cumulative_price_factor, product(volume_factor) OVER w AS cumulative_volume_factor
 FROM (SELECT exchange, symbol, ex_date AS effective_date, product(price_factor) AS price_factor,
              product(volume_factor) AS volume_factor
-      FROM (SELECT DISTINCT ON (exchange, symbol, ex_date, action_type, round(price_factor, 12)) *
-            FROM factored WHERE price_factor IS NOT NULL AND parse_status <> 'unparsed'
+      FROM (SELECT DISTINCT ON (exchange, symbol, ex_date, action_type, num, den, round(price_factor, 12)) *
+            FROM factored WHERE price_factor IS NOT NULL AND parse_status = 'parsed'
             ORDER BY captured_on DESC, action_id DESC)
       GROUP BY ALL)
 WINDOW w AS (PARTITION BY exchange, symbol ORDER BY effective_date DESC ROWS UNBOUNDED PRECEDING)""",

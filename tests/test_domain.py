@@ -149,6 +149,7 @@ def test_positions_average_cost(spark):
     t = spark.createDataFrame(rows, "portfolio string, symbol string, date date, block long, orderkey long, side string, qty long, price double")
     for c in ("linenumber", "partkey", "suppkey", "amount"):
         t = t.withColumn(c, F.lit(1))
+    t = t.withColumn("exchange", F.lit("NSE"))
     p = lg.positions(t).first()
     assert (p.qty, p.avg_cost, p.realised) == (3, 50.0, 20 * 150.0 + 10.0)
     assert sorted(r.realised for r in lg.sale_results(t).collect()) == [10.0, 3000.0]
