@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions import lattice
 from barloom.functions import rules as rl
 from barloom.functions.joins import average_rank
 from barloom.functions.lineage import cut
@@ -30,28 +33,42 @@ def with_previous(features: DataFrame, specs: list[dict]) -> DataFrame:
     return features.select("*", *[F.lag(c).over(w).alias(rl.PREV + c) for c in need if rl.PREV + c not in features.columns])
 
 
-def candidates(features: DataFrame, variants: list[tuple[dict, dict]]) -> DataFrame:
-    """Rows passing each rule, one pass over the features: every (rule, parameters) is a predicate in
-    one projection, and only the hits are exploded."""
-    cols = features.columns
-    n_keys = max(len(s["rank"]["by"]) for s, _ in variants)
-    hits = []
-    for spec, params in variants:
-        keys = spec["rank"]["by"]
-        rank = []
-        for i in range(n_keys):
-            k = keys[i] if i < len(keys) else None
-            rank += [(F.col(rl.feature_name(k["ind"], k.get("period"))) if k else F.lit(None)).cast("double").alias(f"r{i}"),
-                     F.lit(float(k.get("weight", 1.0)) if k else 0.0).alias(f"w{i}"), F.lit(bool(k) and k["dir"] == "asc").alias(f"asc{i}")]
-        ex = spec["exit"]
-        hits.append(F.when(rl.entry_column(spec, cols, params), F.struct(
-            F.lit(spec["slug"]).alias("rule"), F.lit(variant_name(params)).alias("variant"), F.lit(spec["horizon"]).alias("horizon"),
+def _hit(spec: dict, variant: Column, n_keys: int) -> list[Column]:
+    """What a candidate carries on: its rule, its exit distances and its rank keys."""
+    keys, ex = spec["rank"]["by"], spec["exit"]
+    rank = []
+    for i in range(n_keys):
+        k = keys[i] if i < len(keys) else None
+        rank += [(F.col(rl.feature_name(k["ind"], k.get("period"))) if k else F.lit(None)).cast("double").alias(f"r{i}"),
+                 F.lit(float(k.get("weight", 1.0)) if k else 0.0).alias(f"w{i}"), F.lit(bool(k) and k["dir"] == "asc").alias(f"asc{i}")]
+    return [F.lit(spec["slug"]).alias("rule"), variant.alias("variant"), F.lit(spec["horizon"]).alias("horizon"),
             F.lit(int(ex["max_hold_days"])).alias("hold_days"), F.lit(int(spec["rank"]["max_new_per_day"])).alias("k"),
             rl.distance(ex.get("stop")).alias("stop_pct"), rl.distance(ex.get("target")).alias("target_pct"),
-            F.lit(ex.get("stop") is not None).alias("needs_stop"), F.lit(ex.get("target") is not None).alias("needs_target"), *rank)))
+            F.lit(ex.get("stop") is not None).alias("needs_stop"), F.lit(ex.get("target") is not None).alias("needs_target"), *rank]
+
+
+def candidates(features: DataFrame, variants: list[tuple[dict, dict]], n_keys: int = 1) -> DataFrame:
+    """Rows passing each rule, one pass over the features: every (rule, parameters) is a predicate in
+    one projection, and only the hits are exploded."""
+    cols, n_keys = features.columns, max(n_keys, *[len(s["rank"]["by"]) for s, _ in variants])
+    hits = [F.when(rl.entry_column(spec, cols, params), F.struct(*_hit(spec, F.lit(variant_name(params)), n_keys))) for spec, params in variants]
     return features.select("symbol", "date", "close_raw", F.explode(F.array_compact(F.array(*hits))).alias("h")).select("symbol", "date", "close_raw", "h.*")
 
 
+def grid_candidates(features: DataFrame, specs: list[dict]) -> DataFrame:
+    """Rows passing each grid point of each rule. A rule whose parameters are bare thresholds is evaluated once, for the box
+    of points that a row passes, and only these are exploded; any other rule has a predicate per point."""
+    n_keys, out = max(len(s["rank"]["by"]) for s in specs), []
+    for spec in specs:
+        boxed = lattice.boxes(features, spec)
+        if boxed is not None:
+            out.append(lattice.points(boxed, spec).select("symbol", "date", "close_raw", *_hit(spec, F.col("_variant"), n_keys)))
+    rest = [s for s in specs if lattice.split(s) is None]
+    if rest:
+        out.append(candidates(features, variants_of(rest, grid=True), n_keys))
+    return reduce(DataFrame.unionByName, out)
+
+
 def score(cands: DataFrame) -> DataFrame:
     """Weighted mean of percentile ranks among the day's candidates, 0 to 100. The best value scores 1
     whichever direction is best, ties share the mean rank, a missing value scores 0.
@@ -87,14 +104,9 @@ def window_end(signal: Column, hold: Column) -> Column:
     return add_weekdays(signal, hold + 1)
 
 
-def scan(features: DataFrame, variants: list[tuple[dict, dict]], day=None, exchange: str = "NSE", held: DataFrame | None = None) -> DataFrame:
-    """Picks of every rule on every day (or one day)."""
-    specs = [s for s, _ in variants]
-    f = with_previous(features, specs)
-    if day is not None:
-        f = f.filter(F.col("date") == F.lit(day).cast("date"))
+def _picks(cands: DataFrame, specs: list[dict], exchange: str, held: DataFrame | None) -> DataFrame:
     max_k = max(s["rank"]["max_new_per_day"] for s in specs)
-    top = with_protection(top_per_day(score(candidates(f, variants)), max_k, held))
+    top = with_protection(top_per_day(score(cands), max_k, held))
     names = F.create_map(*[x for s in {s["slug"]: s for s in specs}.values() for x in (F.lit(s["slug"]), F.lit(s["name"]))])
     ref = F.col("close_raw")
     return top.select("rule", "variant", "horizon", F.lit(exchange).alias("exchange"), "symbol", "date", "rank", "score", ref.alias("ref_price"),
@@ -102,6 +114,17 @@ def scan(features: DataFrame, variants: list[tuple[dict, dict]], day=None, excha
                       "stop_pct", "target_pct", "hold_days", window_end(F.col("date"), F.col("hold_days")).alias("window_end"), names[F.col("rule")].alias("reason"))
 
 
+def _on_day(features: DataFrame, specs: list[dict], day) -> DataFrame:
+    f = with_previous(features, specs)
+    return f if day is None else f.filter(F.col("date") == F.lit(day).cast("date"))
+
+
+def scan(features: DataFrame, variants: list[tuple[dict, dict]], day=None, exchange: str = "NSE", held: DataFrame | None = None) -> DataFrame:
+    """Picks of every rule on every day (or one day)."""
+    specs = [s for s, _ in variants]
+    return _picks(candidates(_on_day(features, specs, day), variants), specs, exchange, held)
+
+
 def upsert_picks(existing: DataFrame, new: DataFrame) -> DataFrame:
     """Existing picks stay, picks with an unseen key are appended; ``is_new`` tells which."""
     fresh = new.join(existing.select(*PICK_KEY), PICK_KEY, "left_anti").withColumn("is_new", F.lit(True))
@@ -121,6 +144,6 @@ def preview(features: DataFrame, variants: list[tuple[dict, dict]], status: dict
     return scan(features, chosen, day).withColumn("status", stamp[F.col("rule")])
 
 
-def sweep(features: DataFrame, specs: list[dict], day=None) -> DataFrame:
+def sweep(features: DataFrame, specs: list[dict], day=None, exchange: str = "NSE", held: DataFrame | None = None) -> DataFrame:
     """Picks of every parameter point of every rule in one pass."""
-    return scan(features, variants_of(specs, grid=True), day)
+    return _picks(grid_candidates(_on_day(features, specs, day), specs), specs, exchange, held)

@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 
 from barloom.operators import evaluation as ev
 from barloom.operators import outcomes as oc
-from barloom.plans.derived import RULE_SQL, outcome_sql, pick_sql
+from barloom.operators import screening as sc
+from barloom.plans.derived import outcome_sql
 from barloom.plans.registry import query
-from barloom.plans.screen_queries import rule_picks
+from barloom.plans.screen_queries import SWEEP, swept_rule
 
 K = ["rule", "label"]
 query("w1_windows", "SELECT * FROM wins")(lambda wb: wb.windows)
@@ -14,19 +15,16 @@ query("w2_assign_windows", """SELECT 'test' AS part, label, rule, count(*) AS n
 UNION ALL SELECT 'train', label, rule, count(*) FROM trades JOIN wins ON entry_date BETWEEN train_start AND train_end GROUP BY ALL""")(
     lambda wb: ev.assign_windows(wb.trades, wb.windows, "test", "entry_date").groupBy("label", "rule").agg(F.count("*").alias("n")).withColumn("part", F.lit("test"))
     .unionByName(ev.assign_windows(wb.trades, wb.windows, "train", "entry_date").groupBy("label", "rule").agg(F.count("*").alias("n")).withColumn("part", F.lit("train"))))
-SWEPT = "\nUNION ALL ".join(pick_sql("swing_pullback_ema", RULE_SQL["swing_pullback_ema"][0].replace("BETWEEN 40", f"BETWEEN {v}"), f"rsi_lo={v}") for v in (35, 40, 45))
-
-
 def _swept_daily(wb):
     bars = oc.numbered_bars(wb.panel, "market")
-    sig = rule_picks(wb, ["swing_pullback_ema"], grid=True).select("rule", "variant", "symbol", "date", "stop_pct", "target_pct", "hold_days")
+    sig = sc.sweep(wb.fpanel, [swept_rule()]).select("rule", "variant", "symbol", "date", "stop_pct", "target_pct", "hold_days")
     o = oc.first_exit(oc.next_open_entry(sig, bars, "market"), bars, ["rule", "variant", "date"]).withColumnRenamed("date", "signal_date")
     m = o.select("rule", "variant", "signal_date", "symbol", F.explode("marks").alias("m")).select("rule", "variant", "signal_date", "symbol", "m.date", F.col("m.net").alias("gross"))
     return ev.daily_returns(m, ["rule", "variant"], ["symbol", "signal_date"], 0.0026)
 
 
 query("w3_best_params", f"""
-WITH o AS ({outcome_sql(SWEPT, 'market', keys='rule, variant, date')}),
+WITH o AS ({outcome_sql(SWEEP, 'market', keys='rule, variant, date')}),
 mk AS (SELECT rule, variant, o.symbol, o.date AS sd, b.date, CASE WHEN b.date = o.exit_date THEN o.exit_price ELSE b.close END / o.entry_price AS g FROM o JOIN numbered b ON b.symbol = o.symbol AND b.date BETWEEN o.entry_date AND o.last_date),
 dr AS (SELECT rule, variant, date, avg(r) AS ret FROM (SELECT *, g / coalesce(lag(g) OVER w, 1) * CASE WHEN lag(g) OVER w IS NULL THEN 1 - 0.0026::DOUBLE ELSE 1 END - 1 AS r FROM mk WINDOW w AS (PARTITION BY rule, variant, symbol, sd ORDER BY date)) GROUP BY ALL),
 tr AS (SELECT rule, variant, label, sum(ln(ret * 0.01::DOUBLE + 1)) AS lg FROM dr JOIN wins ON date BETWEEN train_start AND train_end GROUP BY ALL)

@@ -4,6 +4,7 @@ import copy
 
 from pyspark.sql import functions as F
 
+from barloom.functions import lattice
 from barloom.functions import rules as rl
 from barloom.operators import features as ft
 from barloom.operators import fundamentals as fd
@@ -124,12 +125,10 @@ query("r5_universe_filter", f"SELECT symbol, date FROM feat WHERE {UNI} AND seri
 
 
 def _grid(wb):
-    spec = {"params": {"lo": {"default": 1, "grid": [30, 35, 40]}, "hi": {"default": 1, "grid": [55, 60]}}}
-    points = F.array(*[F.struct(F.lit(float(p["lo"])).alias("lo"), F.lit(float(p["hi"])).alias("hi")) for p in rl.param_grid(spec)])
-    f = ft.rsi(wb.panel).filter("rsi14 IS NOT NULL").select("rsi14", F.explode(points).alias("p")).select("rsi14", "p.*")
-    node = {"left": {"ind": "rsi", "period": 14}, "op": "between", "right": [{"param": "lo"}, {"param": "hi"}]}
-    hit = rl.rule_column(node, {"lo": F.col("lo"), "hi": F.col("hi")}, f.columns)
-    return f.groupBy("lo", "hi").agg(F.count(F.when(hit, 1)).alias("n_hits"), F.count("*").alias("n_rows"))
+    spec = {"slug": "rsi", "params": {"lo": {"default": 1, "grid": [30, 35, 40]}, "hi": {"default": 1, "grid": [55, 60]}},
+            "entry": {"left": {"ind": "rsi", "period": 14}, "op": "between", "right": [{"param": "lo"}, {"param": "hi"}]}}
+    f = ft.rsi(wb.panel).filter("rsi14 IS NOT NULL")
+    return lattice.counts(f, spec).withColumn("n_rows", f.agg(F.count("*")).scalar())
 
 
 query("r6_param_grid", """SELECT lo, hi, count(*) FILTER (WHERE rsi14 BETWEEN lo AND hi) AS n_hits, count(*) AS n_rows
@@ -180,6 +179,28 @@ query("r13_preview", "SELECT rule, symbol, date, rank, score, CASE rule WHEN 'sw
 for _slug in RULE_SQL:
     query(f"r14_{_slug}", f"SELECT rule, symbol, date, rank, score, ref_price, stop_pct, target_pct, hold_days FROM ({pick_sql(_slug)})", "score ref_price stop_pct:4 target_pct:4")(
         lambda wb, s=_slug: rule_picks(wb, [s]).select("rule", "symbol", "date", "rank", "score", "ref_price", "stop_pct", "target_pct", "hold_days"))
-SWEEP = "\nUNION ALL ".join(pick_sql("swing_pullback_ema", RULE_SQL["swing_pullback_ema"][0].replace("BETWEEN 40", f"BETWEEN {v}"), f"rsi_lo={v}") for v in (35, 40, 45))
+def swept_rule() -> dict:
+    """Relative strength with thresholds to choose from, spread so that every point has picks of its own."""
+    rule = copy.deepcopy(workbench_rules()["momentum_relative_strength"])
+    rule["entry"]["all"][0]["right"], rule["entry"]["all"][1]["right"] = {"param": "rs"}, {"param": "ret"}
+    rule["params"] = {"rs": {"default": 0.1, "grid": SWEPT["rs"]}, "ret": {"default": 0, "grid": SWEPT["ret"]}}
+    return rule
+
+
+SWEPT = {"rs": [0.1, 0.6, 1.5], "ret": [0, 0.5, 2]}
+SWEEP = "\nUNION ALL ".join(pick_sql("momentum_relative_strength", RULE_SQL["momentum_relative_strength"][0].replace("rs126 > 0.1", f"rs126 > {a}").replace("ret20 > 0", f"ret20 > {b}"), f"ret={b:g},rs={a:g}") for a in SWEPT["rs"] for b in SWEPT["ret"])
 query("r15_sweep", f"SELECT rule, variant, symbol, date, rank, score FROM ({SWEEP})", "score")(
-    lambda wb: sc.sweep(wb.fpanel, [workbench_rules()["swing_pullback_ema"]]).select("rule", "variant", "symbol", "date", "rank", "score"))
+    lambda wb: sc.sweep(wb.fpanel, [swept_rule()]).select("rule", "variant", "symbol", "date", "rank", "score"))
+# a thousand points
+TEN = {"a": [-0.5 + 0.25 * k for k in range(10)], "b": [-0.4 + 0.2 * k for k in range(10)], "c": [30.0 + 4 * k for k in range(10)]}
+
+
+def _thousand() -> dict:
+    left = lambda ind, period: {"ind": ind, "period": period}
+    return {"slug": "thousand", "universe": {}, "params": {k: {"default": v[0], "grid": v} for k, v in TEN.items()},
+            "entry": {"all": [{"left": {"param": "a"}, "op": "<", "right": left("rs", 126)}, {"all": [{"left": left("ret", 20), "op": ">=", "right": {"param": "b"}}, {"left": left("rsi", 14), "op": "between", "right": [20, {"param": "c"}]}]},
+                              {"left": {"ind": "close"}, "op": ">", "right": left("sma", 200)}]}}
+
+
+query("r6_lattice_counts", f"""WITH p AS (SELECT unnest({TEN['a']}::DOUBLE[]) AS a), q AS (SELECT unnest({TEN['b']}::DOUBLE[]) AS b), r AS (SELECT unnest({TEN['c']}::DOUBLE[]) AS c), f AS (SELECT rs126, ret20, rsi14 FROM feat WHERE close > sma200)
+SELECT a, b, c, count(rs126) AS n_hits FROM p, q, r LEFT JOIN f ON rs126 > a AND ret20 >= b AND rsi14 BETWEEN 20 AND c GROUP BY ALL""", "a b c")(lambda wb: lattice.counts(wb.feat, _thousand()))
