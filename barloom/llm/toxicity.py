@@ -106,7 +106,14 @@ class Lexicon:
                     exempt.append((a, b))
                 elif found.get(a, (0, 0.0))[1] < weight:
                     found[a] = (b, weight)
-        return [(a, b, w) for a, (b, w) in sorted(found.items()) if not any(x <= a and b <= y for x, y in exempt)]
+        out, reach, ahead = [], 0, iter(sorted(exempt) + [(len(folded) + 1, 0)])
+        begin, end = next(ahead)
+        for a, (b, w) in sorted(found.items()):  # both by their begin: reach is the furthest end of phrases begun so far
+            while begin <= a:
+                reach, (begin, end) = max(reach, end), next(ahead)
+            if b > reach:
+                out.append((a, b, w))
+        return out
 
     def features(self, text: str | None) -> tuple[float, float, int]:
         """log of the summed weight, log of its density per thousand characters, number of hits."""
