@@ -41,8 +41,8 @@ COVERAGE, NEAR = 0.55, 2
 WIDTH = 2 * NEAR
 
 
-def templates(spark: SparkSession, base: tuple = BASE, notices: tuple = NOTICES) -> DataFrame:
-    """One row per bigram place: a fixed table of a few hundred short rows."""
+def template_rows(base: tuple = BASE, notices: tuple = NOTICES) -> list[tuple]:
+    """template, base, label, bigrams, q, the words at q, q + 1 and q + 2, and whether they hold the telling words."""
     rows = []
     for number, (label, phrase) in enumerate([*base, *notices]):
         words = phrase.split()
@@ -54,7 +54,12 @@ def templates(spark: SparkSession, base: tuple = BASE, notices: tuple = NOTICES)
             seen = words[q : q + 3]
             tells = not keyed or any(seen[k : k + len(key)] == key for k in range(len(seen)))
             rows.append((number, number < len(base), label, len(words) - 1, q, *seen[:2], seen[2] if len(seen) > 2 else None, tells))
-    table = spark.createDataFrame(rows, "template int, base boolean, label string, bigrams int, q int, t1 string, t2 string, t3 string, tells boolean")
+    return rows
+
+
+def templates(spark: SparkSession, base: tuple = BASE, notices: tuple = NOTICES) -> DataFrame:
+    """One row per bigram place: a fixed table of a few hundred short rows."""
+    table = spark.createDataFrame(template_rows(base, notices), "template int, base boolean, label string, bigrams int, q int, t1 string, t2 string, t3 string, tells boolean")
     return table.withColumn("gram", F.xxhash64("t1", "t2"))
 
 
@@ -92,25 +97,18 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(common.table(spark, sf_dir, "documents"))
 
 
-def _template_values() -> str:
-    rows = []
-    for number, (label, phrase) in enumerate([*BASE, *NOTICES]):
-        words = [*phrase.split(), None]
-        for q in range(len(words) - 2):
-            third = "NULL" if words[q + 2] is None else f"'{words[q + 2]}'"
-            rows.append(f"({number}, {number < len(BASE)}, '{label}', {len(words) - 2}, {q}, '{words[q]}', '{words[q + 1]}', {third})")
-    return ", ".join(rows)
+def _sql(value) -> str:
+    return "NULL" if value is None else f"'{value}'" if isinstance(value, str) else str(value)
 
 
 OP1_SQL = rf"""
-WITH t(template, base, label, bigrams, q, t1, t2, t3) AS (VALUES {_template_values()}),
-w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{common.UPPER}', '{common.LOWER}'), '{SEPARATOR}'), lambda x: x <> '') AS words FROM documents),
-g AS (SELECT doc_id, p, words[p + 1] AS w1, words[p + 2] AS w2, words[p + 3] AS w3 FROM (SELECT doc_id, words, unnest(range(len(words) - 1)) AS p FROM w)),
-v AS (SELECT doc_id, template, base, label, bigrams, p - q AS diagonal, count(*) AS votes FROM g JOIN t ON w1 = t1 AND w2 = t2 AND (t3 IS NULL OR w3 = t3) GROUP BY ALL),
-m AS (SELECT *, CASE WHEN base THEN 1 WHEN diagonal - lag(diagonal) OVER o <= {NEAR} THEN 0 ELSE 1 END AS far FROM v WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),
-n AS (SELECT *, sum(far) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM m),
-s AS (SELECT doc_id, base, label, min(diagonal) AS first_word, least(sum(votes) / bigrams, 1.0::DOUBLE) AS coverage FROM n GROUP BY doc_id, template, base, label, bigrams, span),
-k AS (SELECT *, coverage >= CASE WHEN base THEN 1 ELSE {COVERAGE} END AS verified FROM s)
-SELECT w.doc_id, any_value(len(words)) AS n_words, count(*) FILTER (base AND verified) AS n_base, min(first_word) FILTER (base AND verified) AS first_word, max(first_word) FILTER (base AND verified) AS last_word,
+WITH t(template, base, label, bigrams, q, t1, t2, t3, tells) AS (VALUES {", ".join(f"({', '.join(map(_sql, r))})" for r in template_rows())}),
+w AS (SELECT row_number() OVER () AS row, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{common.UPPER}', '{common.LOWER}'), '{SEPARATOR}'), lambda x: x <> '') AS words FROM documents),
+g AS (SELECT row, p, words[p + 1] AS w1, words[p + 2] AS w2, words[p + 3] AS w3 FROM (SELECT row, words, unnest(range(len(words) - 1)) AS p FROM w)),
+h AS (SELECT row, template, base, label, bigrams, q, tells, p - q AS diagonal FROM g JOIN t ON w1 = t1 AND w2 = t2 AND (t3 IS NULL OR w3 = t3)),
+d AS (SELECT DISTINCT row, template, base, label, bigrams, diagonal FROM h),
+s AS (SELECT d.*, count(DISTINCT h.q) / d.bigrams AS coverage, bool_or(h.tells) AS tells FROM d JOIN h ON h.row = d.row AND h.template = d.template AND h.diagonal BETWEEN d.diagonal AND d.diagonal + CASE WHEN d.base THEN 0 ELSE {WIDTH} END GROUP BY d.row, d.template, d.base, d.label, d.bigrams, d.diagonal),
+k AS (SELECT *, tells AND coverage >= CASE WHEN base THEN 1 ELSE {COVERAGE} END AS verified FROM s)
+SELECT w.doc_id, any_value(len(words)) AS n_words, count(*) FILTER (base AND verified) AS n_base, min(diagonal) FILTER (base AND verified) AS first_word, max(diagonal) FILTER (base AND verified) AS last_word,
  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND verified), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (verified), '') AS labels, coalesce(max(coverage), 0) AS score
-FROM w LEFT JOIN k ON w.doc_id = k.doc_id GROUP BY w.doc_id"""
+FROM w LEFT JOIN k ON w.row = k.row GROUP BY w.row, w.doc_id"""
