@@ -46,6 +46,8 @@ SCRIPTS = len(SCRIPT_RANGES) + 1
 UNKNOWN = "und"
 #: Code points scored at once, and words whose paths are found at once.
 PIECE, PATHS = 250_000, 400_000
+#: Numbers of languages.
+LABEL = np.int32
 
 
 @cache
@@ -118,13 +120,13 @@ def best_paths(scores: np.ndarray, first: np.ndarray, count: np.ndarray, penalty
     first, count = first[order], count[order]
     steps = int(count[0]) if len(count) else 0
     active = np.searchsorted(-count, -np.arange(steps), side="left")
-    label = np.zeros(len(scores), np.int8)
+    label = np.zeros(len(scores), LABEL)
     if not steps:
         return label
-    own = np.arange(scores.shape[1], dtype=np.int8)
-    came = np.empty((len(scores), scores.shape[1]), np.int8)
+    own = np.arange(scores.shape[1], dtype=LABEL)
+    came = np.empty((len(scores), scores.shape[1]), LABEL)
     value = scores[first[: active[0]]].astype(np.float64)
-    last = np.empty(active[0], np.int8)
+    last = np.empty(active[0], LABEL)
     for t in range(1, steps + 1):
         now = active[t] if t < steps else 0
         last[now : len(value)] = value[now:].argmax(1)
@@ -137,7 +139,7 @@ def best_paths(scores: np.ndarray, first: np.ndarray, count: np.ndarray, penalty
         at = first[:now] + t
         came[at] = np.where(stay, own, top[:, None])
         value = np.where(stay, value, switch[:, None]) + scores[at]
-    state = np.empty(active[0], np.int8)
+    state = np.empty(active[0], LABEL)
     for t in range(steps - 1, -1, -1):
         n, after = active[t], active[t + 1] if t + 1 < steps else 0
         state[after:n] = last[after:n]
@@ -148,12 +150,27 @@ def best_paths(scores: np.ndarray, first: np.ndarray, count: np.ndarray, penalty
     return label
 
 
-def label_texts(texts: list[str], model: Model) -> tuple[list[str], list[float], list[list[tuple[int, int, str]]]]:
-    """Language, score and spans (first word, words, language) of each text."""
+def whole_word_pieces(text: str, size: int = PIECE) -> Iterator[str]:
+    """The text in pieces of about that many code points, cut where no word is; only a longer word is cut itself."""
+    a = 0
+    while True:
+        b = a + size
+        if b < len(text):
+            while b > a and text[b].isalpha() and text[b - 1].isalpha():
+                b -= 1
+            b = b if b > a else a + size
+        yield text[a:b]
+        a = b
+        if a >= len(text):
+            return
+
+
+def label_texts(texts: list[str], model: Model) -> tuple[list[str], list[float], list[list[tuple[int, int, str]]], list[float]]:
+    """Language, score, spans (first word, words, language) and fit, the share of letters in learnt scripts, of each text."""
     pieces, held, held_size = [], [], 0
     for n, text in enumerate(texts):
-        for a in range(0, max(len(text), 1), PIECE):  # a word cut at a border of a very long text counts as two
-            held.append((n, text[a : a + PIECE]))
+        for piece in whole_word_pieces(text):
+            held.append((n, piece))
             held_size += len(held[-1][1])
             if held_size >= PIECE:
                 pieces.append(held)
@@ -165,7 +182,7 @@ def label_texts(texts: list[str], model: Model) -> tuple[list[str], list[float],
             scores, size, text = word_scores([t for _, t in held], model)
             parts.append((scores, size, np.array([n for n, _ in held])[text]))
     if not parts:
-        return [], [], []
+        return [], [], [], []
     scores, size, text = (np.concatenate(x) for x in zip(*parts, strict=True))
     count = np.bincount(text, minlength=len(texts))
     first = np.cumsum(count) - count
@@ -180,7 +197,8 @@ def label_texts(texts: list[str], model: Model) -> tuple[list[str], list[float],
         own = label[first[n] : first[n] + count[n]]
         cut = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1, [len(own)]]) if len(own) else np.zeros(1, np.int64)
         spans.append([(int(a), int(b - a), model.languages[own[a]]) for a, b in zip(cut[:-1], cut[1:], strict=True)])
-    return names, share.tolist(), spans
+    fit = np.bincount(text, weights=size * scores.any(1), minlength=len(texts)) / np.maximum(total, 1)
+    return names, share.tolist(), spans, fit.tolist()
 
 
 def _fit_rows(df: DataFrame, lang_col: str, id_col: str, text_col: str, per_language: int) -> DataFrame:
@@ -229,8 +247,8 @@ SPANS = T.ArrayType(T.StructType([T.StructField("first_word", T.LongType()), T.S
 
 
 def detect(df: DataFrame, model: Model, text_col: str = "text", carry: dict[str, Column] | None = None, with_spans: bool = False) -> DataFrame:
-    """The carried columns (all of df's if none are named) with lang_pred, score and, if asked for, spans."""
-    carry = carry if carry is not None else {c: F.col(f"`{c}`") for c in df.columns if c not in ("lang_pred", "score", "spans")}
+    """The carried columns (all of df's if none are named) with lang_pred, score, fit and, if asked for, spans."""
+    carry = carry if carry is not None else {c: F.col(f"`{c}`") for c in df.columns if c not in ("lang_pred", "score", "fit", "spans")}
     shared = df.sparkSession.sparkContext.broadcast(model)  # its size is bounded by buckets and languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,24 +260,25 @@ def detect(df: DataFrame, model: Model, text_col: str = "text", carry: dict[str,
                 while at + len(texts) < batch.num_rows and held < 6 * PATHS:
                     texts.append(batch.column(0)[at + len(texts)].as_py() or "")
                     held += len(texts[-1])
-                names, share, spans = label_texts(texts, model) if model.languages else ([UNKNOWN] * len(texts), [0.0] * len(texts), [[]] * len(texts))
+                names, share, spans, fit = label_texts(texts, model) if model.languages else ([UNKNOWN] * len(texts), [0.0] * len(texts), [[]] * len(texts), [0.0] * len(texts))
                 part = batch.slice(at, len(texts))
-                cols = [*part.columns[1:], pa.array(names, pa.string()), pa.array(share, pa.float64())]
+                cols = [*part.columns[1:], pa.array(names, pa.string()), pa.array(share, pa.float64()), pa.array(fit, pa.float64())]
                 if with_spans:
                     kind = pa.list_(pa.struct([("first_word", pa.int64()), ("n_words", pa.int64()), ("lang", pa.string())]))
                     cols.append(pa.array([[{"first_word": a, "n_words": b, "lang": c} for a, b, c in s] for s in spans], kind))
-                yield pa.RecordBatch.from_arrays(cols, [*part.schema.names[1:], "lang_pred", "score", *["spans"] * with_spans])
+                yield pa.RecordBatch.from_arrays(cols, [*part.schema.names[1:], "lang_pred", "score", "fit", *["spans"] * with_spans])
                 at += len(texts)
 
     rows = common.ship(df).select(F.col(text_col).cast("string").alias(common.free_name("text", carry)), *[c.alias(k) for k, c in carry.items()])
-    schema = T.StructType([*rows.schema.fields[1:], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *[T.StructField("spans", SPANS)] * with_spans])
+    schema = T.StructType([*rows.schema.fields[1:], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("fit", T.DoubleType()), *[T.StructField("spans", SPANS)] * with_spans])
     return rows.mapInArrow(run, schema)
 
 
-def keep_identified(df: DataFrame, model: Model, text_col: str = "text", min_score: float = 0.5) -> DataFrame:
-    """The rows, with df's columns, whose language is known and holds at least min_score of the letters."""
+def keep_identified(df: DataFrame, model: Model, text_col: str = "text", min_fit: float = 0.5) -> DataFrame:
+    """The rows, with df's columns, that have letters, at least min_fit of them in scripts of learnt languages. A text in
+    several languages is identified span by span, so none of them need prevail."""
     rows = detect(df, model, text_col, {"row": F.struct(*[F.col(f"`{c}`") for c in df.columns])})
-    return common.unwrap(rows.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)), df.columns)
+    return common.unwrap(rows.filter((F.col("lang_pred") != UNKNOWN) & (F.col("fit") >= min_fit)), df.columns)
 
 
 def held_out() -> Column:
