@@ -88,29 +88,35 @@ def available_on(broadcast: Column, period_end: Column, lag_days: int = 60) -> t
     return F.coalesce(F.date_add(broadcast, 1), F.date_add(period_end, lag_days)), broadcast.isNull()
 
 
-def _known_pairs(filings: DataFrame, cols: list[str], extra: Column | None = None) -> DataFrame:
-    """Each filing (symbol, a, p) with the filings known by then."""
-    cur = filings.select("symbol", F.col("available_on").alias("a"), F.col("period_end").alias("p")).distinct()
-    k = filings if extra is None else filings.filter(extra)
-    k = k.select(F.col("symbol").alias("_s"), F.col("available_on").alias("ka"), F.col("period_end").alias("kp"), *cols)
-    return cur.join(k, (F.col("symbol") == F.col("_s")) & (F.struct("ka", "kp") <= F.struct("a", "p"))).drop("_s")
+def _as_known(filings: DataFrame, value: Column, update, empty: str) -> DataFrame:
+    """symbol, available_on, period_end and ``known``, the state after each filing: a fold over a company's filings in the
+    order in which they became available, later periods last. ``update(state, filing)`` must keep the state bounded; a
+    filing is a struct a, p, v (available on, period end, value). A company files a few times a year, so its filings are one
+    short list, and rows stay linear in them. Of filings of one day and period the last state counts."""
+    listed = F.sort_array(F.collect_list(F.struct(F.col("available_on").alias("a"), F.col("period_end").alias("p"), value.alias("v"))))
+    first = F.struct(F.expr(f"cast(array() as {empty})").alias("known"), F.expr(f"cast(array() as array<struct<a:date,p:date,known:{empty}>>)").alias("out"))
+
+    def step(s, x):
+        known = update(s["known"], x)
+        return F.struct(known.alias("known"), F.concat(s["out"], F.array(F.struct(x["a"].alias("a"), x["p"].alias("p"), known.alias("known")))).alias("out"))
+    out = filings.groupBy("symbol").agg(F.aggregate(listed, first, step, lambda s: s["out"]).alias("out"))
+    last = F.filter("out", lambda x, i: ~F.coalesce((F.get("out", i + 1)["a"] == x["a"]) & (F.get("out", i + 1)["p"] == x["p"]), F.lit(False)))
+    return out.select("symbol", F.explode(last).alias("x")).select("symbol", F.col("x.a").alias("available_on"), F.col("x.p").alias("period_end"), "x.known")
 
 
 def ttm(filings: DataFrame, items: list[str]) -> DataFrame:
     """Sum of the four newest quarters as known on each filing's date; NULL unless they follow one
     another (70 to 110 days apart) and all are present. A restatement replaces its period from its
-    own date on."""
-    latest = (_known_pairs(filings, items).groupBy("symbol", "a", "p", "kp")
-              .agg(F.max_by(F.struct(*items), "ka").alias("v")))
-    q = latest.groupBy("symbol", "a", "p").agg(F.slice(F.sort_array(F.collect_list(F.struct("kp", "v")), asc=False), 1, 4).alias("q"))
-    gaps = [F.datediff(F.col("q")[i]["kp"], F.col("q")[i + 1]["kp"]).between(70, 110) for i in range(3)]
-    ok = (F.size("q") == 4) & gaps[0] & gaps[1] & gaps[2]
+    own date on. The state is the four newest periods: an older one can never come back among them."""
+    kind = f"array<struct<p:date,v:struct<{','.join(f'{i}:double' for i in items)}>>>"
 
-    def total(item):
-        return F.when(F.size("q") == 4, F.when(ok, sum((F.col("q")[i]["v"][item] for i in (2, 1, 0)), F.col("q")[3]["v"][item])))
-    # element access past the end of a short list must stay NULL under ANSI mode
-    padded = q.withColumn("q", F.when(F.size("q") == 4, F.col("q")))
-    return padded.filter(F.col("q").isNotNull()).select("symbol", F.col("a").alias("available_on"), F.col("p").alias("period_end"), *[total(i).alias(f"{i}_ttm") for i in items])
+    def update(known, x):
+        others = F.filter(known, lambda y: y["p"] != x["p"])
+        return F.slice(F.sort_array(F.concat(others, F.array(F.struct(x["p"].alias("p"), x["v"].alias("v")))), asc=False), 1, 4).cast(kind)
+    q = _as_known(filings, F.struct(*[F.col(i).cast("double").alias(i) for i in items]), update, kind).filter(F.size("known") == 4)
+    gaps = [F.datediff(F.col("known")[i]["p"], F.col("known")[i + 1]["p"]).between(70, 110) for i in range(3)]
+    total = lambda item: F.when(gaps[0] & gaps[1] & gaps[2], sum((F.col("known")[i]["v"][item] for i in (2, 1, 0)), F.col("known")[3]["v"][item]))
+    return q.select("symbol", "available_on", "period_end", *[total(i).alias(f"{i}_ttm") for i in items])
 
 
 def balance_ratios(filings: DataFrame, sums: DataFrame) -> DataFrame:
@@ -129,17 +135,27 @@ def balance_ratios(filings: DataFrame, sums: DataFrame) -> DataFrame:
 
 def growth3(filings: DataFrame) -> DataFrame:
     """Three-year growth of full-year sales and profit: newest known annual filing against the first
-    one three years (give or take 20 days) earlier; NULL off a base or end that is not positive."""
-    annual = _known_pairs(filings, ["y_revenue", "y_pat"], F.col("is_annual"))
-    newest = annual.groupBy("symbol", "a", "p").agg(F.max_by(F.struct("kp", "y_revenue", "y_pat"), F.struct("kp", "ka")).alias("n"))
-    base = (annual.join(newest, ["symbol", "a", "p"]).filter(F.abs(F.abs(F.datediff("n.kp", "kp")) - 1095) <= 20)
-            .groupBy("symbol", "a", "p").agg(F.min_by(F.struct("y_revenue", "y_pat"), F.struct("kp", "ka")).alias("b"), F.first("n").alias("n")))
+    one three years (give or take 20 days) earlier; NULL off a base or end that is not positive. The state is the annual
+    periods up to three years and 20 days before the newest, each as first and as last filed."""
+    value = "struct<y_revenue:double,y_pat:double>"
+    kind = f"array<struct<p:date,first:{value},last:{value}>>"
+
+    def update(known, x):
+        before = F.filter(known, lambda y: y["p"] == x["p"])
+        first = F.when(F.size(before) > 0, F.get(before, 0)["first"]).otherwise(x["v"])
+        entry = F.array(F.struct(x["p"].alias("p"), first.alias("first"), x["v"].alias("last")))
+        all_ = F.sort_array(F.concat(F.filter(known, lambda y: y["p"] != x["p"]), entry.cast(kind)), asc=False)
+        kept = F.filter(all_, lambda y: F.datediff(F.greatest(x["p"], F.coalesce(F.get(known, 0)["p"], x["p"])), y["p"]) <= 1115)
+        return F.when(x["v"].isNotNull(), kept).otherwise(known)
+    annual = F.when(F.col("is_annual"), F.struct(F.col("y_revenue").cast("double").alias("y_revenue"), F.col("y_pat").cast("double").alias("y_pat")))
+    n = F.get("known", 0)
+    far = F.filter("known", lambda y: F.abs(F.datediff(n["p"], y["p"]) - 1095) <= 20)
+    known = _as_known(filings, annual, update, kind).withColumn("n", n["last"]).withColumn("b", F.element_at(F.when(F.size(far) > 0, far), -1)["first"]).filter("b IS NOT NULL")
 
     def cagr(c):
         s, e = F.col(f"b.{c}"), F.col(f"n.{c}")
         return F.when((s > 0) & (e > 0), F.pow(e / s, F.lit(1.0 / 3)) - 1)
-    return base.select("symbol", F.col("a").alias("available_on"), F.col("p").alias("period_end"),
-                       cagr("y_revenue").alias("sales_cagr3"), cagr("y_pat").alias("profit_cagr3"))
+    return known.select("symbol", "available_on", "period_end", cagr("y_revenue").alias("sales_cagr3"), cagr("y_pat").alias("profit_cagr3"))
 
 
 def derive_metrics(filings: DataFrame) -> DataFrame:

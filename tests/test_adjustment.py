@@ -57,3 +57,38 @@ def test_adjustment_reaches_bars_printed_under_a_former_symbol(spark):
     assert got["OTHER", 2019] == (75.0, 133)
     plain = act.rebuild_adjusted(b, df, securities, SERIES).filter(F.col("symbol") == "OLDCO")
     assert {r.close for r in plain.collect()} == {100.0}
+
+
+def test_figures_as_known_then(spark):
+    """Trailing sums and growth against a search over all filings known by each one's date."""
+    import random
+
+    from barloom.operators import fundamentals as fd
+    rng, rows = random.Random(1), []
+    for symbol in "abc":
+        for k in range(24):
+            period = (dt.date(2015, 1, 1) + dt.timedelta(days=91 * (k + 1) + (40 if k == 9 and symbol == "b" else 0)))
+            for version in range(rng.choice([1, 1, 2, 3])):
+                rows.append((symbol, period, period + dt.timedelta(days=rng.choice([30, 45, 300]) * (version + 1) + version), k % 4 == 3, rng.choice([None, *range(1, 50)]), float(rng.randint(-5, 90)), float(rng.randint(-5, 90))))
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(s, p, a, an, None if x is None else float(x), y, z) for s, p, a, an, x, y, z in rows], "symbol string, period_end date, available_on date, is_annual boolean, x double, y_revenue double, y_pat double")
+    sums, growth = {}, {}
+    for s, p, a, *_ in rows:
+        known = sorted((r for r in rows if r[0] == s and (r[2], r[1]) <= (a, p)), key=lambda r: r[2])
+        latest = {r[1]: r for r in known}
+        four = sorted(latest, reverse=True)[:4]
+        if len(four) == 4:
+            ok = all(70 <= (u - v).days <= 110 for u, v in zip(four, four[1:], strict=False)) and all(latest[q][4] is not None for q in four)
+            sums[s, a, p] = float(sum(latest[q][4] for q in four)) if ok else None
+        years = [r for r in known if r[3]]
+        if years:
+            new = max(years, key=lambda r: (r[1], r[2]))
+            base = [r for r in years if abs((new[1] - r[1]).days - 1095) <= 20]
+            if base:
+                old = min(base, key=lambda r: (r[1], r[2]))
+                growth[s, a, p] = [(new[c] / old[c]) ** (1 / 3) - 1 if old[c] > 0 and new[c] > 0 else None for c in (5, 6)]
+    assert {(r.symbol, r.available_on, r.period_end): r.x_ttm for r in fd.ttm(df, ["x"]).collect()} == sums and any(v for v in sums.values())
+    got = {(r.symbol, r.available_on, r.period_end): [r.sales_cagr3, r.profit_cagr3] for r in fd.growth3(df).collect()}
+    assert set(got) == set(growth) and len(got) > 10
+    for key, pair in growth.items():
+        assert got[key] == [None if v is None else pytest.approx(v) for v in pair]
