@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from barloom.functions.lineage import shared_folder
+from barloom.functions.lineage import cut, shared_folder
 from barloom.operators import evaluation as ev
 from barloom.operators import identity as idn
 from barloom.operators import lake
@@ -62,7 +62,23 @@ query("v5_capped_per_horizon", f"SELECT {PK} FROM (SELECT *, row_number() OVER (
 query("v6_round_robin", f"""SELECT {PK}, turn, place FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY turn, round(score, 6) DESC, rule) AS place FROM (
  SELECT *, row_number() OVER (PARTITION BY date, rule ORDER BY round(score, 6) DESC, symbol) AS turn FROM picks) WHERE turn <= 2) WHERE place <= 5""", "score")(
     lambda wb: vw.round_robin(wb.picks.withColumn("score", F.round("score", 6)), 2, 5).select(*PK.split(", "), "turn", "place"))
-query("v7_brief_payload")(lambda wb: vw.brief_payload(wb.picks, lake.index_moves(wb.idx, wb.picks.select(F.col("date").alias("day")).distinct(), ["BROAD_500", "WIDE_200"]), lg.positions(wb.trades_in_order)))
+MOVES = ["BROAD_500", "WIDE_200"]
+
+
+def _briefs(wb):
+    return vw.brief_payload(wb.picks.withColumn("score", F.round("score", 6)), lake.index_moves(wb.idx, wb.picks.select(F.col("date").alias("day")).distinct(), MOVES), lg.positions(wb.trades_in_order))
+
+
+def _opened(wb):
+    """The payloads read back: one row per day with what they say."""
+    text = F.from_json("payload", "date date, picks array<struct<rule:string,rank:int,symbol:string,score:double>>, indices array<struct<index_code:string,close:double,move_pct:double,is_stale:boolean>>, open_positions long")
+    return _briefs(wb).select("date", text.alias("x")).select(
+        "date", (F.col("date") == F.col("x.date")).alias("same_date"), F.array_join(F.transform("x.picks", lambda p: F.concat_ws(":", p["rule"], p["rank"], p["symbol"])), ",").alias("picks"),
+        F.aggregate("x.picks", F.lit(0.0), lambda a, p: a + p["score"]).alias("scores"), F.array_join(F.transform("x.indices", lambda i: i["index_code"]), ",").alias("indices"), "x.open_positions")
+
+
+query("v7_brief_payload", f"""SELECT p.date, TRUE AS same_date, string_agg(rule || ':' || rank || ':' || symbol, ',' ORDER BY rule, rank, symbol) AS picks, sum(round(score, 6)) AS scores,
+ (SELECT string_agg(index_code, ',' ORDER BY index_code) FROM (SELECT DISTINCT index_code FROM idx i WHERE i.date <= p.date)) AS indices, (SELECT count(*) FROM pos WHERE qty > 0) AS open_positions FROM picks p GROUP BY p.date""", "scores:4")(_opened)
 query("v8_expected_data", """
 SELECT s.exchange, s.first_date, s.latest_date, c.expected_date, coalesce(s.latest_date < c.expected_date, FALSE) AS is_stale
 FROM (SELECT exchange, min(date) AS first_date, max(date) AS latest_date FROM bars WHERE exchange = 'NSE' OR date < DATE '2001-10-20' GROUP BY 1) s
@@ -211,6 +227,35 @@ def _health(wb):
 query("x2_feed_health", f"SELECT symbol, newest_end, CAST(lag_s AS BIGINT) AS lag_s, status FROM ({HEALTH})")(_health)
 query("x3_touch_fills_batch_twin", f"""SELECT order_id, symbol, candle_start, fill_price FROM (SELECT *, row_number() OVER (PARTITION BY coalesce('g' || oco_group, 'o' || order_id) ORDER BY candle_start, type <> 'stop_loss', order_id) AS k FROM ({FILLS})) WHERE k = 1""", "fill_price")(
     lambda wb: oc.oco_first(fills(wb)).select("order_id", "symbol", "candle_start", "fill_price"))
+# The candles of the month come in batches of ten days; each batch is a file of the stream.
+PARTS = 3
+
+
+def _part(start):
+    return F.least(F.floor((F.dayofmonth(start) - 1) / 10), F.lit(PARTS - 1)).cast("int")
+
+
+def _filled(wb):
+    """Fills and poll log of the order stream over all candles, run to its end."""
+    if not hasattr(wb, "_fill_stream"):
+        base = f"{shared_folder(wb.spark)}/fills-{uuid.uuid4().hex}"
+        c = cut(_half_hour(wb))
+        for k in range(PARTS):  # one after the other, as a stream takes files by their age
+            c.filter(_part(F.col("candle_start")) == k).coalesce(1).write.parquet(f"{base}/in/{k}")
+        src = wb.spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{base}/in")
+        jobs.start_fills(src, cut(wb.book), f"{base}/fills", f"{base}/log", f"{base}/checkpoint", f"{base}/state").awaitTermination()
+        wb._fill_stream = base
+    return wb._fill_stream
+
+
+ONCE = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY coalesce('g' || oco_group, 'o' || order_id) ORDER BY candle_start, type <> 'stop_loss', order_id) AS k FROM ({FILLS})) WHERE k = 1"
+PART = f"least((day(candle_start) - 1) // 10, {PARTS - 1})"
+query("x3_touch_fill_stream", f"SELECT order_id, symbol, candle_start, fill_price FROM ({ONCE})", "fill_price")(
+    lambda wb: wb.spark.read.parquet(f"{_filled(wb)}/fills").select("order_id", "symbol", "candle_start", "fill_price"))
+query("x6_poll_log", f"""WITH p AS (SELECT CAST(unnest(range({PARTS})) AS INTEGER) AS part),
+h AS (SELECT part, symbol, max(candle_start) + INTERVAL 30 MINUTE AS newest FROM p JOIN candles ON {PART} <= part GROUP BY ALL), n AS (SELECT *, max(newest) OVER (PARTITION BY part) AS now FROM h)
+SELECT part AS batch_id, count(*) AS symbols, CAST(max(epoch(now) - epoch(newest)) AS BIGINT) AS max_lag_s, count(*) FILTER (epoch(now) - epoch(newest) > 1500) AS stale_symbols, (SELECT count(*) FROM ({ONCE}) WHERE {PART} = part) AS fills FROM n GROUP BY part""")(
+    lambda wb: wb.spark.read.parquet(f"{_filled(wb)}/log").select("batch_id", "symbols", "max_lag_s", "stale_symbols", "fills"))
 query("x4_park_stale_orders", f"SELECT b.order_id, b.symbol, CASE WHEN b.order_id % 3 = 0 THEN CASE WHEN h.status = 'ok' THEN 'open' ELSE 'pending_eod' END WHEN h.status = 'ok' THEN 'open' ELSE 'pending_eod' END AS status FROM book b LEFT JOIN ({HEALTH}) h USING (symbol)")(
     lambda wb: cd.park_stale_orders(wb.book.withColumn("status", F.when(F.col("order_id") % 3 == 0, "pending_eod").otherwise("open")), _health(wb)).select("order_id", "symbol", "status"))
 query("x5_eod_fallback", """

@@ -24,7 +24,7 @@ needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables not
 def test_contract_names():
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q) and len(q) > 150
-    assert {n for n in set(q) - set(o) if not n.startswith("op") and n != "pipeline"} == {"v7_brief_payload"}
+    assert {n for n in set(q) - set(o) if not n.startswith("op") and n != "pipeline"} == set()
 
 
 @needs_data

@@ -151,7 +151,7 @@ def test_fill_stream_equals_batch_and_logs_every_poll(spark, folder):
 
     def run():
         src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{folder}/c")
-        jobs.start_fills(src, orders, f"{folder}/fills", f"{folder}/log", f"{folder}/ck").awaitTermination()
+        jobs.start_fills(src, orders, f"{folder}/fills", f"{folder}/log", f"{folder}/ck", f"{folder}/state").awaitTermination()
     run()
     c.filter(F.col("candle_start") >= F.lit(cut)).coalesce(1).write.parquet(f"{folder}/c/1")
     run()
@@ -160,3 +160,6 @@ def test_fill_stream_equals_batch_and_logs_every_poll(spark, folder):
     assert got.count() == want.count() > 10 and got.exceptAll(want).count() == 0
     log = spark.read.parquet(f"{folder}/log").collect()
     assert len(log) == 2 and sum(r.fills for r in log) == want.count()
+    left = [spark.read.schema(orders.schema).parquet(f"{folder}/state/book/batch={k}") for k in (0, 1)]
+    assert orders.count() > left[0].count() > left[1].count()  # what fired or ran out is not looked at again
+    assert left[1].join(got, "order_id").isEmpty()
