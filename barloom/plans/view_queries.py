@@ -186,6 +186,28 @@ WITH n AS (SELECT exchange, symbol, series, date, volume * 2 AS volume FROM bars
 SELECT * FROM n UNION ALL SELECT exchange, symbol, series, date, volume FROM bars b WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.exchange = b.exchange AND n.date = b.date)""")(
     lambda wb: store.replace_dates(wb.bars.select("exchange", "symbol", "series", "date", "volume"),
                                    wb.bars.filter("series = 'EQ' AND month(date) = 3").select("exchange", "symbol", "series", "date", (F.col("volume") * 2).alias("volume"))))
+
+
+def _committed(wb):
+    """A store to which the bars came first and a correction of the EQ series in March after."""
+    if not hasattr(wb, "_store"):
+        wb._store = f"{shared_folder(wb.spark)}/store-{uuid.uuid4().hex}"
+        b = wb.bars.select("exchange", "symbol", "series", "date", "volume")
+        store.upsert_bars(wb.spark, wb._store, b)
+        store.upsert_bars(wb.spark, wb._store, b.filter("series = 'EQ' AND month(date) = 3").withColumn("volume", F.col("volume") * 2))
+    return wb._store, wb.bars.select("exchange", "symbol", "series", "date", "volume").schema
+
+
+query("s14_upsert_committed", """
+WITH n AS (SELECT exchange, symbol, series, date, volume * 2 AS volume FROM bars WHERE series = 'EQ' AND month(date) = 3)
+SELECT * FROM n UNION ALL SELECT exchange, symbol, series, date, volume FROM bars b WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.exchange = b.exchange AND n.date = b.date)""")(
+    lambda wb: store.read_committed(wb.spark, *_committed(wb)))
+query("s15_committed_manifest", """
+WITH n AS (SELECT exchange, symbol, series, date FROM bars WHERE series = 'EQ' AND month(date) = 3), a AS (SELECT exchange, date FROM n UNION ALL SELECT exchange, date FROM bars b WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.exchange = b.exchange AND n.date = b.date))
+SELECT exchange, year(date) AS year, count(*) AS n_rows, TRUE AS same_content, CASE WHEN (exchange, year(date)) IN (SELECT exchange, year(date) FROM n) THEN 2 ELSE 1 END::BIGINT AS commit FROM a GROUP BY ALL""")(
+    lambda wb: (lambda path, schema: store.current_manifest(wb.spark, path).join(store.partition_manifest(store.read_committed(wb.spark, path, schema)).withColumnRenamed("fingerprint", "_f").drop("n_rows"), ["exchange", "year"], "left")
+                .join(store.manifests(wb.spark, path).groupBy("version").agg(F.min("commit").alias("first")), "version")
+                .select("exchange", "year", "n_rows", F.coalesce(F.col("fingerprint") == F.col("_f"), F.lit(False)).alias("same_content"), F.col("first").alias("commit")))(*_committed(wb)))
 query("s15_partition_manifest", "SELECT exchange, year(date) AS year, count(*) AS n_rows FROM bars GROUP BY ALL")(lambda wb: store.partition_manifest(wb.bars).drop("fingerprint"))
 query("s15_verify_manifest", """
 SELECT exchange, year(date) AS year, count(*) AS old_rows, CASE WHEN year(date) <> 1999 THEN count(*) FILTER (WHERE NOT (year(date) = 1997 AND series = 'BZ')) END AS n_rows,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -49,14 +50,70 @@ def read_bars(spark: SparkSession, path: str, schema: T.StructType, exchange: st
     return between(df, first, last, year_partitioned=True).select(*[f.name for f in schema.fields])
 
 
+MANIFEST = "exchange string, year int, n_rows long, fingerprint decimal(30,0), version string, commit long"
+
+
+def manifests(spark: SparkSession, path: str) -> DataFrame:
+    """Every commit of the store at ``path``: per partition its row count, fingerprint and the version that holds it. What
+    is still being written is not among them, as Spark only moves finished files there."""
+    try:
+        return spark.read.schema(MANIFEST).option("basePath", f"{path}/manifest").parquet(f"{path}/manifest")
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], MANIFEST)
+
+
+def current_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The partitions of the newest commit."""
+    every = manifests(spark, path)
+    return every.filter(F.col("commit") == every.agg(F.max("commit")).scalar())
+
+
+def read_committed(spark: SparkSession, path: str, schema: T.StructType, exchange: str | None = None, first=None, last=None) -> DataFrame:
+    """The rows of the newest commit, of the exchange and days wanted. Folders of other versions, partitions and years are
+    not opened."""
+    listed = current_manifest(spark, path).select("version", "exchange", "year")
+    keys = [T.StructField("version", T.StringType()), T.StructField("exchange", T.StringType()), T.StructField("year", T.IntegerType())]
+    declared = T.StructType([f for f in schema.fields if f.name not in ("version", "exchange", "year")] + keys)
+    if listed.isEmpty():
+        return spark.createDataFrame([], schema)
+    df = spark.read.schema(declared).option("basePath", f"{path}/bars").parquet(f"{path}/bars").join(F.broadcast(listed), ["version", "exchange", "year"], "left_semi")  # a row per partition
+    if exchange is not None:
+        df = df.filter(F.col("exchange") == exchange)
+    return between(df, first, last, year_partitioned=True).select(*[f.name for f in schema.fields])
+
+
+def write_version(spark: SparkSession, path: str, new: DataFrame) -> str:
+    """Writes the partitions of ``new``, with the dates of the last commit that it lacks, beside what is there. Nothing
+    reads them before ``commit_version``."""
+    version, touched = uuid.uuid4().hex, new.select("exchange", F.year("date").alias("year")).distinct()
+    old = read_committed(spark, path, new.schema).withColumn("year", F.year("date")).join(touched, ["exchange", "year"], "left_semi")
+    write_bars(replace_dates(old.select(*new.columns), new), f"{path}/bars/version={version}")
+    return version
+
+
+def commit_version(spark: SparkSession, path: str, version: str, schema: T.StructType) -> None:
+    """Counts and fingerprints what the version's folders hold, and makes them current with one new manifest file."""
+    fields = T.StructType([f for f in schema.fields if f.name not in ("exchange", "year")] + [T.StructField("exchange", T.StringType()), T.StructField("year", T.IntegerType())])
+    folder = f"{path}/bars/version={version}"
+    fresh = partition_manifest(spark.read.schema(fields).option("basePath", folder).parquet(folder).select(*[f.name for f in schema.fields])).withColumn("version", F.lit(version))
+    before = current_manifest(spark, path)
+    number = (before.agg(F.max("commit")).first()[0] or 0) + 1
+    kept = before.join(fresh, ["exchange", "year"], "left_anti").drop("commit")
+    fresh.select(*kept.columns).unionByName(kept).coalesce(1).write.parquet(f"{path}/manifest/commit={number}")
+
+
 def upsert_bars(spark: SparkSession, path: str, new: DataFrame) -> None:
-    """Replace the dates of ``new`` in the lake at ``path``, touching only its (exchange, year)
-    partitions. The merged rows are cut before the overwrite, since they read the folders it replaces."""
-    from barloom.functions.lineage import cut
-    with_year = new.withColumn("year", F.year("date"))
-    touched = with_year.select("exchange", "year").distinct()
-    old = spark.read.parquet(path).join(touched, ["exchange", "year"], "left_semi")
-    write_bars(cut(replace_dates(old.select(*new.columns), new)), path)
+    """Replace the dates of ``new`` in the store at ``path``, which it starts if need be: write beside, count and
+    fingerprint, then switch. A reader sees the state before or after, never one between; a run that stops early leaves
+    the old state and is simply run again."""
+    commit_version(spark, path, write_version(spark, path, new), new.schema)
+
+
+def verify_committed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Partitions whose files differ from what their commit counted."""
+    return verify_manifest(current_manifest(spark, path), partition_manifest(read_committed(spark, path, schema)))
 
 
 def partition_manifest(df: DataFrame) -> DataFrame:
@@ -64,7 +121,7 @@ def partition_manifest(df: DataFrame) -> DataFrame:
     order and, unlike an exclusive or, sees pairs of equal rows."""
     cols = sorted(df.columns)
     return (df.withColumn("year", F.year("date")).groupBy("exchange", "year")
-            .agg(F.count("*").alias("n_rows"), F.sum(F.xxhash64(*cols).cast("decimal(20,0)")).alias("fingerprint")))
+            .agg(F.count("*").alias("n_rows"), F.sum(F.xxhash64(*cols).cast("decimal(20,0)")).cast("decimal(30,0)").alias("fingerprint")))
 
 
 def verify_manifest(stored: DataFrame, current: DataFrame) -> DataFrame:
