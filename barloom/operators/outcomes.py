@@ -43,6 +43,11 @@ def next_open_entry(signals: DataFrame, bars: DataFrame, clock: str = "symbol")
     return sig.join(nxt, ["symbol", "_n"], "left").withColumn("entry_status", status).drop("_n", "_lock")
 
 
+#: Bars of a block of the skip index.
+BLOCK = 16
+ENTRY = ["symbol", "entry_n", "entry_r", "entry_date", "entry_price", "stop_pct", "target_pct", "hold_days"]
+
+
 def _exit(bar: Column, i: Column, stop: Column, target: Column, hold: Column, entry_n: Column, defer: bool) -> Column:
     """Exit of one bar: gap through the stop, stop, gap to the target, target, time; NULL reason = none."""
     later = i > 0
@@ -53,7 +58,7 @@ def _exit(bar: Column, i: Column, stop: Column, target: Column, hold: Column, en
         reason = F.when(bar["lock"] != "lower", reason)
     price = (F.when(reason.isin("stop_gap", "target_gap"), bar["open"]).when(reason == "stop", stop)
              .when(reason == "target", target).when(reason == "time", bar["close"]))
-    return F.struct(i.alias("i"), bar["date"].alias("date"), price.alias("price"), reason.alias("reason"))
+    return F.struct(bar["r"].alias("r"), bar["date"].alias("date"), price.alias("price"), reason.alias("reason"))
 
 
 def _last_bar_number(entries: DataFrame, bars: DataFrame, defer: bool) -> DataFrame:
@@ -71,39 +76,60 @@ def _last_bar_number(entries: DataFrame, bars: DataFrame, defer: bool) -> DataFr
     return e.withColumn("_end", F.coalesce("_r", "_max")).drop("_s", "_want", "_r", "_max")
 
 
+def skip_index(bars: DataFrame, defer: bool = False) -> DataFrame:
+    """One row per (symbol, block of BLOCK bar numbers): lowest low, highest high, and the lowest, highest and last session
+    (``_lo``, ``_hi``, ``_n``) among the bars on which something can be sold."""
+    can = F.lit(True) if not defer else F.col("lock") != "lower"
+    return bars.groupBy("symbol", F.floor(F.col("r") / BLOCK).alias("_block")).agg(
+        F.min("low").alias("low"), F.max("high").alias("high"), F.min(F.when(can, F.col("low"))).alias("_lo"), F.max(F.when(can, F.col("high"))).alias("_hi"), F.max(F.when(can, F.col("n"))).alias("_n"))
+
+
 def first_exit(entries: DataFrame, bars: DataFrame, keys: list[str], cost_pct: Column | float = 0.0, defer_locks: bool = False) -> DataFrame:
-    """Exit, excursions and daily marks of every entry.
+    """Exit and excursions of every entry; daily marks are had from ``daily_marks``.
 
-    An entry meets about hold + 1 bars, found by equality on (symbol, bar number) after exploding the
-    numbers, so no symbol's entries and bars are paired up; the short bar list of one entry is then
-    read once in order. With ``defer_locks`` a bar locked at the lower band cannot be sold and the
+    An entry meets the blocks of the skip index that its hold spans. The first block after its own whose extremes or last
+    session allow an exit is certain to have one, so only the bars of the entry's own block and of that one are looked at,
+    and the extremes of the blocks between are those of the index: 2 * BLOCK bars at most, whatever the hold. Everything
+    is found by equality on (symbol, number). With ``defer_locks`` a bar locked at the lower band cannot be sold and the
     next one is tried."""
-    e = _last_bar_number(entries.filter("entry_status = 'entered'"), bars, defer_locks).select(
-        *keys, "symbol", "entry_n", "entry_date", "entry_price", "stop_pct", "target_pct", "hold_days", F.explode(F.sequence("entry_r", "_end")).alias("r"))
-    joined = e.join(bars.select("symbol", "r", F.struct(*BAR).alias("_bar")), ["symbol", "r"])
-    ids = [*keys, "symbol", "entry_n", "entry_date", "entry_price", "stop_pct", "target_pct", "hold_days"]
-    p = joined.groupBy(*ids).agg(F.sort_array(F.collect_list("_bar")).alias("path"))
-    stop, target = F.col("entry_price") * (1 - F.col("stop_pct")), F.col("entry_price") * (1 + F.col("target_pct"))
-    p = p.withColumn("_stop", stop).withColumn("_target", target)
-    exits = F.filter(F.transform("path", lambda b, i: _exit(b, i, F.col("_stop"), F.col("_target"), F.col("hold_days"), F.col("entry_n"), defer_locks)),
+    e = _last_bar_number(entries.filter("entry_status = 'entered'"), bars, defer_locks)
+    e = e.withColumn("_stop", F.col("entry_price") * (1 - F.col("stop_pct"))).withColumn("_target", F.col("entry_price") * (1 + F.col("target_pct"))).withColumn("_own", F.floor(F.col("entry_r") / BLOCK))
+    ids = [*keys, *ENTRY, "_end", "_stop", "_target", "_own"]
+    met = e.select(*ids, F.explode(F.sequence("_own", F.floor(F.col("_end") / BLOCK))).alias("_block")).join(skip_index(bars, defer_locks), ["symbol", "_block"])
+    hit = (F.col("_block") > F.col("_own")) & ((F.col("_lo") <= F.col("_stop")) | (F.col("_hi") >= F.col("_target")) | (F.col("_n") - F.col("entry_n") >= F.col("hold_days")))
+    blocks = met.groupBy(*ids).agg(F.sort_array(F.collect_list(F.struct("_block", "high", "low", F.coalesce(hit, F.lit(False)).alias("hit")))).alias("_b"))  # hold / BLOCK entries
+    far = F.coalesce(F.get(F.filter("_b", lambda x: x["hit"]), 0)["_block"], F.element_at("_b", -1)["_block"])
+    blocks = blocks.withColumn("_far", far)
+    between = F.filter("_b", lambda x: (x["_block"] > F.col("_own")) & (x["_block"] < F.col("_far")))
+    blocks = blocks.withColumn("_mh", F.array_max(F.transform(between, lambda x: x["high"]))).withColumn("_ml", F.array_min(F.transform(between, lambda x: x["low"]))).drop("_b")
+    own = F.sequence(F.col("entry_r").cast("long"), F.least(F.col("_end").cast("long"), F.col("_own") * BLOCK + BLOCK - 1))
+    last = F.sequence(F.col("_far") * BLOCK, F.least(F.col("_end").cast("long"), F.col("_far") * BLOCK + BLOCK - 1))
+    some = F.when(F.col("_far") > F.col("_own"), F.concat(own, last)).otherwise(own)
+    looked = blocks.withColumn("r", F.explode(some)).join(bars.select("symbol", "r", F.struct(*BAR).alias("_bar")), ["symbol", "r"])
+    p = looked.groupBy(*ids, "_far", "_mh", "_ml").agg(F.sort_array(F.collect_list("_bar")).alias("path"))  # 2 * BLOCK bars
+    exits = F.filter(F.transform("path", lambda b: _exit(b, b["r"] - F.col("entry_r"), F.col("_stop"), F.col("_target"), F.col("hold_days"), F.col("entry_n"), defer_locks)),
                      lambda x: x["reason"].isNotNull())
     p = p.withColumn("_x", F.try_element_at(exits, F.lit(1)))
-    p = p.withColumn("_held", F.slice("path", 1, F.coalesce(F.col("_x.i") + 1, F.size("path"))))
+    p = p.withColumn("_held", F.filter("path", lambda b: b["r"] <= F.coalesce(F.col("_x.r"), b["r"])))
     cost = F.lit(cost_pct) if isinstance(cost_pct, float) else cost_pct
-    net = lambda price: price / F.col("entry_price") - 1 - cost
-    zero = F.lit(0.0)
-    last = F.element_at("_held", -1)
-    marks = F.transform("_held", lambda b, i: F.struct(b["date"].alias("date"), net(F.when(i == F.col("_x.i"), F.col("_x.price")).otherwise(b["close"])).alias("net")))
+    zero, end = F.lit(0.0), F.element_at("_held", -1)
+    passed = end["r"] >= F.col("_far") * BLOCK  # the blocks between were held through
+    high = F.greatest(F.array_max(F.transform("_held", lambda b: b["high"])), F.when(passed, F.col("_mh")))
+    low = F.least(F.array_min(F.transform("_held", lambda b: b["low"])), F.when(passed, F.col("_ml")))
     return p.select(
         *keys, "symbol", "entry_date", "entry_price", "hold_days", F.when(F.col("_x").isNull(), "open").otherwise("closed").alias("status"),
         F.col("_x.date").alias("exit_date"), F.col("_x.price").alias("exit_price"), F.col("_x.reason").alias("exit_reason"),
-        last["date"].alias("last_date"), net(F.coalesce(F.col("_x.price"), last["close"])).alias("net_return"), (F.size("_held") - 1).alias("holding_days"),
-        F.greatest(zero, F.array_max(F.transform("_held", lambda b: b["high"] / F.col("entry_price") - 1))).alias("mfe"),
-        F.least(zero, F.array_min(F.transform("_held", lambda b: b["low"] / F.col("entry_price") - 1))).alias("mae"), marks.alias("marks"))
+        end["date"].alias("last_date"), (F.coalesce(F.col("_x.price"), end["close"]) / F.col("entry_price") - 1 - cost).alias("net_return"), (end["r"] - F.col("entry_r")).cast("int").alias("holding_days"),
+        F.greatest(zero, high / F.col("entry_price") - 1).alias("mfe"), F.least(zero, low / F.col("entry_price") - 1).alias("mae"), "entry_r")
 
 
-def explode_marks(outcomes: DataFrame, keys: list[str]) -> DataFrame:
-    return outcomes.select(*keys, "symbol", "entry_date", F.explode("marks").alias("m")).select(*keys, "symbol", "entry_date", "m.date", "m.net")
+def daily_marks(outcomes: DataFrame, bars: DataFrame, keys: list[str], cost_pct: float = 0.0) -> DataFrame:
+    """One row for every day held: the net gain at the close, on the exit day at the exit price."""
+    days = outcomes.withColumn("r", F.explode(F.sequence(F.col("entry_r").cast("long"), F.col("entry_r").cast("long") + F.col("holding_days"))))
+    at = days.join(bars.select("symbol", "r", "date" if "date" not in keys else F.col("date").alias("_day"), F.col("close").alias("_close")), ["symbol", "r"])
+    day = "_day" if "date" in keys else "date"
+    price = F.when(F.col(day) == F.col("exit_date"), F.col("exit_price")).otherwise(F.col("_close"))
+    return at.select(*keys, "symbol", "entry_date", F.col(day).alias("mark_date" if "date" in keys else "date"), (price / F.col("entry_price") - 1 - cost_pct).alias("net"))
 
 
 def track_picks(picks: DataFrame, panel: DataFrame, keys: list[str], as_of, cost_pct: Column | float = 0.0, void_after: int = 10) -> DataFrame:

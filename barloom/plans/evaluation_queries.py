@@ -16,10 +16,10 @@ UNION ALL SELECT 'train', label, rule, count(*) FROM trades JOIN wins ON entry_d
     lambda wb: ev.assign_windows(wb.trades, wb.windows, "test", "entry_date").groupBy("label", "rule").agg(F.count("*").alias("n")).withColumn("part", F.lit("test"))
     .unionByName(ev.assign_windows(wb.trades, wb.windows, "train", "entry_date").groupBy("label", "rule").agg(F.count("*").alias("n")).withColumn("part", F.lit("train"))))
 def _swept_daily(wb):
-    bars = oc.numbered_bars(wb.panel, "market")
+    bars = wb.numbered_market
     sig = sc.sweep(wb.fpanel, [swept_rule()]).select("rule", "variant", "symbol", "date", "stop_pct", "target_pct", "hold_days")
     o = oc.first_exit(oc.next_open_entry(sig, bars, "market"), bars, ["rule", "variant", "date"]).withColumnRenamed("date", "signal_date")
-    m = o.select("rule", "variant", "signal_date", "symbol", F.explode("marks").alias("m")).select("rule", "variant", "signal_date", "symbol", "m.date", F.col("m.net").alias("gross"))
+    m = oc.daily_marks(o, bars, ["rule", "variant", "signal_date"]).withColumnRenamed("net", "gross")
     return ev.daily_returns(m, ["rule", "variant"], ["symbol", "signal_date"], 0.0026)
 
 

@@ -61,7 +61,7 @@ XCOLS = ["rule", "date", "symbol", "entry_date", "entry_price", "hold_days", "st
 
 
 def exits(wb, clock, **kw):
-    b = oc.numbered_bars(wb.panel, clock)
+    b = wb.numbered_market if clock == "market" else wb.numbered_symbol
     if clock == "symbol":
         b = b.withColumn("lock", F.lit("none"))
     return oc.first_exit(oc.next_open_entry(signals(wb), b, clock), b, ["rule", "date"], **kw)
@@ -75,7 +75,7 @@ query("t9_daily_marks", f"""
 WITH o AS ({outcome_sql(SIG, 'symbol', '0.005')})
 SELECT o.symbol, o.date AS signal_date, o.entry_date, b.date, CASE WHEN b.date = o.exit_date THEN o.net_return ELSE b.close / o.entry_price - 1 - 0.005 END AS net
 FROM o JOIN numbered b ON b.symbol = o.symbol AND b.date BETWEEN o.entry_date AND o.last_date""", "net")(
-    lambda wb: oc.explode_marks(exits(wb, "symbol", cost_pct=0.005).withColumnRenamed("date", "signal_date"), ["signal_date"]))
+    lambda wb: oc.daily_marks(exits(wb, "symbol", cost_pct=0.005).withColumnRenamed("date", "signal_date"), wb.numbered_symbol, ["signal_date"], 0.005))
 query("t10_round_trip_cost", """
 WITH d AS (SELECT exchange, CAST(date + INTERVAL 300 MONTH AS DATE) AS date, count(*) AS n_bars FROM bars GROUP BY ALL),
 r AS (SELECT *, CASE WHEN exchange = 'BSE' THEN 3.75 WHEN date >= DATE '2026-03-01' THEN 3.07 ELSE 2.97 END AS ex, CASE WHEN exchange = 'BSE' THEN 0 WHEN date >= DATE '2026-03-01' THEN 0 ELSE 0.10 END AS ip FROM d)

@@ -526,19 +526,32 @@ class Workbench:
         """Gross outcomes of every pick; cut, since trades, marks and equity all read them."""
         from barloom.functions.lineage import cut
         from barloom.operators import outcomes as oc
-        bars = oc.numbered_bars(self.panel, "market")
+        bars = self.numbered_market
         entries = oc.next_open_entry(self.picks.select("rule", "symbol", "date", "stop_pct", "target_pct", "hold_days"), bars, "market")
         return cut(oc.first_exit(entries, bars, ["rule", "date"], 0.0))
 
+    @cached_property
+    def numbered_market(self) -> DataFrame:
+        """Numbered bars; written, as entries, blocks, exits and marks all read them."""
+        from barloom.functions.lineage import written
+        from barloom.operators import outcomes as oc
+        return written(oc.numbered_bars(self.panel, "market"))
+
+    @cached_property
+    def numbered_symbol(self) -> DataFrame:
+        from barloom.functions.lineage import written
+        from barloom.operators import outcomes as oc
+        return written(oc.numbered_bars(self.panel, "symbol"))
+
     @cached_property
     def trades(self) -> DataFrame:
         return self.outcomes.filter("status = 'closed'").withColumn("net_return", F.col("net_return") - 0.0026)
 
     @cached_property
     def marks(self) -> DataFrame:
+        from barloom.operators import outcomes as oc
         o = self.outcomes.withColumnRenamed("date", "signal_date")
-        return o.select("rule", "signal_date", "symbol", "entry_date", F.explode("marks").alias("m")).select(
-            "rule", "signal_date", "symbol", "entry_date", "m.date", F.col("m.net").alias("gross"))
+        return oc.daily_marks(o, self.numbered_market, ["rule", "signal_date"]).withColumnRenamed("net", "gross")
 
     @cached_property
     def daily(self) -> DataFrame:
