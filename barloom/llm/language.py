@@ -45,9 +45,9 @@ SCRIPT_RANGES = {
 SCRIPTS = len(SCRIPT_RANGES) + 1
 UNKNOWN = "und"
 #: Code points scored at once, and words whose paths are found at once.
-PIECE, PATHS = 250_000, 400_000
+PIECE, PATHS = 150_000, 150_000
 #: Numbers of languages.
-LABEL = np.int32
+LABEL = np.int16
 
 
 @cache

@@ -31,7 +31,7 @@ SEQUENCE, END = 4096, 2
 #: Letters that Python lower-cases by their neighbours, or to several characters.
 CASED = re.compile("[\u0130\u03a3]")
 #: Entries a worker keeps of words seen, so that its memory is bounded.
-CHUNKS, WORDS = 200_000, 300_000
+CHUNKS, WORDS = 80_000, 120_000
 
 
 class Ids:
