@@ -203,3 +203,47 @@ def test_stitch_chains_windows(spark):
     e = spark.createDataFrame([("r", "W1", D(2024, 1, 1), 10.0), ("r", "W1", D(2024, 1, 2), 11.0), ("r", "W2", D(2024, 2, 1), 50.0), ("r", "W2", D(2024, 2, 2), 100.0)], "rule string, label string, date date, equity double")
     assert [round(r.curve, 6) for r in ev.stitch_curves(e, ["rule"]).orderBy("date").collect()] == [100.0, 110.0, 110.0, 220.0]
     assert pd.notna(ev.sharpe(e, ["rule"]).first().sharpe)
+
+
+def test_skip_index_equals_a_walk_bar_by_bar(spark):
+    """Long holds, gaps in the calendar, locked bars, entries near the end of the data."""
+    import random
+    rng = random.Random(4)
+    rows, price = [], {"A": 100.0, "B": 100.0}
+    for k in range(420):
+        for s in price:
+            if s == "B" and k % 7 == 3:
+                continue  # no bar that day
+            o = price[s] * (1 + rng.gauss(0, 0.004))
+            c = o * (1 + rng.gauss(0, 0.004))
+            hi, lo = max(o, c) * (1 + abs(rng.gauss(0, 0.003))), min(o, c) * (1 - abs(rng.gauss(0, 0.003)))
+            rows.append((s, D(2020, 1, 1) + dt.timedelta(days=k), o, hi, lo, c))
+            price[s] = c
+    bars = oc.numbered_bars(spark.createDataFrame(rows, "symbol string, date date, open double, high double, low double, close double"), "market")
+    bars = bars.withColumn("lock", F.when(F.col("r") % 5 == 0, "lower").otherwise("none"))
+    signals = [(k, s, D(2020, 1, 1) + dt.timedelta(days=rng.randrange(415)), rng.choice([0.02, 0.1, 0.5, None]), rng.choice([0.02, 0.1, None]), rng.choice([1, 5, 40, 250])) for k in range(150) for s in price]
+    df = spark.createDataFrame(signals, "k int, symbol string, date date, stop_pct double, target_pct double, hold_days int").dropDuplicates(["k", "symbol"])
+    entries = oc.next_open_entry(df, bars, "market").cache()
+    listed = {}
+    for b in bars.orderBy("r").collect():
+        listed.setdefault(b.symbol, []).append(b)
+    for defer in (False, True):
+        got = {(r.k, r.symbol): r for r in oc.first_exit(entries, bars, ["k"], 0.001, defer).collect()}
+        want, closed = 0, 0
+        for e in entries.filter("entry_status = 'entered'").collect():
+            r, stop, target = got[e.k, e.symbol], e.entry_price * (1 - e.stop_pct) if e.stop_pct else -1, e.entry_price * (1 + e.target_pct) if e.target_pct else 1e9
+            path, out = [], None
+            for b in listed[e.symbol][e.entry_r - 1:]:
+                path.append(b)
+                why = ("stop_gap", b.open) if b.r > e.entry_r and b.open <= stop else ("stop", stop) if b.r > e.entry_r and b.low <= stop else ("target_gap", b.open) if b.r > e.entry_r and b.open >= target else \
+                    ("target", target) if b.r > e.entry_r and b.high >= target else ("time", b.close) if b.n - e.entry_n >= e.hold_days else None
+                if why and not (defer and b.lock == "lower"):
+                    out = why
+                    break
+            assert (r.exit_reason, r.exit_date) == ((out[0], path[-1].date) if out else (None, None)), (e, r)
+            assert r.net_return == pytest.approx((out[1] if out else path[-1].close) / e.entry_price - 1 - 0.001) and r.holding_days == len(path) - 1 and r.last_date == path[-1].date
+            assert r.mfe == pytest.approx(max(0, max(b.high for b in path) / e.entry_price - 1)) and r.mae == pytest.approx(min(0, min(b.low for b in path) / e.entry_price - 1))
+            want, closed = want + 1, closed + bool(out)
+        assert want == len(got) and 50 < closed < want
+    spans = oc.first_exit(entries.filter("hold_days = 250"), bars, ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert spans.count("explode") == 2 and oc.BLOCK * 5 < 250
