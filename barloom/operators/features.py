@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -171,3 +173,18 @@ def look_ahead_diff(fn, panel: DataFrame, cut, cols: list[str], digits: int = 6)
     def rows(df):
         return fn(df).filter(F.col("date") <= day).select("symbol", "date", *[F.round(c, digits).alias(c) for c in cols])
     return rows(panel).exceptAll(rows(panel.filter(F.col("date") <= day)))
+
+
+def look_ahead_counts(fn, panel: DataFrame, cuts: list, digits: int = 6) -> DataFrame:
+    """For each cut day and every feature column of fn: the rows up to the day, and how many of them change, or come or go,
+    when later bars are removed. Honest features change nowhere."""
+    whole, out = fn(panel), []
+    cols = [c for c in whole.columns if c not in panel.columns]
+    for cut in cuts:
+        day = F.lit(cut).cast("date")
+        early = fn(panel.filter(F.col("date") <= day)).select("symbol", "date", F.lit(True).alias("_there"), *[F.col(c).alias(f"_{c}") for c in cols])
+        j = whole.filter(F.col("date") <= day).withColumn("_here", F.lit(True)).join(early, ["symbol", "date"], "full")
+        same = F.col("_here").isNotNull() & F.col("_there").isNotNull()
+        tests = [F.struct(F.lit(c).alias("feature"), (same & F.round(F.col(c).cast("double"), digits).eqNullSafe(F.round(F.col(f"_{c}").cast("double"), digits))).alias("ok")) for c in cols]
+        out.append(j.select(F.explode(F.array(*tests)).alias("t")).groupBy("t.feature").agg(F.count("*").alias("n_rows"), F.count(F.when(~F.col("t.ok"), 1)).alias("n_changed")).select(day.alias("cut"), "feature", "n_rows", "n_changed"))
+    return reduce(DataFrame.unionByName, out)

@@ -84,6 +84,20 @@ def _diff(wb):
 
 
 query("f18_look_ahead_diff", "SELECT symbol, date, close AS sma20, close AS ema20, close AS rsi14, close AS atr_pct14, close AS ret20, close AS high_prior20, close AS low_prior20, close AS vol_ratio20, close AS turnover_med20 FROM panel WHERE 1 = 0")(_diff)
+CUTS = ["1996-03-29", "1999-06-30", "2001-11-15"]
+
+
+def _every_feature(wb):
+    """All feature columns with the index, over several cut days; columns that the panel has itself are no features."""
+    index = wb.idx.filter("index_code = 'BROAD_500'")
+    return ft.look_ahead_counts(lambda p: ft.features(p, index), wb.panel.drop("prev_close"), CUTS)
+
+
+FEATURES = sorted([*[f"sma{n}" for n in ft.SMA], *[f"ema{n}" for n in ft.EMA], *[f"ret{n}" for n in ft.RETURNS], *[f"rs{n}" for n in ft.RS], *[f"high_prior{n}" for n in (20, 55, 252)], *[f"low_prior{n}" for n in (20, 60, 252)],
+                   "rsi2", "rsi14", "atr14", "atr_pct14", "mom_12_1", "range_pct_prior10", "range_pct_prior20", "high_252_prox", "vol_ratio20", "gap_pct", "close_location", "turnover_med20", "adv_turnover", "bar_count",
+                   "delivery_pct_sma20", "close_raw", "prev_close", "cumulative_price_factor"])
+query("f18_look_ahead_counts", f"""SELECT c.cut, f.feature, (SELECT count(*) FROM panel p WHERE p.date <= c.cut) AS n_rows, 0::BIGINT AS n_changed
+FROM (SELECT unnest({CUTS}::DATE[]) AS cut) c, (SELECT unnest({FEATURES}) AS feature) f""")(_every_feature)
 ALL = ["sma20", "sma200", "ema20", "ema200", "rsi2", "rsi14", "atr14", "atr_pct14", "ret1", "ret250", "mom_12_1", "high_prior20", "high_prior252", "low_prior60", "range_pct_prior20", "high_252_prox",
        "vol_ratio20", "gap_pct", "close_location", "turnover_med20", "adv_turnover", "bar_count", "delivery_pct_sma20", "close_raw", "prev_close", "rs63", "rs126", "rs252"]
 DIGITS = {"sma20": ":6", "sma200": ":6", "ema20": ":3", "ema200": ":3", "atr14": ":3", "vol_ratio20": ":6", "adv_turnover": ":8"}

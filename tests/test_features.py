@@ -86,6 +86,8 @@ def test_features_do_not_look_ahead(panel):
 def test_look_ahead_is_caught(panel):
     cheat = lambda p: p.withColumn("x", F.lead("close").over(symbol_window("symbol")))
     assert ft.look_ahead_diff(cheat, panel, "2020-06-30", ["x"]).count() > 0
+    counts = {(str(r.cut), r.feature): r for r in ft.look_ahead_counts(lambda p: cheat(p).withColumn("y", F.col("close") * 2), panel, ["2019-06-28", "2020-06-30"]).collect()}
+    assert len(counts) == 4 and all((r.n_changed > 0) == (feature == "x") and r.n_rows > 0 for (_, feature), r in counts.items())
 
 
 def test_asof_directions(spark):
