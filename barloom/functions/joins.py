@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.lineage import cut
+
 
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str,
               cols: list[str], *, direction: str = "backward", strict: bool = False,
@@ -37,14 +39,15 @@ def average_rank(df: DataFrame, keys: list[str], value: str, out: str, n_out: st
     Equal values are first collapsed to one counted row, then each group is cut into ``buckets``
     value ranges (mergeable quantile sketch of bounded size), ranked inside a range and shifted by
     the totals of the lower ranges; so neither a hot group nor a hot value meets one task.
-    NULL values get a NULL rank and do not count.
+    The sketch depends on the order in which parts arrive, and totals and ranks both need the same ranges, so the ranges
+    are written once. NULL values get a NULL rank and do not count.
     """
     known = df.filter(F.col(value).isNotNull())
     counts = known.groupBy(*keys, value).agg(F.count("*").alias("_c"))
     probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     edges = counts.groupBy(*keys).agg(F.percentile_approx(value, probs, 200).alias("_e"))
-    ranged = (counts.join(edges, keys)
-              .withColumn("_b", F.size(F.filter("_e", lambda e: e < F.col(value)))).drop("_e"))
+    ranged = cut(counts.join(edges, keys)
+                 .withColumn("_b", F.size(F.filter("_e", lambda e: e < F.col(value)))).drop("_e"))
     totals = ranged.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"))
     wb = Window.partitionBy(*keys).orderBy("_b")
     offs = totals.select(

@@ -74,7 +74,8 @@ def score(cands: DataFrame) -> DataFrame:
     whichever direction is best, ties share the mean rank, a missing value scores 0.
 
     The candidates are cut once, since ranks and the final join both read them; the rank keys are
-    stacked, so all of them are ranked in one pass.
+    stacked, so all of them are ranked in one pass. The keys of a row are added in their order: sums in the order of
+    arrival differ in their last digits, which decide ties.
     """
     n_keys = sum(1 for c in cands.columns if c.startswith("asc"))
     base = cut(cands)
@@ -82,7 +83,9 @@ def score(cands: DataFrame) -> DataFrame:
     long = base.select(*KEYS, "symbol", F.explode(keys).alias("x")).select(*KEYS, "symbol", F.col("x.i").alias("key"), "x.v", "x.w", "x.asc").filter("w <> 0")
     ranked = average_rank(long, [*KEYS, "key"], "v", "_rank", "_n")
     pct = F.when(F.col("asc"), (F.col("_n") + 1 - F.col("_rank")) / F.col("_n")).otherwise(F.col("_rank") / F.col("_n"))
-    total = ranked.groupBy(*KEYS, "symbol").agg((F.sum(F.col("w") * F.coalesce(pct, F.lit(0.0))) / F.sum("w") * 100).alias("score"))
+    def added(c: Column) -> Column:
+        return reduce(lambda a, b: a + b, [F.coalesce(F.sum(F.when(F.col("key") == i, c)), F.lit(0.0)) for i in range(n_keys)])
+    total = ranked.groupBy(*KEYS, "symbol").agg((added(F.col("w") * F.coalesce(pct, F.lit(0.0))) / added(F.col("w")) * 100).alias("score"))
     return base.join(total, [*KEYS, "symbol"])
 
 

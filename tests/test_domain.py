@@ -112,6 +112,17 @@ def test_best_value_scores_highest_either_way_and_missing_scores_zero(spark):
     assert scores(spark, [1.0, 1.0], "desc") == [75.0, 75.0]
 
 
+def test_rank_keys_are_added_in_their_order(spark):
+    """Symbols whose keys were ranked in other orders, with sums that differ in the last digit by the order of adding."""
+    n = 11
+    rows = [("r", "", D(2020, 1, 1), f"s{i:02}", float(i), float(-i), float(i * 7 % n), 0.1, 0.7, 0.2, False, False, False) for i in range(n)]
+    cols = "rule string, variant string, date date, symbol string, r0 double, r1 double, r2 double, w0 double, w1 double, w2 double, asc0 boolean, asc1 boolean, asc2 boolean"
+    rank = lambda k: {r[3]: sum(x[4 + k] <= r[4 + k] for x in rows) / n for r in rows}
+    a, b, c = (rank(k) for k in range(3))
+    want = {s: ((0.1 * a[s] + 0.7 * b[s]) + 0.2 * c[s]) / ((0.1 + 0.7) + 0.2) * 100 for s in a}
+    assert {r.symbol: r.score for r in sc.score(spark.createDataFrame(rows, cols)).collect()} == want
+
+
 def test_missing_is_false_before_not(spark):
     df = spark.createDataFrame([(None,), (5.0,)], "x double")
     node = {"not": {"left": {"ind": "x"}, "op": ">", "right": 10}}

@@ -108,6 +108,17 @@ def test_average_rank_with_hot_group_and_hot_value(spark):
     assert (got.n.values == pdf.groupby("k").v.transform("count").values).all()
 
 
+def test_average_rank_when_the_sketch_comes_out_otherwise_each_time(spark, monkeypatch):
+    """Parts of a sketch arrive in any order, so two evaluations of one plan need not give the same ranges."""
+    import random
+    edges = F.udf(lambda lo, hi: sorted(random.SystemRandom().uniform(lo, hi) for _ in range(31)), "array<double>").asNondeterministic()
+    monkeypatch.setattr(F, "percentile_approx", lambda c, probs, accuracy: edges(F.min(c), F.max(c)))
+    pdf = pd.DataFrame({"k": ["a", "b"] * 200, "i": range(400), "v": np.random.default_rng(5).integers(0, 150, 400).astype(float)})
+    got = average_rank(spark.createDataFrame(pdf), ["k"], "v", "r", "n").toPandas().sort_values("i")
+    np.testing.assert_allclose(got.r.values, pdf.groupby("k").v.rank().values)
+    assert (got.n.values == pdf.groupby("k").v.transform("count").values).all()
+
+
 def test_add_weekdays_matches_business_days(spark):
     rows = [(dt.date(2024, 1, 1) + dt.timedelta(i), h) for i in range(14) for h in (1, 4, 5, 6, 23)]
     got = spark.createDataFrame(rows, "d date, n int").withColumn("e", add_weekdays(F.col("d"), F.col("n"))).collect()
