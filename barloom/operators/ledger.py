@@ -107,15 +107,25 @@ def holding_intervals(trades: DataFrame) -> DataFrame:
     return intervals(daily_holdings(trades), KEYS).filter("held > 0")
 
 
-def held_before(trades: DataFrame, actions: DataFrame) -> DataFrame:
-    """Every action with the shares that each holder had before its ex-date. Holdings are intervals, so rows grow with the
+def holders_before(trades: DataFrame, actions: DataFrame) -> DataFrame:
+    """Every action with the shares of those who held any before its ex-date. Holdings are intervals, so rows grow with the
     months held, not with all pairs of holdings and actions."""
     return on_days(holding_intervals(trades), actions, "ex_date", on=["exchange", "symbol"], after=True).drop("date", "until")
 
 
+def held_before(trades: DataFrame, actions: DataFrame) -> DataFrame:
+    """Every action with the shares that each portfolio which ever traded its symbol had before its ex-date: 0 before the
+    first trade and after the last sale, below 0 where more was sold than held."""
+    dates = actions.select("exchange", "symbol", "ex_date").distinct()
+    states = intervals(daily_holdings(trades), KEYS).filter("held <> 0")
+    held = on_days(states, dates, "ex_date", on=["exchange", "symbol"], after=True).select(*KEYS, "ex_date", "held")
+    every = trades.select(*KEYS).distinct().join(actions, ["exchange", "symbol"])
+    return every.join(held, [*KEYS, "ex_date"], "left").withColumn("held", F.coalesce("held", F.lit(0).cast("long")))
+
+
 def dividends(trades: DataFrame, actions: DataFrame) -> DataFrame:
     """Cash credited per (portfolio, action), to paise."""
-    h = held_before(trades, actions.filter(F.col("action_type").isin("dividend", "distribution") & F.col("amount").isNotNull()))
+    h = holders_before(trades, actions.filter(F.col("action_type").isin("dividend", "distribution") & F.col("amount").isNotNull()))
     return h.withColumn("credit", F.round(F.col("held") * F.col("amount").cast("decimal(18,4)"), 2).cast("double"))
 
 

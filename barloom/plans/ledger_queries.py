@@ -47,7 +47,7 @@ TABLE_SQL["hold"] = """SELECT portfolio, exchange, symbol, date, CAST(sum(q) OVE
  SELECT portfolio, exchange, symbol, date, sum(CASE WHEN side = 'buy' THEN qty ELSE -qty END) AS q FROM ledger GROUP BY ALL)"""
 HELD = """SELECT p.portfolio, p.exchange, p.symbol, a.*, (SELECT arg_max(h.held, h.date) FROM hold h WHERE h.portfolio = p.portfolio AND h.exchange = p.exchange AND h.symbol = p.symbol AND h.date < a.ex_date) AS held
  FROM (SELECT DISTINCT portfolio, exchange, symbol FROM ledger) p JOIN {0} a USING (exchange, symbol)"""
-query("b4_held_before", f"SELECT portfolio, exchange, symbol, action_id, ex_date, held FROM ({HELD.format('actions')}) WHERE held > 0")(
+query("b4_held_before", f"SELECT portfolio, exchange, symbol, action_id, ex_date, coalesce(held, 0) AS held FROM ({HELD.format('actions')})")(
     lambda wb: lg.held_before(wb.ledger, wb.actions.select("action_id", "exchange", "symbol", "ex_date")).select("portfolio", "exchange", "symbol", "action_id", "ex_date", "held"))
 query("b5_dividends", f"""SELECT portfolio, exchange, symbol, action_id, clause, ex_date, held, round(held * CAST(amount AS DECIMAL(18,4)), 2) AS credit FROM ({HELD.format('parsed')})
 WHERE held > 0 AND action_type IN ('dividend', 'distribution') AND amount IS NOT NULL""", "credit:2")(

@@ -101,3 +101,10 @@ def test_split_meets_the_position_before_its_ex_date(spark):
     first, second = got[D(2020, 2, 1)], got[D(2020, 3, 1)]
     assert (first.qty, first.new_qty, first.dropped_shares) == (5, 7, 0.5) and first.new_avg_cost * 7 + first.dropped_cost == pytest.approx(50)
     assert (second.qty, second.new_qty, second.new_avg_cost) == (8, 0, 0.0) and second.dropped_cost == pytest.approx(110)
+
+
+def test_every_owner_of_a_symbol_meets_every_action(spark):
+    rows = [trade(1, "p", "NSE", "A", D(2020, 1, 1), 5, 10.0, "buy"), trade(2, "p", "NSE", "A", D(2020, 2, 1), 5, 20.0, "sell"), trade(3, "q", "NSE", "A", D(2020, 3, 1), 4, 10.0, "sell"), trade(4, "p", "BSE", "A", D(2020, 1, 1), 7, 10.0, "buy")]
+    actions = spark.createDataFrame([(1, "NSE", "A", D(2020, 1, 1)), (2, "NSE", "A", D(2020, 2, 1)), (3, "NSE", "A", D(2020, 2, 1)), (4, "NSE", "A", D(2020, 4, 1)), (5, "NSE", "B", D(2020, 4, 1))], "action_id long, exchange string, symbol string, ex_date date")
+    got = {(r.portfolio, r.exchange, r.action_id): r.held for r in ledger.held_before(spark.createDataFrame(rows, COLUMNS), actions).collect()}
+    assert got == {("p", "NSE", 1): 0, ("p", "NSE", 2): 5, ("p", "NSE", 3): 5, ("p", "NSE", 4): 0, ("q", "NSE", 1): 0, ("q", "NSE", 2): 0, ("q", "NSE", 3): 0, ("q", "NSE", 4): -4}
