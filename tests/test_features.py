@@ -10,6 +10,7 @@ from barloom.functions.joins import asof_join, average_rank
 from barloom.functions.rolling import rolling
 from barloom.functions.windows import add_weekdays, symbol_window
 from barloom.operators import features as ft
+from barloom.operators import lake
 
 
 def walk(symbols=2, n=700, seed=7):
@@ -108,6 +109,16 @@ def test_average_rank_with_hot_group_and_hot_value(spark):
     assert (got.n.values == pdf.groupby("k").v.transform("count").values).all()
 
 
+def test_means_and_panels_sort_and_shuffle_once(spark):
+    """All passes of a mean share the sort on the symbol, without arrays; bars are dealt by symbol for every window on it."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    bars = spark.createDataFrame([("a", dt.date(2020, 1, 1), 1.0)], "symbol string, date date, close double")
+    mean = plan(ewm(bars, {"e": (F.col("close"), 2.0 / 201, 200, 0), "f": (F.col("close"), 0.5, 2, 1)}))
+    assert mean.count("Sort [") == 1 and "collect_list" not in mean
+    trades = spark.createDataFrame([], "exchange string, symbol string, series string, date date, price double, qty double, amount double, discount double, k long")
+    assert plan(lake.panel(lake.bars_from_trades(trades, F.col("k")))).count("Exchange hashpartitioning") == 2
+
+
 def test_average_rank_when_the_sketch_comes_out_otherwise_each_time(spark, monkeypatch):
     """Parts of a sketch arrive in any order, so two evaluations of one plan need not give the same ranges."""
     import random
