@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import string
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -30,8 +31,10 @@ from . import common
 SEQUENCE, END = 4096, 2
 #: Letters that Python lower-cases by their neighbours, or to several characters.
 CASED = re.compile("[\u0130\u03a3]")
+#: ASCII signs that follow letters as one piece; an apostrophe may belong to the letters after it.
+SIGNS = "".join(c for c in string.punctuation if c != "'")
 #: Entries a worker keeps of words seen, so that its memory is bounded.
-CHUNKS, WORDS = 80_000, 120_000
+CHUNKS, WORDS, ENDS = 80_000, 120_000, 2_000
 
 
 class Ids:
@@ -50,6 +53,7 @@ class Ids:
         self.bytes = {b: c for point in every_byte for b, c in zip(chr(point).encode(), shown(chr(point))[0][0], strict=True)}
         self.chunks: dict[bytes, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.ends: dict[str, bytes] = {"": b""}
 
     def of_word(self, word: str) -> bytes:
         """Of normalised letters, which the splitter leaves whole; the model sees each byte as a character."""
@@ -64,14 +68,21 @@ class Ids:
     def of_any(self, text: str) -> bytes:
         return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def of_end(self, signs: str) -> bytes:
+        ids = self.ends.get(signs)
+        if ids is None:
+            ids = self.of_any(signs)
+            if len(self.ends) < ENDS:
+                self.ends[signs] = ids
+        return ids
+
     def of_chunk(self, chunk: bytes) -> bytes:
         ids = self.chunks.get(chunk)
         if ids is None:
             text = chunk.decode()
-            end = text[-1] if text[-1] in ".,:;" else ""  # after a letter, a sign is a token's start
-            word = text[:-1] if end else text
+            word = text.rstrip(SIGNS)  # after letters, a run of signs is a piece of its own
             if word.isalpha() and is_normalized("NFC", word) and not CASED.search(word):
-                ids = self.of_word(word.lower()) + (self.of_chunk(end.encode()) if end else b"")
+                ids = self.of_word(word.lower()) + self.of_end(text[len(word):])
             else:
                 ids = self.of_any(text)
             if len(self.chunks) < CHUNKS:

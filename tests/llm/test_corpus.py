@@ -547,3 +547,14 @@ def test_pipeline_stages(spark, tmp_path):
     mixed = spark.read.parquet(f"{tmp_path}/3")
     assert now.filter("start = 0").count() == mixed.count()
     assert now.agg(F.sum("length")).first()[0] == now.filter("start = 0").agg(F.sum("doc_tokens")).first()[0]
+
+
+def test_letters_and_signs_need_no_whole_tokenizer():
+    ids = packing.Ids(packing.tokenizer_path())
+    texts = [w + e for w in ("Haus", "\u00e9t\u00e9", "naïve", "\u0130x", "don't", "a1", "<|x") for e in ("", ".", "***", ",###", "&&&", "!?\"", "'", "'.", "|>", "-->")]
+    assert [ids.of_text(t) for t in texts] == [ids.of_any(t) for t in texts]
+    whole = []
+    ids.of_any = lambda text: whole.append(text) or b"\0\0\0\0"
+    for t in ("Stra\u00dfe***", "baum%%%", "baum***", "wald%%%", "wald,###"):
+        ids.of_text(t)
+    assert whole == ["%%%"]  # signs of no word met before
