@@ -231,7 +231,7 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(own[at], pa.int64())], ["lang", "at", "n"])
 
     rows = _fit_rows(common.ship(df), lang_col, id_col, text_col, per_language)
-    found = rows.mapInArrow(count, "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toArrow().to_pydict()
+    found = rows.mapInArrow(common.tidied(count), "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toArrow().to_pydict()
     languages = sorted(set(found["lang"]))
     counts = np.zeros((3 * buckets + SCRIPTS + 1, len(languages)))
     counts[found["at"], [languages.index(x) for x in found["lang"]]] = found["n"]
@@ -271,7 +271,7 @@ def detect(df: DataFrame, model: Model, text_col: str = "text", carry: dict[str,
 
     rows = common.ship(df).select(F.col(text_col).cast("string").alias(common.free_name("text", carry)), *[c.alias(k) for k, c in carry.items()])
     schema = T.StructType([*rows.schema.fields[1:], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("fit", T.DoubleType()), *[T.StructField("spans", SPANS)] * with_spans])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(common.tidied(run), schema)
 
 
 def keep_identified(df: DataFrame, model: Model, text_col: str = "text", min_fit: float = 0.5) -> DataFrame:

@@ -172,7 +172,7 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
 
     id_type = to_arrow_type(df.schema[id_col].dataType)
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *PIECES.fields, *[T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(common.tidied(run), schema)
 
 
 def tokenizer_path() -> str:
