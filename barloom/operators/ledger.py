@@ -42,11 +42,12 @@ def running_cost(ordered: DataFrame) -> DataFrame:
 
     A buy adds its value to the cost. A sell leaves the average: it keeps the share qty_after / qty_before of the cost, and
     nothing once the position is closed. So the cost after a trade is an affine map of the cost before it."""
+    ordered = trades_in_order(ordered)
     held = running_quantity(ordered)
     sell, value = F.col("side") == "sell", (F.col("qty") * F.col("price")).cast("double")
     some = F.when(F.col("qty_before") > 0, F.col("qty_before")).cast("double")
     keep = F.when(~sell, 1.0).when(F.col("qty_after") <= 0, 0.0).otherwise(F.coalesce(F.col("qty_after") / some, F.lit(0.0)))
-    out = prefix_scan(held, KEYS, F.when(sell, 0.0).otherwise(value), "cost_before", "cost_after", keep)
+    out = prefix_scan(held, KEYS, F.when(sell, 0.0).otherwise(value), "cost_before", "cost_after", keep, numbered=ordered)
     return out.withColumn("realised", F.when(sell, value - F.coalesce(F.col("qty") / some, F.lit(0.0)) * F.col("cost_before")))
 
 

@@ -108,3 +108,17 @@ def test_every_owner_of_a_symbol_meets_every_action(spark):
     actions = spark.createDataFrame([(1, "NSE", "A", D(2020, 1, 1)), (2, "NSE", "A", D(2020, 2, 1)), (3, "NSE", "A", D(2020, 2, 1)), (4, "NSE", "A", D(2020, 4, 1)), (5, "NSE", "B", D(2020, 4, 1))], "action_id long, exchange string, symbol string, ex_date date")
     got = {(r.portfolio, r.exchange, r.action_id): r.held for r in ledger.held_before(spark.createDataFrame(rows, COLUMNS), actions).collect()}
     assert got == {("p", "NSE", 1): 0, ("p", "NSE", 2): 5, ("p", "NSE", 3): 5, ("p", "NSE", 4): 0, ("q", "NSE", 1): 0, ("q", "NSE", 2): 0, ("q", "NSE", 3): 0, ("q", "NSE", 4): -4}
+
+
+def test_cost_scan_joins_four_stretches_a_pass(spark):
+    from barloom.functions.scan import in_order, prefix_scan
+    rows = [("p", i, float(i % 7), 0.0 if i % 50 == 49 else (0.5 if i % 3 == 0 else 1.0)) for i in range(700)]
+    ordered = in_order(spark.createDataFrame(rows, "k string, i int, v double, keep double"), ["k"], ["i"])
+    out = prefix_scan(ordered, ["k"], F.col("v"), "before", "after", F.col("keep"), block=64, numbered=ordered)
+    state, want = 0.0, {}
+    for _, i, v, keep in rows:
+        state = keep * state + v
+        want[i] = state
+    assert {r["i"]: r["after"] for r in out.collect()} == pytest.approx(want)
+    passes = out._jdf.queryExecution().optimizedPlan().toString().count("Window [lag(_a")
+    assert passes <= 12, passes  # three passes and a step over 64 rows, not seven; before: 2 a doubling
