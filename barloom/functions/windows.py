@@ -78,9 +78,20 @@ def order_key(parts: list[tuple[Column, int]]) -> Column:
     Unlike a struct, a decimal keeps ``min_by`` / ``max_by`` in hash aggregation."""
     if sum(d for _, d in parts) > 38:
         raise ValueError("order key exceeds 38 digits")
+    groups: list[tuple[Column, int]] = []  # parts of up to 18 digits together fit a long, whose arithmetic is far cheaper
+    for c, digits in parts:
+        whole = F.when(c >= 10**digits, F.raise_error(F.lit(f"order key: a value exceeds {digits} digits")).cast("long")).otherwise(c.cast("long")) if digits <= 18 else None
+        if whole is None:
+            groups.append((c.cast(f"decimal({digits},0)"), digits))
+        elif groups and groups[-1][1] + digits <= 18:
+            groups[-1] = (groups[-1][0] * 10**digits + whole, groups[-1][1] + digits)
+        else:
+            groups.append((whole, digits))
     shift, out = 0, None
-    for c, digits in reversed(parts):
-        term = c.cast(f"decimal({digits},0)") * F.lit(Decimal(10) ** shift).cast(f"decimal({shift + 1},0)")
+    for c, digits in reversed(groups):
+        term = c.cast(f"decimal({digits},0)")
+        if shift:
+            term = term * F.lit(Decimal(10) ** shift).cast(f"decimal({shift + 1},0)")
         out = term if out is None else out + term
         shift += digits
     return out.cast("decimal(38,0)")

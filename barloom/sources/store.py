@@ -28,9 +28,9 @@ def replace_dates(existing: DataFrame, new: DataFrame, keys: list[str] = ("excha
 
 
 def write_bars(df: DataFrame, path: str) -> None:
-    """Overwrite only the (exchange, year) partitions present in ``df``. Rows are spread by symbol inside
-    a partition folder, so a big year is not one task, and sorted for row-group skipping."""
-    spread = df.withColumn("year", F.year("date")).repartition("exchange", "year", "symbol")
+    """Overwrite only the (exchange, year) partitions present in ``df``. Rows are spread by symbol, so a big
+    year is not one task, and sorted for row-group skipping; bars that are dealt by symbol already stay where they are."""
+    spread = df.withColumn("year", F.year("date")).repartition("symbol")
     (spread.sortWithinPartitions("exchange", "year", "symbol", "date").write.partitionBy("exchange", "year")
      .option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path))
 

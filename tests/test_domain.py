@@ -258,3 +258,15 @@ def test_skip_index_equals_a_walk_bar_by_bar(spark):
         assert want == len(got) and 50 < closed < want
     spans = oc.first_exit(entries.filter("hold_days = 250"), bars, ["k"])._jdf.queryExecution().optimizedPlan().toString()
     assert spans.count("explode") == 2 and oc.BLOCK * 5 < 250
+
+
+def test_order_key_sorts_like_the_tuple_and_refuses_long_values(spark):
+    from barloom.functions.windows import order_key
+    rows = [(12, 3, 10**10, 5.0), (12, 3, 7, 999.0), (2, 99, 1, 1.0), (10**12, 0, 0, 0.0), (12, 4, 0, 0.0)]
+    df = spark.createDataFrame(rows, "a long, b int, c long, d double")
+    key = order_key([(F.col("a"), 13), (F.col("b"), 2), (F.col("c"), 11), (F.col("d"), 3)])
+    assert [tuple(r) for r in df.orderBy(key).collect()] == sorted(rows)
+    plan = df.select(key.alias("k"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("as decimal(") <= 4, plan  # few decimals; before: one a part and a sum
+    with pytest.raises(Exception, match="exceeds 2 digits"):
+        df.select(order_key([(F.col("a"), 13), (F.col("d"), 2)]).alias("k")).collect()

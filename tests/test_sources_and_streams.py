@@ -187,3 +187,16 @@ def test_fill_stream_equals_batch_and_logs_every_poll(spark, folder):
     left = [spark.read.schema(orders.schema).parquet(f"{folder}/state/book/batch={k}") for k in (0, 1)]
     assert orders.count() > left[0].count() >= left[1].count()  # what fired or ran out is not looked at again
     assert left[1].join(got, "order_id").isEmpty()
+
+
+def test_bars_dealt_by_symbol_are_written_without_another_shuffle(spark, tmp_path):
+    from barloom.sources import store
+    df = spark.range(40).select(F.lit("NSE").alias("exchange"), F.concat(F.lit("S"), (F.col("id") % 5).cast("string")).alias("symbol"), F.date_add(F.lit("1999-12-01").cast("date"), F.col("id").cast("int")).alias("date"), "id")
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup("bars-once")
+    spark.sparkContext.setJobGroup("bars-once", "")
+    store.write_bars(df.repartition("symbol"), str(tmp_path / "lake"))
+    jobs = set(spark.sparkContext.statusTracker().getJobIdsForGroup("bars-once")) - set(before)
+    stages = {s for j in jobs for s in spark.sparkContext.statusTracker().getJobInfo(j).stageIds}
+    spark.sparkContext.setJobGroup("", "")
+    assert len(stages) <= 3, stages
+    assert spark.read.parquet(str(tmp_path / "lake")).count() == 40
