@@ -575,3 +575,10 @@ def test_a_task_gives_back_the_memory_that_it_freed():
     before = psutil.Process().memory_info().rss
     assert list(common.tidied(run)(iter([1, 2]))) == [1, 2]
     assert psutil.Process().memory_info().rss - before < 100e6
+
+
+def test_spans_are_merged_into_maximal_runs(spark):
+    rows = [(1, 0, 40), (1, 1, 41), (1, 1, 41), (1, 41, 81), (1, 82, 90), (1, 5, 6), (2, 3, 43), (2, 100, 140), (2, 0, 200)]
+    runs = suffixes.merged_spans(spark.createDataFrame(rows, "key long, start long, end long"))
+    assert sorted(tuple(r) for r in runs.collect()) == [(1, 0, 81), (1, 82, 90), (2, 0, 200)]
+    assert suffixes.merged_spans(spark.createDataFrame([], "key long, start long, end long")).count() == 0
