@@ -13,8 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Weight below which a row is lost in a double anyway.
-SMALL = 1e-18
+#: Weight below which a row is lost in a double anyway (half a unit of its last place is 1.1e-16).
+SMALL = 1e-17
 
 
 def ewm(df: DataFrame, specs: dict[str, tuple[Column, float, int, int]], key: str = "symbol", order: str = "date") -> DataFrame:

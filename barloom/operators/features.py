@@ -127,8 +127,9 @@ def prev_columns(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.select(*kept, *[F.lag(c).over(_w()).alias(f"prev_{c}") for c in cols])
 
 
-def features(panel: DataFrame, index: DataFrame | None = None) -> DataFrame:
-    """All feature columns. Every step windows on the symbol, so the plan has one exchange on it."""
+def features(panel: DataFrame, index: DataFrame | None = None, days: DataFrame | None = None) -> DataFrame:
+    """All feature columns. Every step windows on the symbol, so the plan has one exchange on it. Other columns of the panel
+    are carried. ``days``: the panel's dates, where a cheaper table than the panel has them."""
     p = panel if "cumulative_price_factor" in panel.columns else panel.withColumn("cumulative_price_factor", F.lit(1.0))
     w = _w()
     pc = F.lag("close").over(w)
@@ -161,7 +162,7 @@ def features(panel: DataFrame, index: DataFrame | None = None) -> DataFrame:
         safe_div(F.col("close"), F.col("cumulative_price_factor")).alias("close_raw"))
     if index is None:
         return out.select(*[c for c in out.columns if not c.startswith("_r")], *[F.lit(None).cast("double").alias(f"rs{n}") for n in RS])
-    idx = index_returns(index, panel.select("date").distinct())
+    idx = index_returns(index, panel.select("date").distinct() if days is None else days)
     return out.join(F.broadcast(idx), "date", "left").select(
         *[c for c in out.columns if not c.startswith("_r")], *[(F.col(f"_r{n}") - F.col(f"idx_ret{n}")).alias(f"rs{n}") for n in RS])
 

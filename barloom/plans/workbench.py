@@ -500,13 +500,16 @@ class Workbench:
             (F.floor(p * 150) / 100).alias("trigger_price"), "qty", F.col("event_id").alias("oco_group"), F.lit("open").alias("status"))
         return base.unionByName(twin)
 
-    @cached_property
-    def feat(self) -> DataFrame:
+    def _features(self, panel: DataFrame) -> DataFrame:
         from barloom.operators import features as ft
         from barloom.operators.screening import symbol_window
-        f = ft.features(self.panel, self.idx.filter("index_code = 'BROAD_500'"))
+        f = ft.features(panel, self.idx.filter("index_code = 'BROAD_500'"), self.panel.select("date").distinct())
         return f.withColumn("prev_rsi14", F.lag("rsi14").over(symbol_window("symbol")))
 
+    @cached_property
+    def feat(self) -> DataFrame:
+        return self._features(self.panel)
+
     @cached_property
     def metrics(self) -> DataFrame:
         from barloom.operators import fundamentals as fd
@@ -514,8 +517,11 @@ class Workbench:
 
     @cached_property
     def fpanel(self) -> DataFrame:
+        """Features and fundamentals. Fundamentals are attached to the bars first: the as-of join deals and sorts bars by symbol,
+        as the features need them, and no wide row of features is sorted once more. Bars are not adjusted here, so their close is the raw one."""
         from barloom.operators import fundamentals as fd
-        return fd.attach_fundamentals(self.feat, self.metrics)
+        raw = self.panel.withColumn("close_raw", F.col("close"))
+        return self._features(fd.attach_fundamentals(raw, self.metrics).drop("close_raw"))
 
     @cached_property
     def picks(self) -> DataFrame:

@@ -134,3 +134,27 @@ def test_add_weekdays_matches_business_days(spark):
     rows = [(dt.date(2024, 1, 1) + dt.timedelta(i), h) for i in range(14) for h in (1, 4, 5, 6, 23)]
     got = spark.createDataFrame(rows, "d date, n int").withColumn("e", add_weekdays(F.col("d"), F.col("n"))).collect()
     assert all(r.e == pd.bdate_range(r.d, periods=r.n + 1)[-1].date() for r in got)
+
+
+def _moves(plan):
+    """Exchanges and sorts of a plan."""
+    own = [plan] if plan.getClass().getSimpleName() in ("ShuffleExchangeExec", "SortExec") else []
+    children = plan.children()
+    return own + [x for i in range(children.size()) for x in _moves(children.apply(i))]
+
+
+def test_fundamentals_are_attached_without_moving_features(spark):
+    """Rows equal those of fundamentals attached to the features, and no exchange or sort carries a feature."""
+    from barloom.operators import fundamentals as fd
+    from barloom.plans.workbench import Workbench
+    wb = Workbench(spark, "/root/testdata/sf0.001")
+    late = fd.attach_fundamentals(wb.feat, wb.metrics).select(*wb.fpanel.columns)
+    assert late.count() == wb.fpanel.count() > 0
+    assert late.exceptAll(wb.fpanel).count() == 0 and wb.fpanel.filter("eps_ttm IS NOT NULL AND pe_ttm IS NOT NULL").count() > 0
+    kept = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        moved = [x.output().mkString(",") for x in _moves(wb.fpanel._jdf.queryExecution().executedPlan())]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", kept)
+    assert moved and not any("rsi14" in s or "sma200" in s for s in moved)
