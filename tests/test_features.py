@@ -158,3 +158,16 @@ def test_fundamentals_are_attached_without_moving_features(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", kept)
     assert moved and not any("rsi14" in s or "sma200" in s for s in moved)
+
+
+def test_look_ahead_counts_computes_the_whole_features_once(panel):
+    """Cut days read a table of the whole features; only the shortened panels have plans of features of their own."""
+    runs = []
+
+    def fn(p):
+        runs.append(p)
+        return ft.sma(p, (20,))
+    out = ft.look_ahead_counts(fn, panel, ["2019-06-28", "2020-06-30"])
+    assert len(runs) == 3 and {(r.feature, r.n_changed) for r in out.collect()} == {("sma20", 0)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("] parquet") == 2  # the written features, read by both cut days
