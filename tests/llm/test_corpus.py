@@ -336,6 +336,20 @@ def test_fuzzy_lines_against_all_pairs(spark):
     assert len(near) > 150 and got == want
 
 
+def test_lines_that_share_only_a_phrase_do_not_meet(spark):
+    """A bucket is cut where lengths or places of the common run can't be those of near lines; repeated runs keep all places."""
+    rng, phrase = random.Random(5), "a phrase of many lines"
+    line = " ".join(words(rng, 40))
+    texts = [phrase + " " + line, " ".join(words(rng, 40)) + " " + phrase, phrase + " " + " ".join(words(rng, 90)), " ".join(words(rng, 40))]
+    again = "ha" + " ha" * 60
+    near = [texts[3] + " changed", f"{phrase} {again} {line}", f"{phrase} x {again} {line}"]
+    rows = spark.createDataFrame(list(enumerate(texts + near)), "id long, norm string").withColumn("size", F.length("norm"))
+    buckets = {}
+    for r in fuzzy_lines._met(fuzzy_lines._runs(rows), 0.9).collect():
+        buckets.setdefault(r.key, set()).add(r.id)
+    assert {frozenset(b) for b in buckets.values()} == {frozenset({3, 4}), frozenset({5, 6})}
+
+
 def test_simhash_is_the_majority_of_bits(spark):
     text = " ".join(words(random.Random(1), 33))
     got = fuzzy_lines._occurrences(docs(spark, [text]), "doc_id", "text", 5).first()
