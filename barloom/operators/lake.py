@@ -89,6 +89,14 @@ def one_series_per_day(bars: DataFrame, precedence: list[str] = PRECEDENCE, keys
     return latest_per(known, list(keys), [F.col("_p")]).drop("_p")
 
 
+def last_trade_closes(trades: DataFrame, day: Column, order: list[str | Column], precedence: list[str] = PRECEDENCE) -> DataFrame:
+    """Close of each (exchange, symbol) on its last day up to ``day``, in the first of its series: what bars say, without
+    building them. ``order`` orders the trades of a day; each map task keeps one trade a symbol."""
+    known = trades.filter(F.col("date") <= day).withColumn("_p", in_list_order("series", precedence)).filter(F.col("_p").isNotNull())
+    by = [F.col("date").desc(), F.col("_p"), *[(F.col(c) if isinstance(c, str) else c).desc() for c in order]]
+    return latest_per(known, ["exchange", "symbol"], by).select("exchange", "symbol", "date", F.col("price").alias("close"))
+
+
 def panel(bars: DataFrame, precedence: list[str] = PRECEDENCE, floor: float = 0.0,
           start=None, end=None) -> DataFrame:
     """One row per (symbol, date). A symbol stays only if its best single day reached ``floor``

@@ -179,6 +179,15 @@ def daily_snapshots(trades: DataFrame, closes: DataFrame, dates: DataFrame, benc
     return out.join(F.broadcast(b.select("day", "bench_close")), "day", "left").withColumnRenamed("day", "date").select("portfolio", "date", "cash", "market_value", "value", "bench_close")
 
 
+def value_on(trades: DataFrame, closes: DataFrame, day: Column) -> DataFrame:
+    """Market value of every portfolio on one day, the row that ``daily_snapshots`` has for it, from sums instead of intervals.
+    ``closes``: the last close up to the day, one row per exchange and symbol."""
+    held = trades.groupBy(*KEYS).agg(F.sum(F.when(F.col("date") <= day, signed_qty()).otherwise(0)).alias("held"))
+    value = F.sum(F.when(F.col("held") > 0, F.col("held") * F.col("close")))
+    out = held.join(closes.select("exchange", "symbol", "close"), ["exchange", "symbol"], "left").groupBy("portfolio").agg(value.alias("market_value"))
+    return out.select("portfolio", day.alias("date"), F.coalesce("market_value", F.lit(0.0)).alias("market_value"))
+
+
 def sale_results(ordered: DataFrame) -> DataFrame:
     """Realised profit of every sale against the average cost before it."""
     return running_cost(ordered).filter("side = 'sell'")

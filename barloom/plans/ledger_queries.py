@@ -111,6 +111,15 @@ x AS (SELECT *, value / max(value) OVER (PARTITION BY portfolio ORDER BY date) -
 r AS (SELECT portfolio, arg_max(value, date) / {CAP} - 1 AS total_return, arg_max(bench_close, date) FILTER (WHERE bench_close IS NOT NULL) / arg_min(bench_close, date) FILTER (WHERE bench_close IS NOT NULL) - 1 AS benchmark_return, least(0, min(dd)) AS max_drawdown FROM x GROUP BY 1)
 SELECT * FROM s LEFT JOIN ch USING (portfolio) LEFT JOIN r USING (portfolio)""", "realised:2 win_rate charges:2 total_return benchmark_return max_drawdown")(
     lambda wb: lg.portfolio_summary(wb.trades_in_order, cs.charges(wb.trades_in_order.withColumn("date", F.add_months("date", 300)).withColumn("product", F.when(F.col("linenumber") % 3 == 0, "intraday").otherwise("delivery"))), snaps(wb), CAP))
+
+
+def _last_values(wb):
+    """The last snapshot of each portfolio, which is all that a yearly rate needs of them."""
+    day = wb.tape.agg(F.trunc(F.max("date"), "month")).scalar()
+    closes = lake.last_trade_closes(wb.tape, day, ["orderkey", "linenumber", "partkey", F.round(F.col("amount") * 100), "qty"], SERIES)
+    return lg.value_on(wb.ledger, closes, day)
+
+
 # The same bisection as one recursion over all portfolios; a rate is compared to six decimals of 1 + rate.
 query("b11_xirr", f"""
 WITH RECURSIVE fl AS (SELECT portfolio, date, sum(amount) AS amount FROM (SELECT portfolio, date, {FLOW} AS amount FROM ledger UNION ALL
@@ -121,4 +130,4 @@ b(portfolio, k, lo, hi, ys, vs, at_lo) AS (SELECT portfolio, 0, -0.999999::DOUBL
  UNION ALL SELECT portfolio, k + 1, CASE WHEN s = at_lo THEN m ELSE lo END, CASE WHEN s = at_lo THEN hi ELSE m END, ys, vs, at_lo FROM (
   SELECT *, (lo + hi) / 2 AS m, sign(list_sum(list_transform(list_zip(vs, ys), lambda p: p[1] / pow(1 + (lo + hi) / 2, p[2])))) AS s FROM b WHERE k < 90))
 SELECT portfolio, n_days, 1 + (lo + hi) / 2 AS growth, TRUE AS npv_is_zero FROM b JOIN a USING (portfolio) WHERE k = 90""", "growth:6")(
-    lambda wb: lg.xirr(lg.net_flows(wb.ledger, snaps(wb))).select("portfolio", F.col("n_days").cast("long").alias("n_days"), (1 + F.col("xirr")).alias("growth"), (F.abs("npv") < F.col("gross") * 1e-9).alias("npv_is_zero")))
+    lambda wb: lg.xirr(lg.net_flows(wb.ledger, _last_values(wb))).select("portfolio", F.col("n_days").cast("long").alias("n_days"), (1 + F.col("xirr")).alias("growth"), (F.abs("npv") < F.col("gross") * 1e-9).alias("npv_is_zero")))

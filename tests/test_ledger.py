@@ -122,3 +122,21 @@ def test_cost_scan_joins_four_stretches_a_pass(spark):
     assert {r["i"]: r["after"] for r in out.collect()} == pytest.approx(want)
     passes = out._jdf.queryExecution().optimizedPlan().toString().count("Window [lag(_a")
     assert passes <= 12, passes  # three passes and a step over 64 rows, not seven; before: 2 a doubling
+
+
+def test_value_on_the_last_day_is_the_last_snapshot(spark):
+    """Sums up to a day say what snapshots say of it, of portfolios that hold nothing, too; no window over portfolios' days is needed."""
+    from barloom.operators import lake
+    rng, series = random.Random(7), ["EQ", "BE", "BZ"]
+    rows = [trade(k, f"P{rng.randrange(4)}", rng.choice(["NSE", "BSE"]), rng.choice("ABC"), D(2020, 1, 1) + dt.timedelta(rng.randrange(120)), rng.randint(1, 9), float(k), rng.choice(["buy", "buy", "sell"])) for k in range(150)]
+    rows.append(trade(200, "late", "NSE", "A", D(2020, 4, 20), 5, 10.0, "buy"))
+    trades = spark.createDataFrame(rows, COLUMNS).withColumn("series", F.element_at(F.array(*[F.lit(s) for s in series]), (F.col("orderkey") % 3 + 1).cast("int"))).withColumn("discount", F.lit(0.0))
+    days = spark.createDataFrame([(D(2020, m, 1),) for m in range(1, 5)], "date date")
+    bench = spark.createDataFrame([(D(2020, 1, 1), 1.0)], "date date, close double")
+    closes = lake.one_series_per_day(lake.bars_from_trades(trades, F.col("orderkey")), series, ("exchange", "symbol", "date"))
+    want = {r.portfolio: r.market_value for r in ledger.daily_snapshots(trades, closes, days, bench, 1e6).filter("date = '2020-04-01'").collect()}
+    day = F.lit("2020-04-01").cast("date")
+    out = ledger.value_on(trades, lake.last_trade_closes(trades, day, ["orderkey"], series), day)
+    got = {r.portfolio: r.market_value for r in out.collect()}
+    assert set(got) == set(want) and len(want) == 5 and want["late"] == 0
+    assert all(got[p] == pytest.approx(want[p]) for p in want) and sum(v > 0 for v in got.values()) > 1
